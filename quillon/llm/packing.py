@@ -6,12 +6,14 @@ with the least free space that still holds it.  Open bins are kept in a bitset k
 by free space (one Python integer, bit f set if some open bin has f free tokens), so
 the best fit is one shift and one lowest-bit.  At most ``open_bins`` are open; to
 open one more, the fullest closes first.  The pieces of one Arrow batch (at most
-10,000 documents or 64 MB) arrive together and are placed longest first.
+10,000 documents or 64 MB) arrive together and are placed longest first, which needs
+``open_bins`` of the order of a batch: fewer would close bins that later, shorter
+pieces of the batch could fill.
 
 Scale: no shuffle and no state beyond a task; memory is one Arrow batch plus
 ``open_bins`` counters.  A lost executor's task is run again from the source and
 gives the same rows, as sequence ids are made of the partition number and a local
-counter.  A task leaves at most ``open_bins`` part-filled sequences.
+counter.
 
 Cases: a null text is an empty one (only the end token); a text of any length is
 taken whole; repeated rows are packed as often as they occur; a null id is kept as
@@ -82,7 +84,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pack(
     docs: DataFrame,
     capacity: int = 1024,
-    open_bins: int = 256,
+    open_bins: int = 8192,
     vocabulary: str | None = None,
     end_id: int = 2,
     id_col: str = "doc_id",
