@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from quillon.llm.common import read_table
 from quillon.llm.packing import pack
 from quillon.llm.token_counts import token_counts
-from quillon.llm import toxicity
+from quillon.llm import quality_rules, toxicity
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
