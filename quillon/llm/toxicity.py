@@ -44,8 +44,8 @@ class Settings:
     dim: int = 8
     passage_words: int = 5
     worst: int = 3
-    per_class: int = 2500
-    train_chars: int = 20_000_000
+    per_class: int = 1500
+    train_chars: int = 8_000_000
     epochs: int = 6
     toxic_weight: float = 2.0
     batch: int = 256
@@ -76,11 +76,16 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return doc.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), forms
 
 
-def subwords(forms: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(forms: pa.Array, buckets: int, chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each subword, start of each form's subwords); every form has one at least."""
+    parts = [_subwords(forms.slice(k, chunk), buckets) for k in range(0, len(forms), chunk)]  # in chunks for small temporaries
+    ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int32)
+    counts = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
+    return ids, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _subwords(forms: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(forms)
-    if not n:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
     joined = "".join(f"<{w}>" for w in forms.to_pylist())
     codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     length = pc.utf8_length(forms).to_numpy(zero_copy_only=False).astype(np.int64) + 2
@@ -109,9 +114,8 @@ def subwords(forms: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         h = np.concatenate(hashes) * mix
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    ids = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)[order]
-    counts = np.bincount(owners, minlength=n)
-    return ids, np.concatenate([[0], np.cumsum(counts)])
+    ids = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)[order]
+    return ids, np.bincount(owners, minlength=n)
 
 
 def passages(doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
