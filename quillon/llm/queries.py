@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import read_table
 from quillon.llm.packing import pack
 from quillon.llm.token_counts import token_counts
-from quillon.llm import mixing, quality_rules, toxicity
+from quillon.llm import embedding_dedup, mixing, quality_rules, toxicity
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
