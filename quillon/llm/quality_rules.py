@@ -38,7 +38,8 @@ _SYMBOLS = r"[^#*$%&|<>]+"
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
     """Words of an array that lie in a window of ``window`` words found twice or more.
 
-    Windows are compared by a 64-bit hash of their words.
+    Windows are compared by a 64-bit hash of their words.  ``w`` is read once for each
+    element: it must be a lambda variable, see ``let``.
     """
     keyed = F.transform(w, lambda x, i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(window)]).alias("h"), i.alias("i")))
     keyed = F.slice(keyed, 1, F.greatest(F.size(w) - (window - 1), F.lit(0)))
@@ -58,27 +59,6 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
     return let(let(F.sort_array(keyed), starts), covered)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the counts, the array of words (_w) and the columns named in ``keep``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *keep).withColumn("_w", words(F.col("_text")))
-    base = base.withColumn("_l", F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return base.select(
-        "doc_id",
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
-        F.char_length(F.regexp_replace("_text", _SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
-        "_w",
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-
-
 def ngram_buckets(w: Column, buckets: int) -> Column:
     """Buckets of all words and all pairs of adjacent words of an array."""
 
@@ -90,6 +70,23 @@ def ngram_buckets(w: Column, buckets: int) -> Column:
     return let(F.transform(w, lambda x: F.lower(x)), hashed)
 
 
+def measures(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
+    """Struct of the counts, the sum of log ratios and the number of n-grams of a text.
+
+    One expression that splits the text once, however the optimizer moves it.
+    """
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.aggregate(ngram_buckets(w, buckets), F.lit(0.0), lambda a, b: a + F.get(ratios, b)).alias("total"),
+        )
+
+    return let(words(text), of_words)
+
+
 def trusted_ids(labels: DataFrame, most: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """At most ``most`` ids of documents labelled good, by the order of a hash."""
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_trusted")).filter("_trusted IS NOT NULL").distinct()
@@ -113,12 +110,31 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_c
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_documents: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the counts, base_failed, score and kept of every document."""
+    """doc_id, the counts, base_failed, kept and score of every document, and the columns named in ``keep``."""
     ratios = log_ratios(docs, trusted_ids(labels, trusted_documents, id_col), buckets, id_col, text_col).scalar()
-    per_doc = measures(docs, id_col, text_col, keep).withColumn("_b", ngram_buckets(F.col("_w"), buckets))
-    total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(F.col("_ratios"), b))
-    scored = per_doc.withColumn("_ratios", ratios).withColumn("score", F.when(F.size("_b") > 0, total / F.size("_b")).otherwise(F.lit(0.0)))
-    return scored.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.col("score") >= threshold)).alias("kept"), "score")
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep).withColumn("_ratios", ratios)
+    measured = source.select(
+        "doc_id",
+        *keep,
+        measures(F.col("_text"), F.col("_ratios"), buckets).alias("_m"),
+        F.char_length(F.regexp_replace(text, _SYMBOLS, "")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    )
+    judged = measured.withColumn("_v", let(F.col("_m"), lambda m: F.struct(m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_repeat_words"].alias("n_repeat_words"), F.when(m["n_words"] > 0, m["total"] / (2 * m["n_words"] - 1)).otherwise(F.lit(0.0)).alias("score"), ((m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])).alias("base_failed"))))
+    return judged.select(
+        "doc_id",
+        *keep,
+        "_v.n_words",
+        "_v.word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "_v.n_repeat_words",
+        "_v.base_failed",
+        let(F.col("_v"), lambda v: ~v["base_failed"] & (v["score"] >= threshold)).alias("kept"),
+        "_v.score",
+    )
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
