@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import embedding_dedup, jaccard, mixing, quality_rules, toxicity
-from quillon.llm.common import read_table
+from quillon.llm import backoff, embedding_dedup, jaccard, kneser_ney, mixing, quality_rules, toxicity
+from quillon.llm.common import read_table, scratch
 from quillon.llm.packing import pack
+from quillon.llm.sharding import ShardStore
 from quillon.llm.token_counts import token_counts
 
 
@@ -18,10 +19,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ShardStore(spark, scratch(spark, "shards"))
+    store.append(read_table(spark, sf_dir, "documents"), rows_per_shard=4096)
+    store.compact()
+    return store.read(with_shard=True).select("doc_id", "lang", "source", "n_chars", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("_shard").alias("shard"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return kneser_ney.judge(docs, kneser_ney.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -32,6 +45,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read_table(spark, sf_dir, "embeddings"))
 
@@ -50,9 +67,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
