@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +76,16 @@ def hadoop_path(spark: SparkSession, path: str):
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
+
+
+def text_slices(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
+    """A batch's texts in runs of about ``most_bytes`` (one text at least), so that what is made of them stays small."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for k, n in enumerate(size):
+        if held and held + n > most_bytes:
+            yield texts.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < len(size):
+        yield texts.slice(start)

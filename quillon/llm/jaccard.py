@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import checkpoint, text_slices
 from quillon.llm.graph import components, local_roots
 from quillon.llm.shingles import minhasher, mix, shingle_sets
 
@@ -118,19 +118,22 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str, te
         hasher = minhasher(bands * rows)
         weights = np.random.default_rng(2).integers(0, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            starts, h = shingle_sets(batch.column(2), shingle)
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h))])
-                node = mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
-                out = []
-                for a, b in zip(starts[:-1], starts[1:]):
-                    if b > a:
-                        sig = hasher(h[a:b]).reshape(bands, rows).astype(np.uint64)
-                        out.append(mix((mix(sig + np.uint64(1)) * weights).sum(1) + np.arange(bands, dtype=np.uint64)).view(np.int64))
-                    else:
-                        out.append(None)
-            empty = np.diff(starts) == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, mask=empty), pa.array(out, pa.list_(pa.int64()))], names=["id", "row", "node", "bands"])
+            done = 0
+            for texts in text_slices(batch.column(2)):
+                starts, h = shingle_sets(texts, shingle)
+                with np.errstate(over="ignore"):
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h))])
+                    node = mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
+                    out = []
+                    for a, b in zip(starts[:-1], starts[1:]):
+                        if b > a:
+                            sig = hasher(h[a:b]).reshape(bands, rows).astype(np.uint64)
+                            out.append(mix((mix(sig + np.uint64(1)) * weights).sum(1) + np.arange(bands, dtype=np.uint64)).view(np.int64))
+                        else:
+                            out.append(None)
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, mask=np.diff(starts) == 0), pa.array(out, pa.list_(pa.int64()))], names=["id", "row", "node", "bands"])
 
     source = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {id_type}, row long, node long, bands array<long>")
@@ -163,8 +166,10 @@ def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         pdf = pdf.sort_values(["p", "node"])
-        starts, h = shingle_sets(pa.array(pdf["text"], pa.large_string()), shingle)
-        sets = [h[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        sets = []
+        for texts in text_slices(pa.array(pdf["text"], pa.large_string())):
+            starts, h = shingle_sets(texts, shingle)
+            sets += [h[a:b] for a, b in zip(starts[:-1], starts[1:])]
         hasher = minhasher(k)
         sigs = np.array([hasher(s) for s in sets])
         p, node, copies = pdf["p"].to_numpy(), pdf["node"].to_numpy(), pdf["copies"].to_numpy()

@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.common import text_slices
+
 #: Characters taken off both ends of a word.
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-…«»“”‘’"
 _NGRAMS = (3, 4, 5)
@@ -141,6 +143,10 @@ def _sigmoid(x):
 
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
+    return np.concatenate([np.empty(0), *(_score_texts(t, model) for t in text_slices(texts))])
+
+
+def _score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     n = len(texts)
     total, count = np.zeros(n), np.zeros(n)
     doc, word, forms = split_words(texts)
