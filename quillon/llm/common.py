@@ -89,3 +89,4 @@ def text_slices(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array
         held += n
     if start < len(size):
         yield texts.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
