@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quillon.errors import SqlError
 from quillon.functions import bridge as B
 from quillon.plans import ast, printer
+from quillon.plans.parser import deep
 
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
 _NONE = object()
@@ -176,7 +177,8 @@ class Compiler:
     # queries
 
     def query(self, q: ast.Select) -> Out:
-        return self.select(q, None, None)
+        with deep():
+            return self.select(q, None, None)
 
     def select(self, q: ast.Select, outer: Scope | None, domain: tuple[DataFrame, list[str]] | None) -> Out:
         rel = self.from_(q, outer, domain)
@@ -491,10 +493,12 @@ class Compiler:
                     out += self.free(x.query, chain)
         return out
 
-    def subquery(self, q: ast.Select, ctx: Ctx) -> tuple[Out, list[tuple[str, str]]]:
-        """The compiled query and (column of ctx.rel, column of the domain) pairs."""
+    def may_query(self, q: ast.Select, ctx: Ctx) -> None:
         if ctx.clause in ("CHECK", "DO UPDATE", "DEFAULT"):
             raise SqlError(*q.pos, f"a subquery is not allowed in {ctx.clause}")
+
+    def subquery(self, q: ast.Select, ctx: Ctx) -> tuple[Out, list[tuple[str, str]]]:
+        """The compiled query and (column of ctx.rel, column of the domain) pairs."""
         if ctx.clause in ("LIMIT", "OFFSET") and self.free(q, []):
             raise SqlError(*q.pos, f"{ctx.clause} cannot read outer columns")
         refs: dict[str, str] = {}
@@ -621,6 +625,7 @@ class Compiler:
                 return Typed(~same if e.neg else same, "BOOLEAN", can_fail=a.can_fail or b.can_fail)
             case ast.In():
                 if e.query:
+                    self.may_query(e.query, ctx)
                     return self.in_query(e, inner)
                 x, items = self.expr(e.x, inner), [self.expr(i, inner) for i in e.items]
                 for i in items:
@@ -642,8 +647,10 @@ class Compiler:
                 r = B.like(x.col.cast("string"), p.col.cast("string"), p.value if isinstance(p.value, str) else None)
                 return Typed(~r if e.neg else r, "BOOLEAN", can_fail=x.can_fail or p.can_fail)
             case ast.Exists():
+                self.may_query(e.query, ctx)
                 return self.exists(e, inner)
             case ast.Scalar():
+                self.may_query(e.query, ctx)
                 return self.scalar(e, inner)
             case ast.Cast():
                 x = self.expr(e.x, inner)
