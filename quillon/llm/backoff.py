@@ -1,52 +1,227 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Method: every text is exploded into (document, previous word, word), words being
-64-bit hashes of their lower case.  The pairs are partitioned by their hash and
-counted there; word counts are a table partitioned by the hash of the word.  A pair is
-scored by its count outside the document over that of its first word if it occurs in
-another place at all, else by ``alpha`` times the share of its second word.  The
-occurrences of the pair in the document itself are left out of all counts, so that a
-document does not vouch for itself.  Logarithms are summed per document.
-
-    seen elsewhere:  (c(v w) - own) / (c(v) - own)
-    else:            alpha * max(c(w) - own, 1/2) / (N - own)
-
-Scale: all counts come from the whole corpus.  Pairs are shuffled once, by pair, where
-counting and leaving out happen in the same partitions; then once more, by the one
-word whose count they need.  Common words make hot keys in that join, which adaptive
-execution splits.  Sums per document are pre-aggregated.
-
-Cases: the first word of a text is scored by its share alone; a null text or one
-without words has 0 words and a null score; texts of any length are read whole; rows
-equal in id and text share one score and count as often as they occur; an empty table
-gives no rows; other columns are ignored.
+Method: every text is exploded into pairs (previous word, word).  Pairs are
+partitioned by a hash and joined there with the counts of pairs and of first words,
+which the same partition has; the result is summed per document.  A pair is scored by
+its count outside the document over that of its first word if it occurs outside at
+all, else by ``alpha`` times the share of its second word, of which tables hold the
+counts by hash class (``classes`` of them).  A document's own occurrences of a pair
+are left out of all counts, so that it does not vouch for itself.
+
+    seen elsewhere:  (c(v w) - own) / max(c(v) - own, c(v w) - own)
+    else:            alpha * max(c(class of w) - own, 1/2) / max(N - own, 1)
+
+The first word of a text has no pair and is scored by its share alone.
+
+Scale: all counts are taken over the whole corpus and grow with it.  One pass counts
+classes, one counts the first words in the classes that hold 1/``hot`` of all words or
+more; words with such a share (at most ``hot``) are known to all tasks, and their pairs are
+partitioned by both words, others by the first alone.  So no partition holds more than
+its part and 1/``hot`` of all pairs.  Pairs travel packed: for a slice of documents and
+a partition the first words in runs, the second words, and the place of the document,
+some 12 bytes a pair, and are shuffled once.  Sums come back packed likewise.  What is
+sent to all tasks is bounded by ``classes`` and ``hot``.
+
+Cases: words are compared in lower case and by 48-bit hashes; a null text or one
+without words has 0 words and a null score; texts of any length are read whole;
+repeated rows are documents of their own and vouch for each other; null ids are kept;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let, words
+from quillon.llm.common import text_slices
+from quillon.llm.shingles import mix, word_hashes
+
+_ID = np.uint64((1 << 48) - 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class Settings:
+    alpha: float = 0.4
+    classes: int = 1 << 16
+    hot: int = 4096
+    pairs_per_partition: int = 2_000_000
+    slice_bytes: int = 8 << 20
+
+
+@dataclass(frozen=True)
+class Shares:
+    """What every task knows: words in all, words of each class, counts of the hot words (sorted) as first words of pairs."""
+
+    total: int
+    classes: np.ndarray
+    hot_words: np.ndarray
+    hot_counts: np.ndarray
+
+
+def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each text, 48-bit ids from 1 on); 0 stands before the first word."""
+    n, h = word_hashes(pc.utf8_lower(pc.fill_null(texts, "")))
+    return n, np.maximum(mix(h) & _ID, np.uint64(1))
+
+
+def pack6(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack6(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = b.reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
 
+def pack_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray) -> bytes:
+    """Runs of equal v (a run of more than 255 is several), then w and doc in that order."""
+    order = np.argsort(v, kind="stable")
+    v, w, doc = v[order], w[order], doc[order]
+    place = np.arange(len(v)) - np.repeat(starts := np.flatnonzero(np.diff(v, prepend=v[:1] ^ np.uint64(1))), np.diff(np.append(starts, len(v))))
+    begins = np.flatnonzero(place % 255 == 0)
+    runs = np.diff(np.append(begins, len(v))).astype(np.uint8)
+    return np.array([len(v), len(begins)], "<u4").tobytes() + pack6(v[begins]) + runs.tobytes() + pack6(w) + doc.astype("<u2").tobytes()
 
-def score(docs: DataFrame, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, r = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    raw = np.frombuffer(data, np.uint8, offset=8)
+    v = np.repeat(unpack6(raw[: 6 * r]), raw[6 * r : 7 * r])
+    rest = raw[7 * r :]
+    return v, unpack6(rest[: 6 * n]), np.frombuffer(rest[6 * n :].tobytes(), "<u2").astype(np.int64)
+
+
+def shares(texts: DataFrame, settings: Settings) -> Shares:
+    """Two passes: class counts; then exact counts of the words of the fullest classes."""
+    spark, classes = texts.sparkSession, settings.classes
+
+    def by_class(batches):
+        held = np.zeros(classes, np.int64)
+        for batch in batches:
+            for t in text_slices(batch.column(0)):
+                held += np.bincount((word_ids(t)[1] % np.uint64(classes)).astype(np.int64), minlength=classes)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["k", "c"])
+
+    sums = texts.mapInArrow(by_class, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most ``classes`` rows
+    table = np.zeros(classes, np.int64)
+    for k, c in sums:
+        table[k] = c
+    total = int(table.sum())
+    least = max(1, total // settings.hot)
+    full = spark.sparkContext.broadcast(table >= least)
+
+    def of_full(batches):
+        for batch in batches:
+            for t in text_slices(batch.column(0), settings.slice_bytes):
+                n, w = word_ids(t)
+                w = np.delete(w, (np.cumsum(n) - 1)[n > 0])  # the last word of a text is no first word of a pair
+                u, c = np.unique(w[full.value[(w % np.uint64(classes)).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["k", "c"])
+
+    hot = texts.mapInArrow(of_full, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).orderBy("k").collect()  # at most ``hot`` rows, as all counts add up to the total
+    return Shares(total, table, np.array([k for k, _ in hot], np.uint64), np.array([c for _, c in hot], np.int64))
+
+
+def is_hot(v: np.ndarray, s: Shares) -> tuple[np.ndarray, np.ndarray]:
+    if not len(s.hot_words):
+        return np.zeros(len(v), bool), np.zeros(len(v), np.int64)
+    at = np.minimum(np.searchsorted(s.hot_words, v), len(s.hot_words) - 1)
+    return s.hot_words[at] == v, at
+
+
+def score_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray, s: Shares, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, sums of log scores) of the pairs of one partition."""
+    docs, doc = np.unique(doc, return_inverse=True)
+    with np.errstate(over="ignore"):
+        pair_names, pair = np.unique(mix(mix(v) + w * _STEP), return_inverse=True)
+    pair_total = np.bincount(pair, minlength=len(pair_names))
+    firsts, first_of = np.unique(v, return_inverse=True)
+    first_total = np.bincount(first_of, minlength=len(firsts))
+    hot, at = is_hot(firsts, s)
+    first_total[hot] = s.hot_counts[at[hot]] if hot.any() else 0
+    _, one, own = np.unique(pair.astype(np.int64) * len(docs) + doc, return_index=True, return_counts=True)
+    other = pair_total[pair[one]] - own
+    other[v[one] == 0] = 0
+    known = first_total[first_of[one]]
+    share = np.maximum(s.classes[(w[one] % np.uint64(len(s.classes))).astype(np.int64)] - own, 0.5) / np.maximum(s.total - own, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.where(other > 0, np.log(other / np.maximum(known - own, other)), np.log(alpha * share))
+    return docs, np.bincount(doc[one], weights=own * value, minlength=len(docs))
+
+
+def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, log_score (sum), mean_log_score."""
-    text = F.col(text_col).cast("string")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("d"), text.alias("_text"))
-    hashed = let(F.transform(words(F.lower("_text")), lambda x: F.xxhash64(x)), lambda h: F.transform(h, lambda w, i: F.struct(F.get(h, i - 1).alias("v"), w.alias("w"))))
-    pairs = keyed.select("d", F.explode(hashed).alias("p")).select("d", "p.v", "p.w")
-    counts = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c")).scalar()
-
-    own = pairs.groupBy("v", "w", "d").agg(F.count(F.lit(1)).alias("own"))
-    other = F.sum("own").over(Window.partitionBy("v", "w")) - F.col("own")
-    counted = own.withColumn("o", F.when(F.col("v").isNull(), F.lit(0)).otherwise(other))
-    asked = counted.select("d", "own", "o", F.when(F.col("o") > 0, F.col("v")).otherwise(F.col("w")).alias("k"))
-    found = asked.join(counts, F.col("k") == F.col("w"))
-    seen = F.log(F.col("o") / F.greatest(F.col("c") - F.col("own"), F.col("o")))
-    back = F.log(alpha * F.greatest(F.col("c") - F.col("own"), F.lit(0.5)) / F.greatest(F.col("n") - F.col("own"), F.lit(1)))
-    each = found.withColumn("n", total).select("d", "own", (F.col("own") * F.when(F.col("o") > 0, seen).otherwise(back)).alias("s"))
-    sums = each.groupBy("d").agg(F.sum("own").alias("n_words"), F.sum("s").alias("log_score"))
-    out = keyed.select("doc_id", "d").join(sums, "d", "left")
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    known = shares(source.select("_text"), settings)
+    parts = max(1, -(-known.total // settings.pairs_per_partition))
+    sent = spark.sparkContext.broadcast(known)
+    alpha = settings.alpha
+
+    def explode(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            done = 0
+            for texts in text_slices(batch.column(1), settings.slice_bytes):
+                ids = batch.column(0).slice(done, len(texts))
+                done += len(texts)
+                n, w = word_ids(texts)
+                doc = np.repeat(np.arange(len(n)), n)
+                v = np.zeros_like(w)
+                v[1:] = w[:-1]
+                v[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
+                by = v.copy()
+                both = is_hot(v, sent.value)[0] | (v == 0)
+                with np.errstate(over="ignore"):
+                    by[both] = mix(v[both]) + w[both] * _STEP
+                part = (mix(by + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                at = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(k, number, pack_pairs(v[o], w[o], doc[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
+                null = np.array(ids.is_null())
+                head = np.array([len(n)], "<u4").tobytes() + null.astype(np.uint8).tobytes() + pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + n.astype("<i8").tobytes()
+                rows.append((-1 - number % parts, number, head))  # who the documents of this slice are
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slice", "data"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] < 0:
+            return pd.DataFrame({"slice": pdf["slice"], "head": True, "data": pdf["data"]})
+        slices, rank = np.unique(pdf["slice"].to_numpy(), return_inverse=True)
+        found = [unpack_pairs(d) for d in pdf["data"]]
+        doc = np.concatenate([f[2] + (int(r) << 16) for f, r in zip(found, rank)])
+        v, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        del found
+        docs_, sums = score_pairs(v, w, doc, sent.value, alpha)
+        at = np.searchsorted(docs_ >> 16, np.arange(len(slices) + 1))
+        data = [np.array([b - a], "<u4").tobytes() + (docs_[a:b] & 0xFFFF).astype("<u2").tobytes() + sums[a:b].astype("<f8").tobytes() for a, b in zip(at[:-1], at[1:])]
+        return pd.DataFrame({"slice": slices, "head": False, "data": data})
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf["data"][pdf["head"]].iloc[0]
+        n = int(np.frombuffer(head, "<u4", 1)[0])
+        null = np.frombuffer(head, np.uint8, n, 4).astype(bool)
+        ids, n_words = np.frombuffer(head, "<i8", n, 4 + n), np.frombuffer(head, "<i8", n, 4 + 9 * n)
+        total = np.zeros(n)
+        for data in pdf["data"][~pdf["head"]]:
+            k = int(np.frombuffer(data, "<u4", 1)[0])
+            total[np.frombuffer(data, "<u2", k, 4)] += np.frombuffer(data, "<f8", k, 4 + 2 * k)
+        some = n_words > 0
+        return pd.DataFrame({"doc_id": ids, "n_words": n_words, "log_score": np.where(some, total, np.nan), "_null": null, "_none": ~some})
+
+    packed = source.mapInArrow(explode, "part long, slice long, data binary")
+    sums = packed.groupBy("part").applyInPandas(join, "slice long, head boolean, data binary")
+    out = sums.groupBy("slice").applyInPandas(gather, "doc_id long, n_words long, log_score double, _null boolean, _none boolean")
+    score_ = F.when(~F.col("_none"), F.col("log_score"))
+    return out.select(F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "n_words", score_.alias("log_score"), (score_ / F.col("n_words")).alias("mean_log_score"))

@@ -111,6 +111,8 @@ class ShardStore:
         if not size:
             return []
         counts = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row per shard
+        for name in size.keys() - {r["f"] for r in counts}:  # files without rows
+            fs.delete(hadoop_path(self.spark, f"{self.root}/{folder}/{name}")[1], False)
         return sorted((Shard(f"{folder}/{r['f']}", size[r["f"]], r["count"]) for r in counts), key=lambda s: s.path)
 
     def append(self, arrivals: DataFrame, rows_per_shard: int | None = None) -> int:

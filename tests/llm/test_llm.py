@@ -309,22 +309,26 @@ def test_quality_classifier(spark, docs, none):
     assert all(r.kept == (r.perplexity is not None) for r in kneser_ney.judge(docs, nothing).collect())
 
 
-def test_backoff(docs, none):
+@pytest.mark.parametrize("settings", [backoff.Settings(classes=8, hot=4, pairs_per_partition=500, slice_bytes=300), backoff.Settings()])
+def test_backoff(docs, none, settings):
     rows = [(r.doc_id, r.text, words((r.text or "").lower())) for r in docs.collect()]
+    ids = {w: int(backoff.word_ids(pa.array([w]))[1][0]) for *_, ws in rows for w in ws}
     c1 = collections.Counter(w for *_, ws in rows for w in ws)
+    classes = collections.Counter()
+    for w, n in c1.items():
+        classes[ids[w] % settings.classes] += n
     c2 = collections.Counter(p for *_, ws in rows for p in zip(ws, ws[1:]))
+    first = collections.Counter(v for *_, ws in rows for v in ws[:-1])
     total = sum(c1.values())
-    same = collections.Counter((i, t) for i, t, _ in rows)
     want = []
     for i, t, ws in rows:
-        m, s = same[(i, t)], 0.0
-        own = collections.Counter(zip([None, *ws], ws))
-        for (v, w), n in own.items():
-            n *= m
+        s = 0.0
+        for (v, w), n in collections.Counter(zip([None, *ws], ws)).items():
             o = 0 if v is None else c2[(v, w)] - n
-            s += n * (math.log(o / max(c1[v] - n, o)) if o > 0 else math.log(0.4 * max(c1[w] - n, 0.5) / max(total - n, 1)))
-        want.append((i, len(ws) * m, round(s, 6) if ws else None))
-    got = [(r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 6)) for r in backoff.score(docs).collect()]
+            cv = first[v]
+            s += n * (math.log(o / max(cv - n, o)) if o > 0 else math.log(0.4 * max(classes[ids[w] % settings.classes] - n, 0.5) / max(total - n, 1)))
+        want.append((i, len(ws), f"{s:.6f}" if ws else None))
+    got = [(r.doc_id, r.n_words, None if r.log_score is None else f"{r.log_score:.6f}") for r in backoff.score(docs.repartition(3), settings).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert backoff.score(none).count() == 0
 
