@@ -67,6 +67,11 @@ def compare(op: str, a: Column, ta: str | None, b: Column, tb: str | None, only_
     a_value, b_value: the value where a side is a literal; an INTEGER column against a
     REAL literal then becomes a comparison with an integer, which reaches the scan.
     """
+    # an integer literal that REAL holds exactly is compared as REAL, which reaches the scan
+    if ta == "REAL" and tb == "INTEGER" and type(b_value) is int and abs(b_value) <= 2**53:
+        b, tb, b_value = F.lit(float(b_value)), "REAL", float(b_value)
+    if tb == "REAL" and ta == "INTEGER" and type(a_value) is int and abs(a_value) <= 2**53:
+        a, ta, a_value = F.lit(float(a_value)), "REAL", float(a_value)
     if ta == "INTEGER" and tb == "REAL":
         if isinstance(b_value, float):
             return _int_against(op, a, b_value)

@@ -710,8 +710,10 @@ class Compiler:
             for p in parts:
                 self.need(p, ("TEXT",), e.pos, "||")
             return Typed(F.concat(*[p.col.cast("string") for p in parts]), "TEXT", can_fail=any(p.can_fail for p in parts))
-        for b in reversed(chain):
-            right = self.expr(b.right, inner)
+        rights = [(b, self.expr(b.right, inner)) for b in reversed(chain)]
+        if len(rights) > 64 and level == 3 and left.type in ("INTEGER", "REAL") and all(t.type == left.type for _, t in rights):
+            return _long_sum(left, rights)
+        for b, right in rights:
             for t in (left, right):
                 self.need(t, ("INTEGER",) if b.op == "%" else ("INTEGER", "REAL"), b.pos, b.op)
             kind = "REAL" if "REAL" in (left.type, right.type) else "INTEGER" if left.type and right.type else None
@@ -914,6 +916,18 @@ def _balanced(cols: list[Column], join: Callable) -> Column:
     return cols[0]
 
 
+def _long_sum(first: Typed, rest: list[tuple[ast.Binary, Typed]]) -> Typed:
+    """A long chain of + and -, from left to right, as a fold over an array: a flat tree."""
+    kind, pos = first.type, rest[-1][0].pos
+    terms = F.array(*[F.struct(F.lit(b.op == "-").alias("minus"), _wide(t).alias("x")) for b, t in rest])
+
+    def step(a: Column, t: Column) -> Column:
+        out = F.when(t["minus"], a - t["x"]).otherwise(a + t["x"])
+        return B.finite(out, [a, t["x"]], pos) if kind == "REAL" else out
+
+    return Typed(F.aggregate(terms, _wide(first), step), kind, can_fail=any(t.can_fail for _, t in rest) or first.can_fail)
+
+
 def _conjuncts(e: ast.Expr) -> list[ast.Expr]:
     out = []
     while isinstance(e, ast.Binary) and e.op == "AND":
