@@ -26,6 +26,8 @@ from quillon.functions import bridge as B
 from quillon.plans import ast, printer
 from quillon.plans.parser import deep
 
+#: Sums of REAL are compensated, which takes a group's values together, where the tables cannot give more rows than this.
+EXACT_ROWS = 100_000
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
 _NONE = object()
 
@@ -61,7 +63,7 @@ class Relation:
     cols: list[tuple[str, str | None]]
     hidden: int = 0  # so many columns at the start are hidden
     key: list[str] = field(default_factory=list)
-    stored: bool = False
+    rows: int | None = None  # where known
 
 
 @dataclass
@@ -98,7 +100,7 @@ class Rel:
     domain: list[str]
     key: list[Col]
     joined: bool = False
-    exact: bool = False
+    rows: int | None = 1  # at most so many, None if unknown
 
 
 @dataclass
@@ -147,7 +149,7 @@ class Compiler:
         rel = Rel(df if df is not None else self.spark.range(1).select(F.lit(1).alias(self.fresh())), scope, list(ids), [])
         for k, s in enumerate(q.sources):
             t, right, found = self.table(s, scope.tables)
-            rel.exact = rel.exact or found.stored
+            rel.rows = rel.rows * max(1, found.rows) if rel.rows is not None and found.rows is not None else None
             if k == 0:
                 rel.df = rel.df.crossJoin(right) if domain else right
                 scope.tables.append(t)
@@ -409,7 +411,7 @@ class Compiler:
             for x in _aggregates(e):
                 calls.setdefault(self.canon(x, scope), x)
         aggs, args, aggmap = [], [], {}
-        exact = self.exact_sums if self.exact_sums is not None else rel.exact
+        exact = self.exact_sums if self.exact_sums is not None else rel.rows is not None and rel.rows <= EXACT_ROWS
         for text, call in calls.items():
             arg, out = self.aggregate(call, replace(pre, clause="an aggregate"), args, exact)
             i = self.fresh()
