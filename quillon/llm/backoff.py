@@ -19,7 +19,7 @@ more; words with such a share (at most ``hot``) are known to all tasks, and thei
 partitioned by both words, others by the first alone.  So no partition holds more than
 its part and 1/``hot`` of all pairs.  Pairs travel packed: for a slice of documents and
 a partition the first words in runs, the second words, and the place of the document,
-some 12 bytes a pair, and are shuffled once.  Sums come back packed likewise.  What is
+some 7 bytes a pair, and are shuffled once.  Sums come back packed likewise.  What is
 sent to all tasks is bounded by ``classes`` and ``hot``.
 
 Cases: words are compared in lower case and by 48-bit hashes; a null text or one
