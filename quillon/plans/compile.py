@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime
 import itertools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -660,6 +661,12 @@ class Compiler:
                     return Typed(B.null(e.type), e.type)
                 if e.type not in B.CASTS[x.type]:
                     raise SqlError(*e.pos, f"no CAST from {x.type} to {e.type}")
+                if e.type == "TIMESTAMP" and isinstance(x.value, str) and re.match(B._RFC3339, x.value):
+                    try:  # a constant, which reaches the scan
+                        at = datetime.datetime.fromisoformat(x.value).astimezone(datetime.UTC).replace(tzinfo=None)
+                        return Typed(B.literal(at, "TIMESTAMP"), "TIMESTAMP", at)
+                    except ValueError:
+                        pass
                 return Typed(B.cast(_wide(x), x.type, e.type, e.pos), e.type, can_fail=True)
             case ast.Case():
                 return self.case(e, inner)
