@@ -4,23 +4,26 @@ Method: every text is exploded into pairs (previous word, word).  Pairs are
 partitioned by a hash and joined there with the counts of pairs and of first words,
 which the same partition has; the result is summed per document.  A pair is scored by
 its count outside the document over that of its first word if it occurs outside at
-all, else by ``alpha`` times the share of its second word, of which tables hold the
-counts by hash class (``classes`` of them).  A document's own occurrences of a pair
-are left out of all counts, so that it does not vouch for itself.
+all, else by ``alpha`` times the share of its second word.  A document's own
+occurrences of a pair are left out of all counts, so that it does not vouch for itself.
 
     seen elsewhere:  (c(v w) - own) / max(c(v) - own, c(v w) - own)
-    else:            alpha * max(c(class of w) - own, 1/2) / max(N - own, 1)
+    else:            alpha * max(c(w) - own, 1/2) / max(N - own, 1)
 
 The first word of a text has no pair and is scored by its share alone.
 
 Scale: all counts are taken over the whole corpus and grow with it.  One pass counts
-classes, one counts the first words in the classes that hold 1/``hot`` of all words or
-more; words with such a share (at most ``hot``) are known to all tasks, and their pairs are
-partitioned by both words, others by the first alone.  So no partition holds more than
-its part and 1/``hot`` of all pairs.  Pairs travel packed: for a slice of documents and
-a partition the first words in runs, the second words, and the place of the document,
-some 7 bytes a pair, and are shuffled once.  Sums come back packed likewise.  What is
-sent to all tasks is bounded by ``classes`` and ``hot``.
+words by ``screen`` hash classes, one counts exactly the words in the classes that hold
+1/``hot`` of all words or more; words with such a share (at most ``hot``) are known to all
+tasks, and their pairs are partitioned by both words, others by the first alone.  So no
+partition holds more than its part and 1/``hot`` of all pairs.  Pairs travel packed: for a
+slice of documents and a partition the first words in runs, the second words, and the
+place of the document, some 7 bytes a pair, and are shuffled once.  All other words are
+counted in a table partitioned by their hash, one row a word; the second words of pairs
+that back off go there, and are joined with their counts.  A partition of that join holds
+its part and less than 1/``hot`` of all words.  Sums come back packed likewise.  What is
+sent to all tasks is bounded by ``screen`` and ``hot``.  Words are counted by their 48-bit
+ids modulo ``classes``: by default by the ids themselves.
 
 Cases: words are compared in lower case and by 48-bit hashes; a null text or one
 without words has 0 words and a null score; texts of any length are read whole;
@@ -49,7 +52,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Settings:
     alpha: float = 0.4
-    classes: int = 1 << 16
+    classes: int = 1 << 48
+    screen: int = 1 << 16
     hot: int = 4096
     pairs_per_partition: int = 2_000_000
     slice_bytes: int = 8 << 20
@@ -57,12 +61,13 @@ class Settings:
 
 @dataclass(frozen=True)
 class Shares:
-    """What every task knows: words in all, words of each class, counts of the hot words (sorted) as first words of pairs."""
+    """What every task knows: words in all, counts of the hot words (sorted) as first words of pairs, counts of the hot keys (sorted)."""
 
     total: int
-    classes: np.ndarray
     hot_words: np.ndarray
     hot_counts: np.ndarray
+    hot_keys: np.ndarray
+    hot_key_counts: np.ndarray
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,20 +104,69 @@ def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, unpack6(rest[: 6 * n]), np.frombuffer(rest[6 * n :].tobytes(), "<u2").astype(np.int64)
 
 
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return np.array([len(keys)], "<u4").tobytes() + pack6(keys) + counts.astype("<i8").tobytes()
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return unpack6(np.frombuffer(data, np.uint8, 6 * n, 4)), np.frombuffer(data[4 + 6 * n :], "<i8", n)
+
+
+def add_counts(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, sums of their counts) over packed tables."""
+    found = [unpack_counts(b) for b in blobs]
+    keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(f[0] for f in found)]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, at, np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)]))
+    return keys, counts
+
+
+def pack_asked(key: np.ndarray, slices: np.ndarray, doc: np.ndarray, own: np.ndarray) -> bytes:
+    """Runs of equal slices (sorted), then keys and docs, then the few occurrences other than 1."""
+    begins = np.flatnonzero(np.diff(slices, prepend=slices[:1] ^ 1))
+    many = np.flatnonzero(own != 1)
+    head = np.array([len(key), len(begins), len(many)], "<u4").tobytes()
+    return head + slices[begins].astype("<i8").tobytes() + np.diff(np.append(begins, len(key))).astype("<u4").tobytes() + pack6(key) + doc.astype("<u2").tobytes() + many.astype("<u4").tobytes() + own[many].astype("<u4").tobytes()
+
+
+def unpack_asked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, r, m = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    slices = np.repeat(np.frombuffer(data, "<i8", r, 12), np.frombuffer(data, "<u4", r, 12 + 8 * r))
+    at = 12 + 12 * r
+    own = np.ones(n, np.int64)
+    own[np.frombuffer(data, "<u4", m, at + 8 * n)] = np.frombuffer(data, "<u4", m, at + 8 * n + 4 * m)
+    return unpack6(np.frombuffer(data, np.uint8, 6 * n, at)), slices, np.frombuffer(data, "<u2", n, at + 6 * n).astype(np.int64), own
+
+
+def pack_sums(slices: np.ndarray, docs: np.ndarray, sums: np.ndarray) -> list[bytes]:
+    """For each slice its documents and their sums; a document is (rank of its slice << 16) + place, and sorted."""
+    at = np.searchsorted(docs >> 16, np.arange(len(slices) + 1))
+    return [np.array([b - a], "<u4").tobytes() + (docs[a:b] & 0xFFFF).astype("<u2").tobytes() + sums[a:b].astype("<f8").tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
+def add_sums(total: np.ndarray, data: bytes) -> None:
+    k = int(np.frombuffer(data, "<u4", 1)[0])
+    total[np.frombuffer(data, "<u2", k, 4)] += np.frombuffer(data, "<f8", k, 4 + 2 * k)
+
+
 def shares(texts: DataFrame, settings: Settings) -> Shares:
-    """Two passes: class counts; then exact counts of the words of the fullest classes."""
-    spark, classes = texts.sparkSession, settings.classes
+    """Two passes: counts by screen class; then exact counts of the words of the fullest classes."""
+    spark, screen, classes = texts.sparkSession, settings.screen, np.uint64(settings.classes)
+
+    def class_of(w: np.ndarray) -> np.ndarray:
+        return (w % classes % np.uint64(screen)).astype(np.int64)
 
     def by_class(batches):
-        held = np.zeros(classes, np.int64)
+        held = np.zeros(screen, np.int64)
         for batch in batches:
             for t in text_slices(batch.column(0)):
-                held += np.bincount((word_ids(t)[1] % np.uint64(classes)).astype(np.int64), minlength=classes)
+                held += np.bincount(class_of(word_ids(t)[1]), minlength=screen)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["k", "c"])
 
-    sums = texts.mapInArrow(by_class, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most ``classes`` rows
-    table = np.zeros(classes, np.int64)
+    sums = texts.mapInArrow(by_class, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most ``screen`` rows
+    table = np.zeros(screen, np.int64)
     for k, c in sums:
         table[k] = c
     total = int(table.sum())
@@ -123,39 +177,52 @@ def shares(texts: DataFrame, settings: Settings) -> Shares:
         for batch in batches:
             for t in text_slices(batch.column(0), settings.slice_bytes):
                 n, w = word_ids(t)
-                w = np.delete(w, (np.cumsum(n) - 1)[n > 0])  # the last word of a text is no first word of a pair
-                u, c = np.unique(w[full.value[(w % np.uint64(classes)).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["k", "c"])
-
-    hot = texts.mapInArrow(of_full, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).orderBy("k").collect()  # at most ``hot`` rows, as all counts add up to the total
-    return Shares(total, table, np.array([k for k, _ in hot], np.uint64), np.array([c for _, c in hot], np.int64))
-
-
-def is_hot(v: np.ndarray, s: Shares) -> tuple[np.ndarray, np.ndarray]:
-    if not len(s.hot_words):
-        return np.zeros(len(v), bool), np.zeros(len(v), np.int64)
-    at = np.minimum(np.searchsorted(s.hot_words, v), len(s.hot_words) - 1)
-    return s.hot_words[at] == v, at
-
-
-def score_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray, s: Shares, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, sums of log scores) of the pairs of one partition."""
+                last = np.zeros(len(w), bool)
+                last[(np.cumsum(n) - 1)[n > 0]] = True  # the last word of a text is no first word of a pair
+                into = full.value[class_of(w)]
+                u, at = np.unique(w[into], return_inverse=True)
+                first = np.bincount(at[~last[into]], minlength=len(u))
+                keys, of = np.unique(u % classes, return_inverse=True)
+                every = np.zeros(len(keys), np.int64)
+                np.add.at(every, of, np.bincount(at, minlength=len(u)))
+                k = np.concatenate([u, keys]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(k)) >= len(u)), pa.array(k), pa.array(np.concatenate([first, every]))], names=["key", "k", "c"])
+
+    hot = texts.mapInArrow(of_full, "key boolean, k long, c long").groupBy("key", "k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).orderBy("k").collect()  # at most 2 * ``hot`` rows, as all counts add up to the total
+    return Shares(total, *(np.array([r[x] for r in hot if r["key"] == key], kind) for key in (False, True) for x, kind in (("k", np.uint64), ("c", np.int64))))
+
+
+def find(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is among the sorted ones, where)."""
+    if not len(among):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return among[at] == x, at
+
+
+def score_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray, s: Shares, settings: Settings) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, sums of log scores) of the pairs of one partition, without the counts of (keys, documents, occurrences) still to be asked for."""
     docs, doc = np.unique(doc, return_inverse=True)
     with np.errstate(over="ignore"):
         pair_names, pair = np.unique(mix(mix(v) + w * _STEP), return_inverse=True)
     pair_total = np.bincount(pair, minlength=len(pair_names))
     firsts, first_of = np.unique(v, return_inverse=True)
     first_total = np.bincount(first_of, minlength=len(firsts))
-    hot, at = is_hot(firsts, s)
+    hot, at = find(firsts, s.hot_words)
     first_total[hot] = s.hot_counts[at[hot]] if hot.any() else 0
     _, one, own = np.unique(pair.astype(np.int64) * len(docs) + doc, return_index=True, return_counts=True)
     other = pair_total[pair[one]] - own
     other[v[one] == 0] = 0
     known = first_total[first_of[one]]
-    share = np.maximum(s.classes[(w[one] % np.uint64(len(s.classes))).astype(np.int64)] - own, 0.5) / np.maximum(s.total - own, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        value = np.where(other > 0, np.log(other / np.maximum(known - own, other)), np.log(alpha * share))
-    return docs, np.bincount(doc[one], weights=own * value, minlength=len(docs))
+        value = np.where(other > 0, np.log(other / np.maximum(known - own, other)), np.log(settings.alpha / np.maximum(s.total - own, 1)))
+    back = np.flatnonzero(other <= 0)
+    key = w[one[back]] % np.uint64(settings.classes)
+    hot, at = find(key, s.hot_keys)
+    if hot.any():
+        value[back[hot]] += np.log(np.maximum(s.hot_key_counts[at[hot]] - own[back[hot]], 0.5))
+    ask = back[~hot]
+    return docs, np.bincount(doc[one], weights=own * value, minlength=len(docs)), (key[~hot], docs[doc[one[ask]]], own[ask])
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +232,12 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     known = shares(source.select("_text"), settings)
     parts = max(1, -(-known.total // settings.pairs_per_partition))
     sent = spark.sparkContext.broadcast(known)
-    alpha = settings.alpha
+
+    def dealt(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order by partition of the word table, where each partition begins)."""
+        part = (mix(key + np.uint64(5)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
 
     def explode(batches):
         from pyspark import TaskContext
@@ -182,13 +254,18 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                 v[1:] = w[:-1]
                 v[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
                 by = v.copy()
-                both = is_hot(v, sent.value)[0] | (v == 0)
+                both = find(v, sent.value.hot_words)[0] | (v == 0)
                 with np.errstate(over="ignore"):
                     by[both] = mix(v[both]) + w[both] * _STEP
                 part = (mix(by + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.arange(parts + 1))
                 rows = [(k, number, pack_pairs(v[o], w[o], doc[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
+                keys, counts = np.unique(w % np.uint64(settings.classes), return_counts=True)
+                rare = ~find(keys, sent.value.hot_keys)[0]
+                keys, counts = keys[rare], counts[rare]
+                order, at = dealt(keys)
+                rows += [(-1 - parts - k, number, pack_counts(keys[o], counts[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
                 null = np.array(ids.is_null())
                 head = np.array([len(n)], "<u4").tobytes() + null.astype(np.uint8).tobytes() + pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + n.astype("<i8").tobytes()
                 rows.append((-1 - number % parts, number, head))  # who the documents of this slice are
@@ -196,17 +273,44 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slice", "data"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["part"].iloc[0] < 0:
-            return pd.DataFrame({"slice": pdf["slice"], "head": True, "data": pdf["data"]})
+        """Heads and sums go on to their slice (-1 - slice), counts and what is asked for to a partition of the word table."""
+        part = int(pdf["part"].iloc[0])
+        if part < -parts:
+            return pd.DataFrame({"to": [-part - 1 - parts], "slice": [0], "kind": ["count"], "data": [pack_counts(*add_counts(pdf["data"]))]})
+        if part < 0:
+            return pd.DataFrame({"to": -1 - pdf["slice"], "slice": pdf["slice"], "kind": "head", "data": pdf["data"]})
         slices, rank = np.unique(pdf["slice"].to_numpy(), return_inverse=True)
         found = [unpack_pairs(d) for d in pdf["data"]]
         doc = np.concatenate([f[2] + (int(r) << 16) for f, r in zip(found, rank)])
         v, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         del found
-        docs_, sums = score_pairs(v, w, doc, sent.value, alpha)
-        at = np.searchsorted(docs_ >> 16, np.arange(len(slices) + 1))
-        data = [np.array([b - a], "<u4").tobytes() + (docs_[a:b] & 0xFFFF).astype("<u2").tobytes() + sums[a:b].astype("<f8").tobytes() for a, b in zip(at[:-1], at[1:])]
-        return pd.DataFrame({"slice": slices, "head": False, "data": data})
+        docs_, sums, (key, asker, own) = score_pairs(v, w, doc, sent.value, settings)
+        out = [(-1 - s, s, "sum", d) for s, d in zip(slices, pack_sums(slices, docs_, sums))]
+        by_doc = np.argsort(asker, kind="stable")
+        key, asker, own = key[by_doc], asker[by_doc], own[by_doc]
+        order, at = dealt(key)
+        out += [(k, 0, "ask", pack_asked(key[o], slices[asker[o] >> 16], asker[o] & 0xFFFF, own[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
+        return pd.DataFrame(out, columns=["to", "slice", "kind", "data"])
+
+    def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a slice the sums so far; of a partition of the word table the terms of the words asked for."""
+        of = {kind: pdf["data"][pdf["kind"] == kind] for kind in ("head", "sum", "count", "ask")}
+        if pdf["to"].iloc[0] < 0:
+            total = np.zeros(int(np.frombuffer(of["head"].iloc[0], "<u4", 1)[0]))
+            for data in of["sum"]:
+                add_sums(total, data)
+            number = pdf["slice"].iloc[0]
+            return pd.DataFrame({"slice": number, "head": [True, False], "data": [of["head"].iloc[0], pack_sums(np.array([number]), np.arange(len(total)), total)[0]]})
+        if not len(of["ask"]):
+            return pd.DataFrame({"slice": [], "head": [], "data": []})
+        keys, counts = add_counts(of["count"])
+        found = [unpack_asked(d) for d in of["ask"]]
+        key, asker, doc, own = (np.concatenate([f[k] for f in found]) for k in range(4))
+        del found
+        value = own * np.log(np.maximum(counts[np.searchsorted(keys, key)] - own, 0.5))
+        slices, rank = np.unique(asker, return_inverse=True)
+        docs_, at = np.unique((rank.astype(np.int64) << 16) + doc, return_inverse=True)
+        return pd.DataFrame({"slice": slices, "head": False, "data": pack_sums(slices, docs_, np.bincount(at, weights=value, minlength=len(docs_)))})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf["data"][pdf["head"]].iloc[0]
@@ -215,13 +319,13 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         ids, n_words = np.frombuffer(head, "<i8", n, 4 + n), np.frombuffer(head, "<i8", n, 4 + 9 * n)
         total = np.zeros(n)
         for data in pdf["data"][~pdf["head"]]:
-            k = int(np.frombuffer(data, "<u4", 1)[0])
-            total[np.frombuffer(data, "<u2", k, 4)] += np.frombuffer(data, "<f8", k, 4 + 2 * k)
+            add_sums(total, data)
         some = n_words > 0
         return pd.DataFrame({"doc_id": ids, "n_words": n_words, "log_score": np.where(some, total, np.nan), "_null": null, "_none": ~some})
 
     packed = source.mapInArrow(explode, "part long, slice long, data binary")
-    sums = packed.groupBy("part").applyInPandas(join, "slice long, head boolean, data binary")
+    joined = packed.groupBy("part").applyInPandas(join, "to long, slice long, kind string, data binary")
+    sums = joined.groupBy("to").applyInPandas(look_up, "slice long, head boolean, data binary")
     out = sums.groupBy("slice").applyInPandas(gather, "doc_id long, n_words long, log_score double, _null boolean, _none boolean")
     score_ = F.when(~F.col("_none"), F.col("log_score"))
     return out.select(F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "n_words", score_.alias("log_score"), (score_ / F.col("n_words")).alias("mean_log_score"))

@@ -333,6 +333,22 @@ def test_backoff(docs, none, settings):
     assert backoff.score(none).count() == 0
 
 
+def test_backoff_counts_each_word(spark):
+    """Words that agree in the low bits of their ids have counts of their own, in the table of hot words and in that of others."""
+    forms = [f"w{k}" for k in range(1500)]
+    ids = backoff.word_ids(pa.array([" ".join(forms)]))[1] & np.uint64(0xFFFF)
+    held = {}
+    common, rare = next((held[i], w) for w, i in zip(forms, ids.tolist()) if i in held or held.update({i: w}))
+    rows = [(k, f"{common} f{k}") for k in range(50)] + [(50, rare), (51, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2, 4096):
+        got = {r.doc_id: r.log_score for r in backoff.score(docs.repartition(3), backoff.Settings(hot=hot)).collect()}
+        total = sum(len(t.split()) for _, t in rows)
+        assert got[50] == pytest.approx(math.log(0.4 * 0.5 / (total - 1)))
+        assert got[51] == pytest.approx(2 * math.log(0.4 * 0.5 / (total - 1)))
+        assert got[7] == pytest.approx(math.log(0.4 * 49 / (total - 1)) + math.log(0.4 * 0.5 / (total - 1)))
+
+
 def test_sharding(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000, fan_in=3, smallest=2_000)
     assert store.version() == 0
