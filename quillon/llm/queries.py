@@ -31,8 +31,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return kneser_ney.judge(docs, kneser_ney.train(docs, read_table(spark, sf_dir, "labels")))
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

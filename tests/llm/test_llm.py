@@ -309,6 +309,23 @@ def test_quality_classifier(spark, docs, none):
     assert all(r.kept == (r.perplexity is not None) for r in kneser_ney.judge(docs, nothing).collect())
 
 
+def test_rare_language_has_its_own_quantile(spark):
+    """A language with a hundredth of the trusted rows is fitted on, and judged by all of its rows that were not."""
+    rows = [(k, prose(20, k), "big") for k in range(4000)] + [(5000 + k, " ".join(f"r{j}" for j in np.random.default_rng(k).integers(0, 300, 20)), "rare") for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = kneser_ney.Settings(per_language=50, train_words=3000)
+    labels = d.selectExpr("doc_id", "1 AS quality")
+    got = kneser_ney.trusted_rows(d, labels, settings)
+    assert sum(r["_lang"] == "rare" for r in got) > 10 and sum(len(r["_text"]) / 5 for r in got) <= settings.train_words
+    model = kneser_ney.train(d, labels, settings)
+    fitted = {r["_id"] for r in got}
+    for lang in ("big", "rare"):
+        held = [t for k, t, x in rows if x == lang and k not in fitted]
+        value = np.sort(kneser_ney.log_perplexity(pa.array(held), model.tables, model.unknown))
+        assert len(held) >= 10 and model.limits["=" + lang] - settings.slack == pytest.approx(value[math.ceil(0.99 * len(value)) - 1], abs=1e-9 if lang == "rare" else 0.02)
+    assert sorted(map(str, kneser_ney.classify(d, labels, settings).collect())) == sorted(map(str, kneser_ney.judge(d, model).collect()))
+
+
 @pytest.mark.parametrize("settings", [backoff.Settings(classes=8, hot=4, pairs_per_partition=500, slice_bytes=300), backoff.Settings()])
 def test_backoff(docs, none, settings):
     rows = [(r.doc_id, r.text, words((r.text or "").lower())) for r in docs.collect()]
