@@ -326,6 +326,18 @@ def test_rare_language_has_its_own_quantile(spark):
     assert sorted(map(str, kneser_ney.classify(d, labels, settings).collect())) == sorted(map(str, kneser_ney.judge(d, model).collect()))
 
 
+def test_huge_trusted_text_leaves_the_others(spark):
+    """A text that the budget has no room for is left out alone, wherever it stands in hash order."""
+    ids = spark.range(200).selectExpr("id AS doc_id", "1 AS quality")
+    first = min((r for r in kneser_ney.good_ids(ids).collect() if not r["_held"]), key=lambda r: r["_u"])["_id"]
+    rows = [(k, prose(40000 if k == first else 20, k), "en") for k in range(200)] + [(1000, " | ".join(f"q{j}" for j in range(60)), "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = kneser_ney.Settings(train_words=20_000)
+    got = kneser_ney.trusted_rows(d, ids, settings)
+    assert len(got) > 100 and first not in {r["_id"] for r in got}
+    assert not [r for r in kneser_ney.classify(d, ids, settings).collect() if r.doc_id == 1000][0].kept
+
+
 @pytest.mark.parametrize("settings", [backoff.Settings(classes=8, hot=4, pairs_per_partition=500, slice_bytes=300), backoff.Settings()])
 def test_backoff(docs, none, settings):
     rows = [(r.doc_id, r.text, words((r.text or "").lower())) for r in docs.collect()]
