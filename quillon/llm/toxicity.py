@@ -11,7 +11,9 @@ each document likewise, so a long document with few toxic words is learned and f
 
 Scale: the model is fitted on at most ``per_class`` labelled documents of each class
 and ``train_chars`` characters in all, taken in the order of a hash of their ids:
-bounded by these parameters.  It is ``buckets`` x ``dim`` numbers whatever the input,
+bounded by these parameters.  Where a class has more characters than its half, its
+longest texts alone are shortened, to one common length that makes it fit, and give
+up to 16 pieces spread evenly over the text.  It is ``buckets`` x ``dim`` numbers whatever the input,
 and the table sent to executors is one number per bucket, as a linear softmax of
 averages is an average of numbers.  Scoring is one pass in Arrow batches, no shuffle.
 
@@ -238,8 +240,16 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _pieces(text: Column, length: Column, most: Column) -> Column:
+    """At most ``most`` characters of a longer text, in pieces spread evenly over it."""
+    k = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(most / 200))).cast("int")
+    size = F.floor(most / k).cast("int") - 1
+    starts = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * (length - size) / F.greatest(k - 1, F.lit(1))).cast("int") + 1)
+    return F.array_join(F.transform(starts, lambda at: F.substring(text, at, size)), " ")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, np.ndarray]:
-    """A bounded sample of labelled texts: the first ``per_class`` ids of each class in hash order, then whole texts up to ``train_chars``."""
+    """A bounded sample of labelled texts: the first ``per_class`` ids of each class in hash order, of which the longest are shortened so that all fit into ``train_chars``."""
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~is_held_out(F.col("_id")))
     usable = usable.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_h", F.xxhash64("_id", F.lit(settings.seed)))
     picked = None
@@ -248,7 +258,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")  # at most 2 * per_class ids
     rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).filter("_first = 1")
-    rows = rows.withColumn("_sum", F.sum(F.length("_text")).over(Window.partitionBy("_toxic").orderBy("_h", "_id"))).filter(F.col("_sum") <= settings.train_chars // 2)
+    # the common length: the largest fair share that any text, from the shortest on, finds left
+    by_length = Window.partitionBy("_toxic").orderBy("_n", "_h", "_id")
+    rows = rows.withColumn("_n", F.coalesce(F.length("_text"), F.lit(0))).withColumn("_left", settings.train_chars // 2 - F.sum("_n").over(by_length) + F.col("_n"))
+    rows = rows.withColumn("_share", F.col("_left") / (F.count("*").over(Window.partitionBy("_toxic")) - F.row_number().over(by_length) + 1))
+    rows = rows.withColumn("_most", F.floor(F.max("_share").over(Window.partitionBy("_toxic"))).cast("int")).withColumn("_text", F.when(F.col("_n") > F.col("_most"), _pieces(F.col("_text"), F.col("_n"), F.col("_most"))).otherwise(F.col("_text")))
     got = sorted(rows.select("_h", "_id", "_text", "_toxic").collect())
     return [r["_text"] for r in got], np.array([r["_toxic"] for r in got], dtype=np.int64)
 

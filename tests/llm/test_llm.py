@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillon.llm import backoff, bpe, embedding_dedup, graph, jaccard, kneser_ney, mixing, packing, quality_rules, sharding, token_counts, toxicity
 from quillon.llm.common import text_slices
 
@@ -159,6 +161,23 @@ def test_toxicity_never_learns_from_held_out(spark):
     assert toxicity.score_texts(pa.array(["x"]), toxicity.fit([], np.empty(0)))[0] < 1e-9
 
 
+def test_huge_labelled_text_leaves_its_class(spark):
+    """One text longer than the budget, first in hash order, costs neither its class nor the others' characters."""
+    settings = toxicity.Settings(train_chars=60_000)
+    rows = toxic_rows(120, 5)
+    ids = spark.range(120).filter(~toxicity.is_held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(settings.seed)))
+    for label in (0, 1):
+        huge = next(r.id for r in ids.collect() if rows[r.id][2] == label)
+        changed = [(k, (t + " ") * 200 if k == huge else t, y) for k, t, y in rows]
+        d = spark.createDataFrame(changed, "doc_id long, text string, toxic int")
+        texts, y = toxicity.training_rows(d, d.select("doc_id", "toxic"), settings)
+        assert len(texts) == ids.count() and set(y) == {0, 1}
+        for c in (0, 1):
+            assert sum(len(t) for t, z in zip(texts, y) if z == c) <= settings.train_chars // 2
+        whole = {t for _, t, _ in changed}
+        assert sum(t not in whole for t in texts) <= sum(z == label for z in y) and any(len(t) > 1000 for t in texts)
+
+
 def filled(sizes, weights=(1, 2, 3), most=3):
     names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     w = {s: weights[k % 3] for k, s in enumerate(names)}
