@@ -1,10 +1,13 @@
-"""Things several operators share: word splitting, checkpoints, temporary folders."""
+"""Things several operators share: word splitting, tables that cut a lineage, the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
+import sys
 import tempfile
 import uuid
-
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +41,8 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where spark.checkpoint.dir is unset (tests on one machine) a local folder
-    is made and used.
+    Where spark.checkpoint.dir is unset, a local folder is made and used if the session
+    runs in one process (as in tests); on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -47,18 +50,51 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="quillon-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives the loss of executors."""
+def written(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, and where it lies: its lineage is cut, lost executors cost
+    nothing that came before, and a reader takes the columns it needs."""
     spark = df.sparkSession
-    at = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
+    at = scratch(spark, name)
+    df.write.parquet(at)
+    give_back(spark)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the shared folder."""
+    return written(df)[0]
+
+
+def give_back(spark: SparkSession) -> None:
+    """Give memory that is free but held back to the system.
+
+    Python's, Arrow's, and what compilers and codecs of the driver's JVM left in malloc's
+    arenas, which grow by some MB with each plan of many operators and never shrink by themselves.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    methods = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+
+    def call(name: str, *args):  # by the interface, as the server's own class isn't open to callers
+        packed = gateway.new_array(jvm.java.lang.Object, len(args))
+        for k, x in enumerate(args):
+            packed[k] = x
+        return next(m for m in methods if m.getName() == name and len(m.getParameterTypes()) == len(args)).invoke(server, packed)
+
+    if call("isRegistered", commands) and any(o.getName() == "systemTrimNativeHeap" for o in call("getMBeanInfo", commands).getOperations()):
+        call("invoke", commands, "systemTrimNativeHeap", None, None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -13,13 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import delete, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node with an edge to another, root being the least node reachable."""
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
-    e, seen = checkpoint(e), None
+    (e, at), seen = written(e, "edges"), None
     for _ in range(most_rounds):
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if not now[0] or now == seen:
@@ -30,7 +30,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo")
-        e = checkpoint(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+        before = at
+        e, at = written(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        delete(e.sparkSession, before)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -8,13 +8,18 @@ m of n values equal and a uniform prior the posterior of the similarity is
 Beta(m + 1, n - m + 1), and a pair is dropped when the chance that it reaches the
 threshold falls below ``tolerance``.  The rest is verified exactly on the sets.
 
-Scale: buckets never become pairs.  Each bucket gives star edges to its least node,
-the connected parts of that graph are the groups in which all links must lie, and each
-text that has a candidate at all is sent once to its group.  A group of more than
-``block`` nodes is dealt as pairs of blocks, so a task holds two blocks at most; nodes
-of a block are compared in numpy, exact intersections come from matrix products over
-the shingles that occur twice.  Links leave a block as counts and a forest, linear in
-its nodes.  Hot keys (copies, buckets) are reduced by partial aggregation.
+Scale: buckets never become pairs.  The nodes of a bucket, or of a connected part of the
+graph of all buckets (a group), are compared in one unit.  For each group that is chosen
+which sends fewer texts: near copies share most of their buckets and are one unit; in a
+chain of documents that share boilerplate with their neighbours only, each bucket is a
+unit, and a pair counts in the first bucket it has in common.  A unit of more than
+``block`` nodes is dealt as pairs of blocks, so a task holds two blocks at most; nodes of
+a block are compared in numpy, exact intersections come from matrix products over the
+shingles that occur twice.  Links leave a block as counts and a forest, linear in its
+nodes.  Units are spread over as many tasks as their nodes ask for.  Hot keys (copies,
+buckets, classes) are reduced by partial aggregation, and joined with salt.  As the number
+of links of a document is asked for, a group of n near copies takes n^2 comparisons and
+n^2 / ``block`` texts sent.
 
 Cases: a text of one to four words is one shingle; a null text or one without words
 links with nothing; texts of any length are read whole; equal sets link with each
@@ -31,7 +36,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpoint, text_slices
@@ -41,6 +46,8 @@ from quillon.llm.shingles import minhasher, mix, shingle_sets
 THRESHOLD = 0.8
 BANDS, ROWS = 56, 7
 BLOCK = 512
+NODES_PER_TASK = 512
+SALTS = 16
 
 
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -56,8 +63,11 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n + 1
 
 
-def similar(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of left, one of right) of sets whose Jaccard similarity reaches the threshold."""
+def similar(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float, step: int, own: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of left, one of right) of sets whose Jaccard similarity reaches the threshold.
+
+    own: the buckets of each set, and the band that a pair's first common bucket must be of.
+    """
     sizes = np.array([len(s) for s in sets])
     k = sigs.shape[1]
     bounds = [(n, least_matches(n, threshold, tolerance)) for n in range(step, k + 1, step)]
@@ -74,6 +84,9 @@ def similar(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: n
                 equal[p : p + (1 << 16)] += (sigs[x[p : p + (1 << 16)], n - step : n] == sigs[y[p : p + (1 << 16)], n - step : n]).sum(1, dtype=np.int32)
             alive = equal >= least
             x, y, equal = x[alive], y[alive], equal[alive]
+        if own is not None:
+            mine = (own[0][x] == own[0][y]).argmax(1) == own[1]
+            x, y = x[mine], y[mine]
         found_x.append(x)
         found_y.append(y)
     x, y = np.concatenate(found_x) if found_x else np.empty(0, int), np.concatenate(found_y) if found_y else np.empty(0, int)
@@ -139,32 +152,49 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str, te
     return source.mapInArrow(run, f"id {id_type}, row long, node long, bands array<long>")
 
 
+def _units(nodes: DataFrame, block: int) -> DataFrame:
+    """(node, units): what each node that shares a bucket is to be compared in, as (unit, band or -1, parts)."""
+    bucketed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"), F.first("band").alias("band")).filter("n > 1")
+    buckets = checkpoint(buckets)
+    two = buckets.filter("n = 2").select("bucket", "band", "a", "n", F.explode(F.array("a", "b")).alias("node"))
+    more = bucketed.drop("band").join(buckets.filter("n > 2").select("bucket", "band", "a", "n"), "bucket")
+    members = checkpoint(two.unionByName(more))
+    groups = checkpoint(components(members.filter("a <> node"), "a", "node"))
+
+    def parts(n: str) -> Column:
+        return F.ceil(F.col(n) / block).cast("int")
+
+    # texts sent if the group is one unit, and if each of its buckets is
+    sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    as_buckets = buckets.join(groups.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.sum(F.col("n") * parts("n")).alias("cost"))
+    chosen = sized.join(as_buckets, "root").select("root", parts("size").alias("parts"), (F.col("cost") < F.col("size") * parts("size")).alias("split"))
+    chosen = checkpoint(groups.join(chosen, "root"))
+    whole = chosen.filter("NOT split").select("node", F.array(F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), "parts")).alias("units"))
+    split = members.join(chosen.filter("split").select("node"), "node").groupBy("node").agg(F.collect_list(F.struct(F.col("bucket").alias("unit"), "band", parts("n").alias("parts"))).alias("units"))  # at most a unit for each band
+    return whole.unionByName(split)
+
+
 def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int, tolerance: float, step: int, block: int, id_col: str, text_col: str) -> DataFrame:
     """(id, row, class, n_links, first): first is the row kept of each class."""
     k = bands * rows
     sketched = checkpoint(sketch(docs, shingle, bands, rows, id_col, text_col))
-    have = sketched.filter("node IS NOT NULL")
-    nodes = have.groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
-    # equal sets have equal bands: each node's bands once, as its first row has them
-    bucketed = have.join(nodes.select("node", "row"), ["node", "row"], "left_semi").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
-    buckets = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = buckets.select("a", "b").distinct()
-    more = bucketed.join(buckets.filter("n > 2").select("bucket", "a"), "bucket").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    groups = components(pairs.unionByName(more))
-
-    sized = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    wanted = groups.join(sized, "root").join(nodes, "node").select("row", "node", "copies", "root", "parts")
+    # equal sets have equal bands
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
+    nodes = checkpoint(sketched.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), first, F.first("bands").alias("bands")))
+    wanted = checkpoint(_units(nodes, block).join(nodes.select("node", "row", "copies", "bands"), "node"))
     source = docs.select(_row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     texts = source.join(wanted, "row").dropDuplicates(["row"])
-    part = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(5)), F.col("u.parts")).cast("int")
     cells = (
-        texts.withColumn("p", part)
-        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "copies", "text")
+        texts.select("node", "copies", "text", "bands", F.explode("units").alias("u"))
+        .withColumn("p", part)
+        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("u.parts") - 1)))
+        .select("u.unit", "u.band", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "copies", "text", F.when(F.col("u.band") >= 0, F.col("bands")).alias("bands"))
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["band"].iloc[0]
         pdf = pdf.sort_values(["p", "node"])
         sets = []
         for texts in text_slices(pa.array(pdf["text"], pa.large_string())):
@@ -173,7 +203,8 @@ def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
         hasher = minhasher(k)
         sigs = np.array([hasher(s) for s in sets])
         p, node, copies = pdf["p"].to_numpy(), pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        x, y = similar(sets, sigs, np.flatnonzero(p == i), np.flatnonzero(p == j), threshold, tolerance, step)
+        own = None if band < 0 else (np.array(pdf["bands"].tolist()), int(band))
+        x, y = similar(sets, sigs, np.flatnonzero(p == i), np.flatnonzero(p == j), threshold, tolerance, step, own)
         links = np.zeros(len(pdf), np.int64)
         np.add.at(links, x, copies[y])
         np.add.at(links, y, copies[x])
@@ -181,19 +212,22 @@ def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
         touched = np.unique(np.concatenate([x, y]))
         return pd.DataFrame({"node": node[touched], "links": links[touched], "root": node[root[touched]]})
 
-    found = checkpoint(cells.groupBy("root", "i", "j").applyInPandas(compare, "node long, links long, root long"))
+    # by work, not by bytes: a task takes about NODES_PER_TASK nodes
+    sent = wanted.select(F.explode("units").alias("u")).agg(F.sum("u.parts")).first()[0] or 0
+    dealt = cells.repartition(max(1, -(-sent // NODES_PER_TASK)), "unit", "i", "j")
+    found = checkpoint(dealt.groupBy("unit", "i", "j").applyInPandas(compare, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    info = (
-        nodes.select("node", "copies")
-        .join(links, "node", "left")
-        .join(linked, "node", "left")
-        .select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("_root"))
-    )
-    rows_of = sketched.select("id", "row", "node").join(info, "node", "left")
-    least = rows_of.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("id").alias("_class"), F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("_first"))
-    out = rows_of.join(least, "_root", "left")
-    return out.select("id", "row", F.when(F.col("_root").isNull(), F.col("id")).otherwise(F.col("_class")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("_root").isNull() | (F.col("_first.row") == F.col("row"))).alias("first"))
+    linked = checkpoint(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    own = nodes.select("node", "copies", "least", "first").join(links, "node", "left").join(linked, "node", "left")
+    own = own.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", "first", "root")
+    # classes of several nodes: a class may hold a third of all nodes, so its row is joined with salt
+    of_class = linked.join(nodes.select("node", "least", "first"), "node").groupBy("root").agg(F.min("least").alias("c_least"), F.min("first").alias("c_first"))
+    of_class = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    info = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(of_class, ["root", "salt"], "left")
+    info = info.select("node", "n_links", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("c_least")).alias("class"), F.coalesce("c_first", "first").alias("first"))
+    out = sketched.select("id", "row", "node").join(info, "node", "left")
+    alone = F.col("node").isNull()
+    return out.select("id", "row", F.when(alone, F.col("id")).otherwise(F.col("class")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("first.row") == F.col("row"))).alias("first"))
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, tolerance: float = 1e-9, step: int = 28, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

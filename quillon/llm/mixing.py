@@ -34,7 +34,7 @@ from quillon.llm.common import WORD, checkpoint
 WEIGHTS = (1, 2, 3)
 MOST = 3
 RAMP = 0.8
-ROWS_PER_BLOCK = 4_000
+ROWS_PER_BLOCK = 1_000
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -117,7 +117,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """One row per document: size, source_size, target, taken and the position of its first copy; range-sorted by position."""
     sized = checkpoint(sizes(docs, id_col, text_col, source_col))
     laid = lay_out(sized, **how)
-    out = laid.select("doc_id", "source", "size", "source_size", "target", taken().alias("taken"), position(F.col("start")).alias("position"))
+    out = laid.select("doc_id", "size", "source_size", "target", taken().alias("taken"), "source", position(F.col("start")).alias("position"))
     return out.orderBy("position", "doc_id")
 
 

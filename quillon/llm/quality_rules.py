@@ -9,8 +9,9 @@ pseudo-counts a bucket, shared out as in p_raw, so small samples give ratios nea
 comparing that score with a fixed threshold, so reruns decide alike.  Rules on counts
 of words, symbols and repetitions come first.
 
-Scale: two passes over the texts and no shuffle of them.  Counting shuffles at most
-two rows per bucket and task; the ratios are an array of ``buckets`` doubles that
+Scale: two passes over the texts and no shuffle of them (to count all trusted documents
+would take one beyond what can be broadcast).  Counting shuffles at most two rows per
+bucket and task; the ratios are an array of ``buckets`` doubles that
 reaches the executors as a scalar subquery.  All work on a text is linear or n log n
 in its length (repeated windows are found by sorting their hashes), inside one row.
 
@@ -31,6 +32,7 @@ from quillon.llm.common import let, words
 BUCKETS = 10_000
 THRESHOLD = -0.08
 PRIOR = 5
+TRUSTED = 50_000
 WINDOW = 5
 _SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -93,9 +95,9 @@ def trusted_ids(labels: DataFrame, most: int, id_col: str = "doc_id", label_col:
     return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_documents: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, one array: log(p_trusted / p_raw) of each bucket, smoothed."""
-    marked = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col).cast("string")).alias("_w")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
+    marked = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col).cast("string")).alias("_w")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")  # bounded by trusted_documents
     grams = marked.select(F.col("_trusted").isNotNull().cast("int").alias("_t"), F.explode(ngram_buckets(F.col("_w"), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
@@ -109,7 +111,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_c
     return one.select(F.transform("c", ratio).alias("ratios"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_documents: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the counts, base_failed, kept and score of every document, and the columns named in ``keep``."""
     ratios = log_ratios(docs, trusted_ids(labels, trusted_documents, id_col), buckets, id_col, text_col).scalar()
     text = F.coalesce(F.col("_text"), F.lit(""))
@@ -139,9 +141,6 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents kept, with their own columns."""
-    own = tuple(c for c in docs.columns if c != id_col)
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "doc_id"}
-    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(c) for c in docs.columns]).alias("_row")) if clash & set(own) else None
-    if packed is not None:
-        return judge(packed, labels, threshold, id_col=id_col, text_col=text_col, keep=("_row",)).filter("kept").select("_row.*")
-    return judge(docs, labels, threshold, id_col=id_col, text_col=text_col, keep=own).filter("kept").select(F.col("doc_id").alias(id_col), *own).select(*docs.columns)
+    packed = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    own = labels.select(F.col(id_col).alias("_i"), F.col("quality"))
+    return judge(packed, own, threshold, id_col="_i", text_col="_t", keep=("_row",)).filter("kept").select("_row.*")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_slices
+from quillon.llm.common import give_back, text_slices
 
 #: Characters taken off both ends of a word.
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-…«»“”‘’"
@@ -163,7 +163,7 @@ def _score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     return _sigmoid(total / np.maximum(count, 1) + model.bias)
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
+def fit(texts: pa.Array | list[str | None], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
     """Joint training of embeddings and softmax on labelled texts."""
     toxic = np.asarray(toxic, dtype=np.int64)
     flat = np.zeros(settings.buckets)
@@ -171,9 +171,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, settings: Settings = Setting
     if share in (0.0, 1.0):
         return Model(flat, 500.0 if share else -500.0, settings)
     rng = np.random.default_rng(settings.seed)
-    doc, word, forms = split_words(pa.array(texts, pa.large_string()))
+    doc, word, forms = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     ids, starts = subwords(forms, settings.buckets)
     part, owner = passages(doc, settings.passage_words)
+    doc, word, part = (x.astype(np.int32) for x in (doc, word, part))
+    pa.default_memory_pool().release_unused()
     if not len(owner):
         return Model(flat, float(np.log(share / (1 - share))), settings)
     at = np.concatenate([[0], np.cumsum(np.bincount(part))])
@@ -248,7 +250,7 @@ def _pieces(text: Column, length: Column, most: Column) -> Column:
     return F.array_join(F.transform(starts, lambda at: F.substring(text, at, size)), " ")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[pa.Array, np.ndarray]:
     """A bounded sample of labelled texts: the first ``per_class`` ids of each class in hash order, of which the longest are shortened so that all fit into ``train_chars``."""
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~is_held_out(F.col("_id")))
     usable = usable.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_h", F.xxhash64("_id", F.lit(settings.seed)))
@@ -263,8 +265,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col
     rows = rows.withColumn("_n", F.coalesce(F.length("_text"), F.lit(0))).withColumn("_left", settings.train_chars // 2 - F.sum("_n").over(by_length) + F.col("_n"))
     rows = rows.withColumn("_share", F.col("_left") / (F.count("*").over(Window.partitionBy("_toxic")) - F.row_number().over(by_length) + 1))
     rows = rows.withColumn("_most", F.floor(F.max("_share").over(Window.partitionBy("_toxic"))).cast("int")).withColumn("_text", F.when(F.col("_n") > F.col("_most"), _pieces(F.col("_text"), F.col("_n"), F.col("_most"))).otherwise(F.col("_text")))
-    got = sorted(rows.select("_h", "_id", "_text", "_toxic").collect())
-    return [r["_text"] for r in got], np.array([r["_toxic"] for r in got], dtype=np.int64)
+    got = rows.select("_h", "_id", "_text", "_toxic").toArrow()  # bounded by train_chars
+    got = got.take(pc.sort_indices(got, [("_h", "ascending"), ("_id", "ascending")]))
+    return got["_text"].cast(pa.large_string()).combine_chunks(), got["_toxic"].to_numpy().astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,7 +282,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    return fit(*training_rows(docs, labels, settings), settings)
+    model = fit(*training_rows(docs, labels, settings), settings)
+    give_back(docs.sparkSession)
+    return model
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -173,9 +173,9 @@ def test_huge_labelled_text_leaves_its_class(spark):
         texts, y = toxicity.training_rows(d, d.select("doc_id", "toxic"), settings)
         assert len(texts) == ids.count() and set(y) == {0, 1}
         for c in (0, 1):
-            assert sum(len(t) for t, z in zip(texts, y) if z == c) <= settings.train_chars // 2
+            assert sum(len(t) for t, z in zip(texts.to_pylist(), y) if z == c) <= settings.train_chars // 2
         whole = {t for _, t, _ in changed}
-        assert sum(t not in whole for t in texts) <= sum(z == label for z in y) and any(len(t) > 1000 for t in texts)
+        assert sum(t not in whole for t in texts.to_pylist()) <= sum(z == label for z in y) and any(len(t) > 1000 for t in texts.to_pylist())
 
 
 def filled(sizes, weights=(1, 2, 3), most=3):
