@@ -6,12 +6,19 @@ Spark's own operator gives another answer the builder says how it differs.
 
 from __future__ import annotations
 
+import math
 import re
 import string
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: An operand of more nodes than this is bound to a variable where an operator reads it more than once.
+LIGHT = 40
+#: The greatest finite double.
+BIG = 1.7976931348623157e308
 SPARK = {"INTEGER": "bigint", "REAL": "double", "BOOLEAN": "boolean", "TEXT": "string", "BLOB": "binary", "TIMESTAMP": "timestamp_ntz"}
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -35,6 +42,25 @@ def fail(pos, message: str, kind: str | None) -> Column:
     return F.raise_error(F.lit(f"line {pos[0]}, column {pos[1]}: {message}")).cast(SPARK.get(kind or "", "void"))
 
 
+def let(values: list[tuple[Column, int]], body: Callable[..., Column], light: int = LIGHT) -> Column:
+    """body of the columns, given with their numbers of nodes; heavy ones are computed once, however often body reads them.
+
+    Light ones are repeated, which generated code computes once, too.  A heavy one becomes
+    the variable of a lambda function: not part of generated code, but the expression's
+    size stays linear and it is computed only where its CASE branch is reached.
+    """
+    heavy = [k for k, (_, n) in enumerate(values) if n > light]
+    if not heavy:
+        return body(*[c for c, _ in values])
+    packed = F.struct(*[values[k][0].alias(f"v{k}") for k in heavy])
+    return F.element_at(F.transform(F.array(packed), lambda v: body(*[v[f"v{k}"] if k in heavy else c for k, (c, _) in enumerate(values)])), 1)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value bound to a variable in any case."""
+    return let([(value, LIGHT + 1)], body)
+
+
 # comparison
 
 
@@ -43,8 +69,12 @@ def _not_nan(x: Column, y: Column, result: Column) -> Column:
     return F.when(~(F.isnan(x) | F.isnan(y)), result)
 
 
-def _mixed(op: str, i: Column, f: Column) -> Column:
+def _mixed(op: str, a: tuple[Column, int], b: tuple[Column, int]) -> Column:
     """INTEGER against REAL exactly; Spark rounds the integer to a double first."""
+    return let([a, b], lambda i, f: _exactly(op, i, f))
+
+
+def _exactly(op: str, i: Column, f: Column) -> Column:
     whole = F.when(f >= 0, F.floor(f)).otherwise(F.ceil(f)).cast("double")
     # -1, 0, 1: how i stands to f
     inside = (f >= -(2.0**63)) & (f < 2.0**63)
@@ -61,40 +91,32 @@ def _apply(op: str, a: Column, b: Column) -> Column:
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "!=": "!="}
 
 
-def compare(op: str, a: Column, ta: str | None, b: Column, tb: str | None, only_true: bool = False, a_value=None, b_value=None) -> Column:
-    """Three-valued comparison.  only_true: FALSE and NULL are the same to the caller, as in a filter.
+def compare(op: str, a: tuple[Column, int], ta: str | None, b: tuple[Column, int], tb: str | None, only_true: bool = False, a_value=None, b_value=None) -> Column:
+    """Three-valued comparison of columns, given with their numbers of nodes.
 
-    a_value, b_value: the value where a side is a literal; an INTEGER column against a
-    REAL literal then becomes a comparison with an integer, which reaches the scan.
+    only_true: FALSE and NULL are the same to the caller, as in a filter.  a_value, b_value:
+    the value where a side is a literal; an INTEGER column against a REAL literal then
+    becomes a comparison with an integer, which reaches the scan.
     """
     # an integer literal that REAL holds exactly is compared as REAL, which reaches the scan
     if ta == "REAL" and tb == "INTEGER" and type(b_value) is int and abs(b_value) <= 2**53:
-        b, tb, b_value = F.lit(float(b_value)), "REAL", float(b_value)
+        b, tb, b_value = (F.lit(float(b_value)), 1), "REAL", float(b_value)
     if tb == "REAL" and ta == "INTEGER" and type(a_value) is int and abs(a_value) <= 2**53:
-        a, ta, a_value = F.lit(float(a_value)), "REAL", float(a_value)
+        a, ta, a_value = (F.lit(float(a_value)), 1), "REAL", float(a_value)
     if ta == "INTEGER" and tb == "REAL":
-        if isinstance(b_value, float):
-            return _int_against(op, a, b_value)
-        return _mixed(op, a, b)
+        return _int_against(op, a[0], b_value) if isinstance(b_value, float) else _mixed(op, a, b)
     if ta == "REAL" and tb == "INTEGER":
-        if isinstance(a_value, float):
-            return _int_against(_FLIP[op], b, a_value)
-        return _mixed(_FLIP[op], b, a)
-    plain = _apply(op, a, b)
-    if ta == "REAL" or tb == "REAL":
-        if only_true:
-            if isinstance(b_value, float) and op in ("<", "<=", "="):
-                return plain  # NaN is greater than and unequal to every literal
-            if isinstance(a_value, float) and op in (">", ">=", "="):
-                return plain
-            return plain & ~F.isnan(a) & ~F.isnan(b)
-        return _not_nan(a, b, plain)
-    return plain
+        return _int_against(_FLIP[op], b[0], a_value) if isinstance(a_value, float) else _mixed(_FLIP[op], b, a)
+    if "REAL" not in (ta, tb):
+        return _apply(op, a[0], b[0])
+    if only_true and (isinstance(b_value, float) and op in ("<", "<=", "=") or isinstance(a_value, float) and op in (">", ">=", "=")):
+        return _apply(op, a[0], b[0])  # NaN is greater than and unequal to every literal
+    if only_true:
+        return let([a, b], lambda x, y: _apply(op, x, y) & ~F.isnan(x) & ~F.isnan(y))
+    return let([a, b], lambda x, y: _not_nan(x, y, _apply(op, x, y)))
 
 
 def _int_against(op: str, i: Column, f: float) -> Column:
-    import math
-
     if f != f:
         return null("BOOLEAN")
     if abs(f) >= 2.0**63 and f != -(2.0**63):
@@ -107,51 +129,93 @@ def _int_against(op: str, i: Column, f: float) -> Column:
     return i <= math.floor(f) if op in ("<", "<=") else i >= math.ceil(f)
 
 
-def is_same(a: Column, ta, b: Column, tb) -> Column:
+def is_same(a: tuple[Column, int], ta, b: tuple[Column, int], tb) -> Column:
     """IS: null-safe equality; NaN is not NaN."""
     if "REAL" not in (ta, tb):
-        return a.eqNullSafe(b)
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(compare("=", a, ta, b, tb), F.lit(False)))
+        return a[0].eqNullSafe(b[0])
+    return let([a, b], lambda x, y: F.when(x.isNull() | y.isNull(), x.isNull() & y.isNull()).otherwise(F.coalesce(compare("=", (x, 1), ta, (y, 1), tb), F.lit(False))))
 
 
 # arithmetic
 
 
-def arithmetic(op: str, a: Column, ta, b: Column, tb, pos) -> Column:
-    if ta == "INTEGER" and tb == "INTEGER":
-        if op == "/":  # Spark's / would give a double
-            safe = F.when(b == 0, fail(pos, "division by zero", "INTEGER")).when((a == -(2**63)) & (b == -1), fail(pos, "integer overflow", "INTEGER"))
-            return safe.otherwise(F.call_function("div", a, F.when((b != 0), b)))
+def finite(x: Column) -> Column:
+    return F.abs(x) <= BIG  # NaN is greater than all numbers
+
+
+def integer(op: str, a: tuple[Column, int], b: tuple[Column, int], pos) -> Column:
+    """+ - * / % of integers; columns with their numbers of nodes."""
+    if op == "/":  # Spark's / would give a double
+
+        def div(x, y):
+            safe = F.when(y == 0, fail(pos, "division by zero", "INTEGER")).when((x == -(2**63)) & (y == -1), fail(pos, "integer overflow", "INTEGER"))
+            return safe.otherwise(F.call_function("div", x, F.when(y != 0, y)))
+
+        return let([a, b], div)
+    if op == "%":
+        return let([a, b], lambda x, y: F.when(y == 0, fail(pos, "division by zero", "INTEGER")).when(y == -1, F.when(x.isNotNull(), F.lit(0).cast("bigint"))).otherwise(x % F.when(y != 0, y)))
+    x, y = a[0], b[0]
+    return {"+": x + y, "-": x - y, "*": x * y}[op]
+
+
+def unchecked(op: str, x: Column, y: Column) -> Column:
+    return {"+": x + y, "-": x - y, "*": x * y}[op]
+
+
+def step(op: str, a: tuple[Column, int], b: tuple[Column, int], pos) -> Column:
+    """+ - * / of doubles; an error where finite operands give an infinity or NaN, which Spark lets pass."""
+
+    def one(x: Column, y: Column) -> Column:
+        if op == "/":
+            z = x / F.when(y != 0, y)
+            return F.when(y == 0, fail(pos, "division by zero", "REAL")).when(~finite(z) & finite(x) & finite(y), fail(pos, "REAL overflow", "REAL")).otherwise(z)
+        z = unchecked(op, x, y)
+        return F.when(~finite(z) & finite(x) & finite(y), fail(pos, "REAL overflow", "REAL")).otherwise(z)
+
+    return let([a, b], one)
+
+
+def fold(first: Column, rest: list[tuple[str, Column, tuple[int, int]]], kind: str) -> Column:
+    """A long chain of operators of one level, from left to right, as a fold over an array: a flat tree."""
+    told = F.split(F.lit("\n".join(f"{op} line {pos[0]}, column {pos[1]}: " for op, _, pos in rest)), "\n")
+    terms = F.zip_with(F.array(*[x for _, x, _ in rest]), told, lambda x, m: F.struct(x.alias("x"), m.alias("m")))
+    ops = list(dict.fromkeys(op for op, *_ in rest))
+
+    def wrong(t: Column, message: str) -> Column:
+        return F.raise_error(F.concat(F.substring(t["m"], 3, 1000), F.lit(message))).cast(SPARK[kind])
+
+    def apply(op: str, a: Column, t: Column) -> Column:
+        x = t["x"]
+        if kind == "REAL":
+            z = a / F.when(x != 0, x) if op == "/" else unchecked(op, a, x)
+            out = F.when(~finite(z) & finite(a) & finite(x), wrong(t, "REAL overflow")).otherwise(z)
+            return F.when(x == 0, wrong(t, "division by zero")).otherwise(out) if op == "/" else out
+        if op == "/":
+            safe = F.when(x == 0, wrong(t, "division by zero")).when((a == -(2**63)) & (x == -1), wrong(t, "integer overflow"))
+            return safe.otherwise(F.call_function("div", a, F.when(x != 0, x)))
         if op == "%":
-            return F.when(b == 0, fail(pos, "division by zero", "INTEGER")).when(b == -1, F.when(a.isNotNull(), F.lit(0).cast("bigint"))).otherwise(a % F.when(b != 0, b))
-        return {"+": a + b, "-": a - b, "*": a * b}[op]
-    x, y = a.cast("double"), b.cast("double")
-    if op == "/":
-        z = F.when(y == 0, fail(pos, "division by zero", "REAL")).otherwise(x / F.when(y != 0, y))
-    else:
-        z = {"+": x + y, "-": x - y, "*": x * y}[op]
-    return finite(z, [x, y], pos)
-
-
-def finite(z: Column, operands: list[Column], pos) -> Column:
-    """An error where finite operands give an infinity or NaN; Spark lets it pass."""
-    big = 1.7976931348623157e308
-    ok = F.lit(True)
-    for o in operands:
-        ok = ok & (F.abs(o) <= big) & ~F.isnan(o)
-    return F.when((F.isnan(z) | (F.abs(z) > big)) & ok, fail(pos, "REAL overflow", "REAL")).otherwise(z)
-
-
-def negate(a: Column, ta, pos) -> Column:
-    if ta == "REAL":
-        return F.lit(0.0) - a  # so that -(0.0) is 0.0
+            return F.when(x == 0, wrong(t, "division by zero")).when(x == -1, F.when(a.isNotNull(), F.lit(0).cast("bigint"))).otherwise(a % F.when(x != 0, x))
+        return unchecked(op, a, x)
+
+    def by_op(a: Column, t: Column) -> Column:
+        out = None
+        for op in ops[:-1]:
+            out = F.when(F.substring(t["m"], 1, 1) == op, apply(op, a, t)) if out is None else out.when(F.substring(t["m"], 1, 1) == op, apply(op, a, t))
+        last = apply(ops[-1], a, t)
+        return last if out is None else out.otherwise(last)
+
+    return F.aggregate(terms, first, by_op)
+
+
+def negate(a: Column, pos) -> Column:
+    """Of an integer."""
     return F.when(a == -(2**63), fail(pos, "integer overflow", "INTEGER")).otherwise(-a)
 
 
 # text
 
 
-def fold(x: Column, up: bool = False) -> Column:
+def lettercase(x: Column, up: bool = False) -> Column:
     """Case folding of ASCII letters only."""
     return F.translate(x, _LOWER if up else _UPPER, _UPPER if up else _LOWER)
 
@@ -160,25 +224,33 @@ def like(x: Column, pattern: Column, pattern_value: str | None = None) -> Column
     """% any run, _ one code point, letters of ASCII in either case, no escape character."""
     if pattern_value is not None:
         p = pattern_value.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\")
-        return fold(x).like(p)
-    return F.call_function("like", fold(x), F.replace(fold(pattern), F.lit("\\"), F.lit("\\\\")))
+        return lettercase(x).like(p)
+    return F.call_function("like", lettercase(x), F.replace(lettercase(pattern), F.lit("\\"), F.lit("\\\\")))
 
 
-def substr(x: Column, start: Column, n: Column | None, blob: bool) -> Column:
+def substr(x: tuple[Column, int], start: tuple[Column, int], n: tuple[Column, int] | None, blob: bool, start_value=None, n_value=None) -> Column:
     """Negative start counts from the end, start 0 stands before the first, negative n takes what stands before."""
-    size = F.length(x).cast("bigint")
-    low, high = -(2**40), 2**40  # far beyond any length; keeps the sums from overflowing
-    s = F.greatest(F.lit(low), F.least(F.lit(high), start))
-    count = F.lit(high) if n is None else F.greatest(F.lit(low), F.least(F.lit(high), n))
-    begin = F.when(s > 0, s - 1).when(s < 0, size + s).otherwise(F.lit(-1))  # before clipping, from 0
-    at = F.when(s == 0, F.lit(-1)).otherwise(begin)
-    a = F.when(count < 0, at + count).otherwise(at)
-    b = F.when(count < 0, at).otherwise(at + count)
-    a, b = F.greatest(a, F.lit(0)), F.least(b, size)
-    cut = F.substring(x, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    top = 2**31 - 1
+    if type(start_value) is int and 1 <= start_value <= top and (n is None or type(n_value) is int and n_value >= 0):  # as Spark has it
+        return F.substring(x[0], start_value, top if n is None else min(n_value, top))
     empty = F.lit(bytearray(b"")) if blob else F.lit("")
-    some = x.isNotNull() & start.isNotNull() & (F.lit(True) if n is None else n.isNotNull())
-    return F.when(some, F.when(b > a, cut).otherwise(empty))
+    low, high = F.lit(-(2**40)), F.lit(2**40)  # far beyond any length; keeps the sums from overflowing
+
+    def of(v: Column, s: Column, *more: Column) -> Column:
+        size = F.length(v).cast("bigint")
+        count = F.greatest(low, F.least(high, more[0])) if more else high
+        # before clipping, from 0
+        at = F.when(s > 0, F.least(high, s) - 1).when(s < 0, size + F.greatest(low, s)).otherwise(F.lit(-1).cast("bigint"))
+
+        def cut(edge: Column) -> Column:
+            a, b = F.greatest(edge["a"], F.lit(0)), F.least(edge["b"], size)
+            return F.when(b > a, F.substring(v, (a + 1).cast("int"), (b - a).cast("int"))).otherwise(empty)
+
+        edges = bound(at, lambda p: F.struct(F.when(count < 0, p + count).otherwise(p).alias("a"), F.when(count < 0, p).otherwise(p + count).alias("b")))
+        some = v.isNotNull() & s.isNotNull() & (more[0].isNotNull() if more else F.lit(True))
+        return F.when(some, bound(edges, cut))
+
+    return let([x, start, *([n] if n is not None else [])], of)
 
 
 def instr_blob(x: Column, a: Column) -> Column:
@@ -194,31 +266,84 @@ def instr_blob(x: Column, a: Column) -> Column:
 # round
 
 
-def round_half(x: Column, n: Column | None) -> Column:
-    """Half away from zero on the exact binary value; Spark rounds the decimal text.
+#: From so many digits on the rounded number is made of decimal text: 10^digits is no double.
+_EXACT_POWERS = 23
 
-    |x| * 10^n as an exact sum p + e of two doubles (Veltkamp splitting), so the
-    comparison with the half is exact.
-    """
-    digits = F.lit(0).cast("bigint") if n is None else F.greatest(n, F.lit(0).cast("bigint"))
-    power = F.element_at(F.array(*[F.lit(float(10**k)) for k in range(23)]), (F.least(digits, F.lit(22)) + 1).cast("int"))
-    a = F.abs(x)
-    p = a * power
-    big = 134217729.0
-    ah = a * big - (a * big - a)
-    al = a - ah
-    bh = power * big - (power * big - power)
-    bl = power - bh
-    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+def _ten(n: int) -> tuple[float, float]:
+    """10^n as a sum of two doubles."""
+    high = float(10**n)
+    return high, float(10**n - int(high))
+
+
+def _product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a * b as a sum of two doubles (Veltkamp's splitting)."""
+    p, big = a * b, 134217729.0
+    ah, bh = a * big - (a * big - a), b * big - (b * big - b)
+    al, bl = a - ah, b - bh
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def _rounded(p: Column, e: Column) -> Column:
+    """The sum p + e to a whole number, half up."""
     f = F.floor(p).cast("double")
     d = (p - f) - 0.5
     up = (d > 0) | ((d == 0) & (e >= 0))
     # e may push an exact whole p below itself
     down = (p == f) & (e < 0)
-    r = F.when(up, f + 1).when(down, f).otherwise(f) / power
-    whole = (a >= 4503599627370496.0) | F.isnan(x) | (p >= 9007199254740992.0) | (digits > 22)
-    signed = F.when((x < 0) & ((r != 0) | (digits > 0)), -r).otherwise(r)
-    return F.when(x.isNull() | digits.isNull(), null("REAL")).when(whole, x).otherwise(signed)
+    return F.when(up, f + 1).when(down & (e < -0.5), f - 1).when(down, f).otherwise(f)
+
+
+def round_half(x: tuple[Column, int], n: tuple[Column, int] | None, n_value=None) -> Column:
+    """Half away from zero on the exact binary value; Spark rounds the decimal text.
+
+    |x| * 10^n as a sum p + e of two doubles, so the comparison with the half is exact:
+    for up to 22 digits p + e is the exact product; for more, 10^n is a sum of two doubles
+    itself, and no product lies at a half.  Where p has no fraction x is its own result.
+    """
+    if n is None or type(n_value) is int and n_value < _EXACT_POWERS:
+        power = 10.0 ** max(0, n_value or 0)
+        return let([x], lambda v: _round_with(v, F.lit(power), max(0, n_value or 0) > 0), 4)
+    return let([x, n], _round_any, 4)
+
+
+def _round_with(x: Column, power: Column, signed_zero) -> Column:
+    def of(a: Column) -> Column:
+        p, e = _product(a, power)
+        r = _rounded(p, e) / power
+        whole = (a >= 4503599627370496.0) | F.isnan(a) | (p >= 9007199254740992.0)
+        keep_sign = (r != 0) | (F.lit(signed_zero) if isinstance(signed_zero, bool) else signed_zero)
+        return F.when(whole, x).otherwise(F.when((x < 0) & keep_sign, -r).otherwise(r))
+
+    return of(F.abs(x))
+
+
+def _round_any(x: Column, n: Column) -> Column:
+    tens = [_ten(k) for k in range(309)]
+    digits = F.least(F.greatest(n, F.lit(0).cast("bigint")), F.lit(400).cast("bigint")).cast("int")
+
+    def few(d: Column) -> Column:
+        return _round_with(x, F.element_at(F.array(*[F.lit(t) for t, _ in tens[:_EXACT_POWERS]]), d + 1), d > 0)
+
+    def many(d: Column) -> Column:
+        # 10^d beyond the doubles: x is scaled first
+        over = F.greatest(d - 308, F.lit(0))
+        a = F.abs(x) * F.element_at(F.array(*[F.lit(t) for t, _ in tens[:93]]), over + 1)
+        d = F.least(d, F.lit(308))
+        high = F.element_at(F.array(*[F.lit(t) for t, _ in tens]), d + 1)
+        low = F.element_at(F.array(*[F.lit(t) for _, t in tens]), d + 1)
+        return F.struct(a.alias("a"), high.alias("high"), low.alias("low"))
+
+    def text(t: Column, d: Column) -> Column:
+        a, high, low = t["a"], t["high"], t["low"]
+        p0, e0 = _product(a, high * 2.0**-60)  # so that splitting 10^n doesn't overflow
+        p, e = p0 * 2.0**60, e0 * 2.0**60 + a * low
+        whole = ~(p < 9007199254740992.0)  # NaN and infinities, too
+        r = F.concat(_rounded(F.when(whole, F.lit(0.0)).otherwise(p), e).cast("bigint").cast("string"), F.lit("e-"), d.cast("string")).cast("double")
+        return F.when(whole, x).otherwise(F.when(x < 0, -r).otherwise(r))
+
+    out = bound(digits, lambda d: F.when(d < _EXACT_POWERS, few(d)).otherwise(bound(many(d), lambda t: text(t, d))))
+    return F.when(x.isNotNull() & n.isNotNull(), out)
 
 
 # casts
@@ -226,21 +351,26 @@ def round_half(x: Column, n: Column | None) -> Column:
 
 def real_text(x: Column) -> Column:
     """Shortest digits, exponent below 1e-4 and from 1e15; Spark writes 1.0E20 and -0.0."""
+
+    def parsed(text: Column) -> Column:
+        mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
+        exponent = F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+        point = F.when(F.instr(mantissa, ".") > 0, F.instr(mantissa, ".") - 1).otherwise(F.length(mantissa))
+        whole = F.replace(mantissa, F.lit("."), F.lit(""))
+        lead = F.length(whole) - F.length(F.ltrim(whole, F.lit("0")))
+        return F.struct(F.rtrim(F.ltrim(whole, F.lit("0")), F.lit("0")).alias("digits"), (point + exponent - lead - 1).alias("power"))  # power of the first digit
+
+    def body(t: Column) -> Column:
+        digits, power, n = t["digits"], t["power"], F.length(t["digits"])
+        science = F.concat(F.substring(digits, 1, 1), F.lit("."), F.when(n > 1, F.substring(digits, F.lit(2), n)).otherwise(F.lit("0")), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        large = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.when(n > power + 1, F.substring(digits, power + 2, n)).otherwise(F.lit("0")))
+        return F.when((power < -4) | (power >= 15), science).when(power < 0, small).otherwise(large)
+
     text = F.when((F.length(F.regexp_replace(x.cast("string"), r"[^0-9]|E.*", "")) >= 17) & (F.format_string("%.15e", x).cast("double") == x), F.format_string("%.15e", x)).otherwise(x.cast("string"))
-    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
-    exponent = F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    point = F.when(F.instr(mantissa, ".") > 0, F.instr(mantissa, ".") - 1).otherwise(F.length(mantissa))
-    all_digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    lead = F.length(all_digits) - F.length(F.ltrim(all_digits, F.lit("0")))
-    digits = F.rtrim(F.ltrim(all_digits, F.lit("0")), F.lit("0"))
-    power = point + exponent - lead - 1  # of the first digit
-    n = F.length(digits)
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    science = F.concat(F.substring(digits, 1, 1), F.lit("."), F.when(n > 1, F.substring(digits, F.lit(2), n)).otherwise(F.lit("0")), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    large = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.when(n > power + 1, F.substring(digits, power + 2, n)).otherwise(F.lit("0")))
-    body = F.when((power < -4) | (power >= 15), science).when(power < 0, small).otherwise(large)
-    return F.when(x.isNull(), null("TEXT")).when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf")).when(x == 0, F.lit("0.0")).otherwise(F.concat(sign, body))
+    written = F.concat(sign, bound(bound(text, parsed), body))
+    return F.when(x.isNull(), null("TEXT")).when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf")).when(x == 0, F.lit("0.0")).otherwise(written)
 
 
 #: Which casts there are.
@@ -276,9 +406,9 @@ def cast(x: Column, a: str, b: str, pos) -> Column:
         case "TEXT", "REAL":
             t = F.btrim(x, F.lit(" \t\n\r"))
             n = F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t).try_cast("double")
-            return F.when(x.isNull(), null(b)).when(n.isNotNull() & (F.abs(n) <= 1.7976931348623157e308), n).otherwise(bad)
+            return F.when(x.isNull(), null(b)).when(n.isNotNull() & (F.abs(n) <= BIG), n).otherwise(bad)
         case "TEXT", "BOOLEAN":
-            t = fold(F.btrim(x, F.lit(" \t\n\r")))
+            t = lettercase(F.btrim(x, F.lit(" \t\n\r")))
             return F.when(x.isNull(), null(b)).when(t == "true", F.lit(True)).when(t == "false", F.lit(False)).otherwise(bad)
         case "TEXT", "BLOB":
             return F.encode(x, "UTF-8")
@@ -299,11 +429,51 @@ def cast(x: Column, a: str, b: str, pos) -> Column:
 
 
 def timestamp_text(x: Column) -> Column:
-    """RFC 3339 in UTC, the fraction without trailing zeros."""
-    text = F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", ""), F.lit("Z"))
+    """RFC 3339 in UTC, the fraction without trailing zeros; no session's time zone plays a part."""
+    return F.concat(F.replace(x.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def spark_type(kind: str) -> str | None:
     """The dialect's type of a Spark type name, None if it has none."""
     return {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN", "string": "TEXT", "binary": "BLOB", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}.get(re.sub(r"\(.*", "", kind))
+
+
+# sums of doubles
+
+#: Fixed-point digits of a sum: |x| below 2^96 is cut into digits of 24 bits, down to 2^-72.
+_DIGITS = [k for k in range(-72, 96, 24)]
+_TOP = 2.0**96
+
+
+def digit_sums(x: Column) -> list[Column]:
+    """Aggregates that together hold the exact sum of doubles: they merge in any order, so a sum
+    has one value however rows are dealt, and partial aggregation works.
+
+    Each finite |x| below 2^96 is cut into whole numbers of 24 bits at fixed powers of two,
+    whose sums are exact for up to 2^39 rows a group (beyond, an overflow error).  What
+    lies below 2^-72 and numbers from 2^96 on are added up as doubles, the last beside
+    their greatest magnitude, which tells an overflow.
+    """
+    inside = F.abs(x) < _TOP  # NaN is greater
+    digits = [F.sum(F.when(inside, ((x % 2.0 ** (k + 24)) * 2.0**-k).cast("bigint"))) for k in _DIGITS]
+    outside = F.when(~inside, x)
+    return [*digits, F.sum(F.when(inside, x % 2.0 ** _DIGITS[0])), F.sum(outside), F.max(F.abs(outside))]
+
+
+def digit_total(parts: list[Column], pos) -> Column:
+    """The sum that digit_sums hold, rounded once; null over nothing."""
+    *digits, rest, outside, greatest = parts
+    terms = [outside]
+    for k, d in reversed(list(zip(_DIGITS, digits))):  # halves of 31 bits are exact as doubles
+        terms += [(F.shiftright(d, 31).cast("double") * 2.0 ** (k + 31)), (d.bitwiseAND(F.lit(2**31 - 1)).cast("double") * 2.0**k)]
+    terms = [F.coalesce(t, F.lit(0.0)) for t in [*terms, rest]]
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def add(a: Column, t: Column) -> Column:  # Neumaier's sum
+        s = a["s"] + t
+        lost = F.when(F.abs(a["s"]) >= F.abs(t), (a["s"] - s) + t).otherwise((t - s) + a["s"])
+        return F.struct(s.alias("s"), (a["c"] + lost).alias("c"))
+
+    total = F.aggregate(F.array(*terms), zero, add, lambda a: F.when(finite(a["s"]), a["s"] + a["c"]).otherwise(a["s"]))
+    any_ = digits[0].isNotNull() | greatest.isNotNull()
+    return F.when(any_, bound(total, lambda t: F.when(~finite(t) & finite(F.coalesce(greatest, F.lit(0.0))), fail(pos, "REAL overflow", "REAL")).otherwise(t)))

@@ -17,28 +17,70 @@ import itertools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.errors import SqlError
+from quillon.errors import SessionError, SqlError
 from quillon.functions import bridge as B
 from quillon.plans import ast, printer
 from quillon.plans.parser import deep
 
-#: Sums of REAL are compensated, which takes a group's values together, where the tables cannot give more rows than this.
-EXACT_ROWS = 100_000
+#: Chains of arithmetic with more terms than this are folds over arrays, which keeps trees flat.
+CHAIN = 16
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
 _NONE = object()
 
 
 @dataclass
+class Real:
+    """A tree of + - * over doubles whose steps aren't checked: a step that overflows leaves an
+    infinity or NaN, which no later step takes away, so the result tells."""
+
+    leaves: list[tuple[Column, int, bool]]  # operands, their nodes, and whether they are finite for sure
+    raw: Callable[[list[Column]], Column]  # of the operands
+    stepwise: Callable[[list[Column]], tuple[Column, int]]  # the same with every step checked, and its nodes
+    pos: tuple[int, int]
+    steps: int = 1
+
+    @property
+    def size(self) -> int:
+        return sum(n if n > B.LIGHT else 4 * n for _, n, _ in self.leaves) + 4 * len(self.leaves) + 4 * self.steps
+
+    def checked(self) -> Column:
+        def whole(*xs: Column) -> Column:
+            raw, ok = self.raw(list(xs)), F.lit(True)
+            for x, (_, _, sure) in zip(xs, self.leaves):
+                ok = ok if sure else ok & B.finite(x)
+            failed = B.fail(self.pos, "REAL overflow", "REAL")
+            if self.steps == 1:
+                return F.when(~B.finite(raw) & ok, failed).otherwise(raw)
+            return F.when(~B.finite(raw), F.when(ok, failed).otherwise(self.stepwise(list(xs))[0])).otherwise(raw)
+
+        return B.let([(x, n) for x, n, _ in self.leaves], whole)
+
+
 class Typed:
-    col: Column
-    type: str | None
-    value: Any = _NONE  # of a literal
-    can_fail: bool = False
+    """A column with its type; value: of a literal; size: nodes of the expression, about."""
+
+    def __init__(self, col: Column | None, type: str | None, value: Any = _NONE, can_fail: bool = False, size: int | None = None, real: Real | None = None):
+        self._col, self.type, self.value, self.can_fail, self.size, self.real = col, type, value, can_fail, size, real
+
+    @property
+    def col(self) -> Column:
+        if self._col is None:
+            self._col = self.real.checked()
+        return self._col
+
+    def but(self, **changed) -> Typed:
+        how = {"col": self._col, "type": self.type, "value": self.value, "can_fail": self.can_fail, "size": self.size, "real": self.real} | changed
+        return Typed(**how)
+
+    @property
+    def weighed(self) -> tuple[Column, int]:
+        return self.col, self.size or 1
 
 
 @dataclass(frozen=True)
@@ -64,7 +106,6 @@ class Relation:
     cols: list[tuple[str, str | None]]
     hidden: int = 0  # so many columns at the start are hidden
     key: list[str] = field(default_factory=list)
-    rows: int | None = None  # where known
 
 
 @dataclass
@@ -101,7 +142,6 @@ class Rel:
     domain: list[str]
     key: list[Col]
     joined: bool = False
-    rows: int | None = 1  # at most so many, None if unknown
 
 
 @dataclass
@@ -123,9 +163,12 @@ class Out:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, lookup: Callable[[str], Relation | None], params: tuple | list = (), exact_sums: bool | None = None):
-        self.spark, self.lookup, self.params, self.exact_sums = spark, lookup, params, exact_sums
+    def __init__(self, spark: SparkSession, lookup: Callable[[str], Relation | None], params: tuple | list = ()):
+        if spark.conf.get("spark.sql.ansi.enabled") != "true":
+            raise SessionError("spark.sql.ansi.enabled must be true: integer overflow is an error")
+        self.spark, self.lookup, self.params = spark, lookup, params
         self._ids = itertools.count()
+        self._nodes = 0  # of the operands compiled so far of the expression at hand
 
     def fresh(self) -> str:
         return f"c{next(self._ids)}"
@@ -150,7 +193,6 @@ class Compiler:
         rel = Rel(df if df is not None else self.spark.range(1).select(F.lit(1).alias(self.fresh())), scope, list(ids), [])
         for k, s in enumerate(q.sources):
             t, right, found = self.table(s, scope.tables)
-            rel.rows = rel.rows * max(1, found.rows) if rel.rows is not None and found.rows is not None else None
             if k == 0:
                 rel.df = rel.df.crossJoin(right) if domain else right
                 scope.tables.append(t)
@@ -161,22 +203,41 @@ class Compiler:
             on = s.on
             if isinstance(on, ast.Lit) and on.value is True and s.join == "INNER":
                 rel.df = rel.df.crossJoin(right)
-            elif any(isinstance(x, ast.Scalar | ast.Exists) or isinstance(x, ast.In) and x.query for x in ast.walk(on)):
-                rid = self.fresh()
-                left = rel.df.withColumn(rid, F.monotonically_increasing_id()) if s.join == "LEFT" else rel.df
-                both = Rel(left.crossJoin(right), scope, rel.domain, [])
-                cond = self.boolean(on, Ctx(both, scope, clause="ON"), "ON")
-                both.df = both.df.filter(cond.col)
-                if s.join == "INNER":
-                    rel.df = both.df.select(*rel.df.columns, *right.columns)
-                else:
-                    kept = both.df.select(F.col(rid).alias(rid + "r"), *right.columns)
-                    rel.df = left.join(kept, F.col(rid) == F.col(rid + "r"), "left").drop(rid, rid + "r")
+            elif _has_query(on):
+                self.join_on_query(rel, right, s)
             else:
                 cond = self.boolean(on, Ctx(rel, scope, clause="ON", only_true=True), "ON")
                 rel.df = rel.df.join(right, cond.col, "left" if s.join == "LEFT" else "inner")
         return rel
 
+    def join_on_query(self, rel: Rel, right: DataFrame, s: ast.Source) -> None:
+        """A join with a subquery in ON: plain conjuncts join, the others filter what they let through.
+
+        For LEFT that is done for the distinct values that ON reads of the left side, to
+        which the rows are joined back by value.
+        """
+        plain = [p for p in _conjuncts(s.on) if not _has_query(p)]
+        asked = [p for p in _conjuncts(s.on) if _has_query(p)]
+        left, scope, back = rel.df, rel.scope, {}
+        if s.join == "LEFT":
+            names = [n for p in plain + asked for x in ast.walk(p) for n in ([x] if isinstance(x, ast.Name) else self.free(x.query, []) if getattr(x, "query", None) else [])]
+            for c in (scope.resolve(n) for n in names):
+                if c.id in rel.df.columns:
+                    back.setdefault(c.id, self.fresh())
+            left = rel.df.select(*[F.col(i).alias(d) for i, d in back.items()]).distinct() if back else self.spark.range(1).select(F.lit(1).alias(self.fresh()))
+            scope = _carried(scope, back)
+        both = Rel(left, scope, [i for i in rel.domain if s.join != "LEFT"], [], True)
+        conds = [self.boolean(p, Ctx(both, scope, clause="ON", only_true=True), "ON") for p in plain]
+        early = _all([t.col for t in conds if not t.can_fail])
+        both.df = left.join(right, early, "inner") if any(not t.can_fail for t in conds) else left.crossJoin(right)
+        late = [t.col for t in conds if t.can_fail] + [self.boolean(p, Ctx(both, scope, clause="ON"), "ON").col for p in asked]
+        both.df = both.df.filter(_in_turn(late))
+        if s.join == "INNER":
+            rel.df = both.df.select(*rel.df.columns, *right.columns)
+        else:
+            kept = both.df.select(*back.values(), *right.columns)
+            rel.df = rel.df.join(kept, _all([F.col(i).eqNullSafe(F.col(d)) for i, d in back.items()]), "left").drop(*back.values())
+
     # queries
 
     def query(self, q: ast.Select) -> Out:
@@ -309,26 +370,25 @@ class Compiler:
         t = self.expr(e, ctx)
         if t.type not in ("BOOLEAN", None):
             raise SqlError(*e.pos, f"{what} needs BOOLEAN, not {t.type}")
-        return replace(t, col=t.col.cast("boolean")) if t.type is None else t
+        return t.but(col=t.col.cast("boolean")) if t.type is None else t
 
     def filter(self, e: ast.Expr, ctx: Ctx) -> None:
-        """Keep the rows of ctx.rel for which e is TRUE, conjunct by conjunct."""
-        parts = _conjuncts(e)
-        opaque: list[Typed] = []
-        for p in parts:
-            if not opaque and self.semi(p, ctx):
+        """Keep the rows of ctx.rel for which e is TRUE, conjunct by conjunct, wherever they stand."""
+        late: list[Typed] = []
+        for p in _conjuncts(e):
+            if self.semi(p, ctx):
                 continue
-            t = self.boolean(p, replace(ctx, only_true=True), ctx.clause)
-            if opaque or t.can_fail and ctx.rel.joined:
-                # errors must not be found in rows that a join or an earlier conjunct would drop
-                opaque.append(t)
+            t = self.boolean(p, ctx_true(ctx), ctx.clause)
+            if t.can_fail:
+                late.append(t)
             else:
                 ctx.rel.df = ctx.rel.df.filter(t.col)
-        if opaque:
-            cond = opaque[-1].col
-            for t in reversed(opaque[:-1]):
-                cond = F.when(t.col, cond).otherwise(F.lit(False))
-            ctx.rel.df = ctx.rel.df.filter(F.when(F.spark_partition_id() >= 0, cond))  # not pushed below the join
+        # what can fail comes last, for rows that joins and all other conjuncts leave
+        if late and ctx.rel.joined:
+            ctx.rel.df = ctx.rel.df.filter(_in_turn([t.col for t in late]))
+        else:
+            for t in late:
+                ctx.rel.df = ctx.rel.df.filter(t.col)
 
     def semi(self, e: ast.Expr, ctx: Ctx) -> bool:
         """[NOT] EXISTS or IN at the top of WHERE as a semi or anti join, if the subquery is plain."""
@@ -341,6 +401,23 @@ class Compiler:
             q, x, neg = e.query, e.x, False
         else:
             return False
+        return self.plain_semi(e, q, x, neg, ctx) or not neg and x is not None and self.any_semi(e, x, ctx)
+
+    def any_semi(self, e: ast.In, x: ast.Expr, ctx: Ctx) -> bool:
+        """x IN (subquery) as a semi join, whatever the subquery is: only TRUE counts."""
+        self.may_query(e.query, ctx)
+        out, pairs = self.subquery(e.query, ctx)
+        if len(out.cols) != 1:
+            raise SqlError(*e.pos, f"subquery has {len(out.cols)} columns, not 1")
+        a, b = self.expr(x, ctx), Typed(F.col(out.cols[0].id), out.cols[0].type)
+        self.comparable(a, b, e.pos)
+        if a.can_fail or a.type is None or b.type is None:
+            return False
+        same = [B.compare("=", a.weighed, a.type, (b.col, 1), b.type, only_true=True)]
+        ctx.rel.df = ctx.rel.df.join(out.df, _all(same + [F.col(i).eqNullSafe(F.col(d)) for i, d in pairs]), "left_semi")
+        return True
+
+    def plain_semi(self, e: ast.Expr, q: ast.Select, x: ast.Expr | None, neg: bool, ctx: Ctx) -> bool:
         parts = _conjuncts(q.where) if q.where is not None else []
         exprs = ast.select_exprs(q)
         if q.group or q.having or q.limit or q.offset or not q.sources or any(isinstance(y, ast.Scalar | ast.Exists) or isinstance(y, ast.In) and y.query or isinstance(y, ast.Call) and y.name in AGGREGATES for z in exprs for y in ast.walk(z)):
@@ -367,13 +444,11 @@ class Compiler:
         conds = [self.boolean(p, inner, "WHERE") for p in parts if not local(p)]
         if any(t.can_fail for t in conds):
             return False
-        cond = F.lit(True)
-        for t in conds:
-            cond = cond & t.col
+        cond = _all([t.col for t in conds])
         if x is not None:
             a, b = self.expr(x, ctx), self.expr(q.items[0].expr, inner)
             self.comparable(a, b, e.pos)
-            cond = B.compare("=", a.col, a.type, b.col, b.type, only_true=True) & cond
+            cond = B.compare("=", a.weighed, a.type, b.weighed, b.type, only_true=True) & cond
         ctx.rel.df = ctx.rel.df.join(right.df, cond, "left_anti" if neg else "left_semi")
         return True
 
@@ -411,14 +486,16 @@ class Compiler:
         for e in exprs + ([q.having] if q.having is not None else []):
             for x in _aggregates(e):
                 calls.setdefault(self.canon(x, scope), x)
-        aggs, args, aggmap = [], [], {}
-        exact = self.exact_sums if self.exact_sums is not None else rel.rows is not None and rel.rows <= EXACT_ROWS
+        aggs, args, aggmap, once = [], [], {}, []
         for text, call in calls.items():
-            arg, out = self.aggregate(call, replace(pre, clause="an aggregate"), args, exact)
+            arg, out = self.aggregate(call, replace(pre, clause="an aggregate"), args, once)
             i = self.fresh()
             aggs.append((arg, i, call.name == "count"))
             aggmap[text] = Typed(F.col(i), out)
         df = rel.df.select(*[F.col(d) for d in rel.domain], *[k.alias(i) for k, i in key_cols], *[a.alias(i) for a, i in args])
+        for value, first in once:  # marks one row of each value in a group
+            same = Window.partitionBy(*rel.domain, *[i for _, i in key_cols], value).orderBy(F.lit(0))
+            df = df.withColumn(first, F.when(F.row_number().over(same) == 1, F.col(value)))
         computed = [a.alias(i) for a, i, _ in aggs] or [F.count(F.lit(1)).alias(self.fresh())]
         by = [F.col(d) for d in rel.domain] + [F.col(i) for _, i in key_cols]
         out = df.groupBy(*by).agg(*computed) if by else df.agg(*computed)
@@ -438,7 +515,7 @@ class Compiler:
         ctx = Ctx(rel, after, keymap, aggmap, "SELECT")
         return ctx
 
-    def aggregate(self, c: ast.Call, ctx: Ctx, args: list, exact: bool) -> tuple[Column, str | None]:
+    def aggregate(self, c: ast.Call, ctx: Ctx, args: list, once: list) -> tuple[Column, str | None]:
         if c.star:
             if c.name != "count" or c.distinct:
                 raise SqlError(*c.pos, f"{c.name}(*) is not allowed")
@@ -468,13 +545,9 @@ class Compiler:
             total, n = (F.sum_distinct(d), F.count_distinct(x)) if c.distinct else (F.sum(d), F.count(x))
             return total.cast("double") / F.when(n != 0, n), "REAL"
         if c.distinct:
-            total, n = F.sum_distinct(x), F.count_distinct(x)
-            if exact:
-                total = _compensated(F.collect_set(x))
-        else:
-            total, n = (_compensated(F.collect_list(x)) if exact else F.sum(x)), F.count(x)
-        overflow = F.when(F.abs(total) > 1.7976931348623157e308, F.when(F.max(F.abs(x)) <= 1.7976931348623157e308, B.fail(c.pos, "REAL overflow", "REAL")).otherwise(total)).otherwise(total)
-        total = F.when(n > 0, overflow)
+            once.append((i, first := self.fresh()))
+            x = F.col(first)
+        n, total = F.count(x), B.digit_total(B.digit_sums(x), c.pos)
         return (total if c.name == "sum" else total / F.when(n != 0, n)), "REAL"
 
     # subqueries
@@ -541,6 +614,7 @@ class Compiler:
         return Typed(F.when(F.col(n) > 1, B.fail(e.pos, "subquery has more than one row", c.type)).otherwise(F.col(v)), c.type, can_fail=True)
 
     def exists(self, e: ast.Exists, ctx: Ctx) -> Typed:
+        """As a flag joined to the rows; at the top of WHERE see semi."""
         out, pairs = self.subquery(e.query, ctx)
         n = self.fresh()
         sub = out.df.select(*out.domain).distinct().withColumn(n, F.lit(1)) if pairs else out.df.limit(1).agg(F.count(F.lit(1)).alias(n))
@@ -592,6 +666,15 @@ class Compiler:
         return t
 
     def expr(self, e: ast.Expr, ctx: Ctx) -> Typed:
+        """The expression compiled, with its number of nodes: that of its operands, as often as it reads them."""
+        outer, self._nodes = self._nodes, 0
+        t = self.compiled(e, ctx)
+        if t.size is None:
+            t.size = 2 if getattr(e, "query", None) else 2 + self._nodes * (_READS.get(type(e), 1) if self._nodes <= B.LIGHT else 1)
+        self._nodes = outer + t.size
+        return t
+
+    def compiled(self, e: ast.Expr, ctx: Ctx) -> Typed:
         if ctx.keymap:
             c = ctx.keymap.get(self.canon(e, ctx.scope)) if not isinstance(e, ast.Lit) else None
             if c is not None:
@@ -615,7 +698,10 @@ class Compiler:
                 x = self.need(self.expr(e.x, inner), ("INTEGER", "REAL"), e.pos, e.op)
                 if e.op == "+":
                     return x
-                return Typed(B.negate(_wide(x), x.type or "INTEGER", e.pos), x.type, can_fail=True)
+                if x.type == "REAL":  # so that -(0.0) is 0.0
+                    zero = Typed(F.lit(0.0), "REAL", 0.0, size=1)
+                    return self.real("-", zero, x, e.pos)
+                return Typed(B.let([(_wide(x), x.size)], lambda v: B.negate(v, e.pos)), x.type, can_fail=True)
             case ast.Binary():
                 return self.binary(e, ctx, inner)
             case ast.Is():
@@ -624,7 +710,7 @@ class Compiler:
                 if b.value is None:
                     same = a.col.isNull()
                 else:
-                    same = B.is_same(a.col, a.type, b.col, b.type)
+                    same = B.is_same(a.weighed, a.type, b.weighed, b.type)
                 return Typed(~same if e.neg else same, "BOOLEAN", can_fail=a.can_fail or b.can_fail)
             case ast.In():
                 if e.query:
@@ -636,14 +722,14 @@ class Compiler:
                 if all(i.type == x.type and i.type not in ("REAL", None) and i.value is not _NONE for i in items):
                     hit = x.col.isin(*[i.col for i in items])
                 else:
-                    hit = _balanced([B.compare("=", x.col, x.type, i.col, i.type, b_value=i.value).cast("boolean") for i in items], lambda a, b: a | b)
+                    hit = B.let([x.weighed], lambda v: _balanced([B.compare("=", (v, 1), x.type, i.weighed, i.type, b_value=i.value).cast("boolean") for i in items], lambda a, b: a | b))
                 return Typed(~hit if e.neg else hit, "BOOLEAN", can_fail=any(t.can_fail for t in (x, *items)))
             case ast.Between():
                 x, lo, hi = (self.expr(y, inner) for y in (e.x, e.lo, e.hi))
                 self.comparable(x, lo, e.pos)
                 self.comparable(x, hi, e.pos)
                 only = ctx.only_true and not e.neg
-                r = B.compare(">=", x.col, x.type, lo.col, lo.type, only, b_value=lo.value) & B.compare("<=", x.col, x.type, hi.col, hi.type, only, b_value=hi.value)
+                r = B.let([x.weighed], lambda v: B.compare(">=", (v, 1), x.type, lo.weighed, lo.type, only, b_value=lo.value) & B.compare("<=", (v, 1), x.type, hi.weighed, hi.type, only, b_value=hi.value))
                 return Typed(~r if e.neg else r, "BOOLEAN", can_fail=any(t.can_fail for t in (x, lo, hi)))
             case ast.Like():
                 x, p = (self.need(self.expr(y, inner), ("TEXT",), e.pos, "LIKE") for y in (e.x, e.pattern))
@@ -667,7 +753,7 @@ class Compiler:
                         return Typed(B.literal(at, "TIMESTAMP"), "TIMESTAMP", at)
                     except ValueError:
                         pass
-                return Typed(B.cast(_wide(x), x.type, e.type, e.pos), e.type, can_fail=True)
+                return Typed(B.let([(_wide(x), x.size)], lambda v: B.cast(v, x.type, e.type, e.pos)), e.type, can_fail=True)
             case ast.Case():
                 return self.case(e, inner)
             case ast.Call():
@@ -706,7 +792,7 @@ class Compiler:
             self.comparable(a, b, e.pos)
             if a.type is None or b.type is None:
                 return Typed(B.null("BOOLEAN"), "BOOLEAN", can_fail=a.can_fail or b.can_fail)
-            return Typed(B.compare(e.op, a.col, a.type, b.col, b.type, ctx.only_true, a.value, b.value), "BOOLEAN", can_fail=a.can_fail or b.can_fail)
+            return Typed(B.compare(e.op, a.weighed, a.type, b.weighed, b.type, ctx.only_true, a.value, b.value), "BOOLEAN", can_fail=a.can_fail or b.can_fail)
         # chains of one level lean left and may be long
         chain, x = [], e
         level = printer._LEVEL[e.op]
@@ -720,35 +806,68 @@ class Compiler:
                 self.need(p, ("TEXT",), e.pos, "||")
             return Typed(F.concat(*[p.col.cast("string") for p in parts]), "TEXT", can_fail=any(p.can_fail for p in parts))
         rights = [(b, self.expr(b.right, inner)) for b in reversed(chain)]
-        if len(rights) > 64 and level == 3 and left.type in ("INTEGER", "REAL") and all(t.type == left.type for _, t in rights):
-            return _long_sum(left, rights)
-        for b, right in rights:
+        while rights:
+            b, right = rights[0]
             for t in (left, right):
                 self.need(t, ("INTEGER",) if b.op == "%" else ("INTEGER", "REAL"), b.pos, b.op)
             kind = "REAL" if "REAL" in (left.type, right.type) else "INTEGER" if left.type and right.type else None
-            col = B.null(kind) if left.type is None or right.type is None else B.arithmetic(b.op, _wide(left), left.type, _wide(right), right.type, b.pos)
-            risky = b.op in ("/", "%") or kind == "REAL" and False
-            left = Typed(col, kind, can_fail=left.can_fail or right.can_fail or risky)
+            same = list(itertools.takewhile(lambda r: r[1].type and r[0].op != "%" if kind == "REAL" else r[1].type == kind, rights))
+            risky = left.can_fail or any(t.can_fail for _, t in same)
+            if kind and left.type and len(same) > CHAIN:
+                of = (lambda t: t.col.cast("double")) if kind == "REAL" else _wide
+                terms = [(c.op, of(t), c.pos) for c, t in same]
+                left = Typed(B.fold(of(left), terms, kind), kind, can_fail=risky or kind == "REAL" or level == 2, size=left.size + sum(t.size for _, t in same) + 8 * len(same))
+                rights = rights[len(same) :]
+                continue
+            rights = rights[1:]
+            if left.type is None or right.type is None:
+                left = Typed(B.null(kind), kind, can_fail=left.can_fail or right.can_fail, size=2)
+            elif kind == "INTEGER":
+                col = B.integer(b.op, (_wide(left), left.size), (_wide(right), right.size), b.pos)
+                reads = 4 if b.op in "/%" and max(left.size, right.size) <= B.LIGHT else 1
+                left = Typed(col, kind, can_fail=left.can_fail or right.can_fail or b.op in ("/", "%"), size=8 * (reads > 1) + 2 + reads * (left.size + right.size))
+            else:
+                left = self.real(b.op, left, right, b.pos)
         return left
 
+    def real(self, op: str, a: Typed, b: Typed, pos) -> Typed:
+        """One step of REAL arithmetic; + - * go on as a tree that is checked at its top."""
+        x, y = _real(a), _real(b)
+        if op == "/":
+            reads = 4 if max(a.size, b.size) <= B.LIGHT else 1
+            return Typed(B.step("/", (a.col.cast("double"), a.size), (b.col.cast("double"), b.size), pos), "REAL", can_fail=True, size=12 + reads * (a.size + b.size))
+
+        k = len(x.leaves)
+
+        def stepwise(v: list[Column]) -> tuple[Column, int]:
+            (p, m), (q, n) = x.stepwise(v[:k]), y.stepwise(v[k:])
+            return B.step(op, (p, m), (q, n), pos), 8 + (m if m > B.LIGHT else 3 * m) + (n if n > B.LIGHT else 3 * n)
+
+        tree = Real(x.leaves + y.leaves, lambda v: B.unchecked(op, x.raw(v[:k]), y.raw(v[k:])), stepwise, pos, 1 + x.steps + y.steps)
+        return Typed(None, "REAL", can_fail=True, size=tree.size, real=tree)
+
     def case(self, e: ast.Case, ctx: Ctx) -> Typed:
         operand = self.expr(e.operand, ctx) if e.operand is not None else None
-        conds, values = [], []
+        tests, values = [], []
         for c, v in e.whens:
-            if operand is None:
-                conds.append(self.boolean(c, ctx, "WHEN"))
-            else:
-                t = self.expr(c, ctx)
-                self.comparable(operand, t, c.pos)
-                conds.append(Typed(B.compare("=", operand.col, operand.type, t.col, t.type, b_value=t.value) if operand.type and t.type else B.null("BOOLEAN"), "BOOLEAN", can_fail=t.can_fail))
+            tests.append(self.boolean(c, ctx, "WHEN") if operand is None else self.expr(c, ctx))
+            if operand is not None:
+                self.comparable(operand, tests[-1], c.pos)
             values.append(self.expr(v, ctx))
-        default = self.expr(e.default, ctx) if e.default is not None else Typed(B.null(), None, None)
+        default = self.expr(e.default, ctx) if e.default is not None else Typed(B.null(), None, None, size=1)
         kind = self.one_type([*values, default], e.pos, "CASE")
-        out = None
-        for c, v in zip(conds, values):
-            col = _typed(v, kind)
-            out = F.when(c.col, col) if out is None else out.when(c.col, col)
-        return Typed(out.otherwise(_typed(default, kind)), kind, can_fail=any(t.can_fail for t in [*conds, *values, default]))
+
+        def built(*x: Column) -> Column:
+            out = F
+            for t, v in zip(tests, values):
+                cond = t.col if operand is None else B.compare("=", (x[0], 1), operand.type, t.weighed, t.type, b_value=t.value) if operand.type and t.type else B.null("BOOLEAN")
+                out = out.when(cond, _typed(v, kind))
+            return out.otherwise(_typed(default, kind))
+
+        col = built() if operand is None else B.let([operand.weighed], built)
+        every = [*tests, *values, default] + ([operand] if operand is not None else [])
+        reads = 1 if operand is None or operand.size > B.LIGHT else len(tests)
+        return Typed(col, kind, can_fail=any(t.can_fail for t in every), size=2 + sum(t.size for t in every) + (operand.size * reads if operand is not None else 0))
 
     def call(self, e: ast.Call, ctx: Ctx) -> Typed:
         if e.name in AGGREGATES and (e.star or e.distinct or len(e.args) < 2 or e.name not in ("min", "max")):
@@ -765,7 +884,8 @@ class Compiler:
             raise SqlError(*e.pos, f"{e.name} takes {low if low == high else f'{low} to {high}' if high < 99 else f'{low} or more'} arguments, not {len(e.args)}")
         args = [self.expr(a, ctx) for a in e.args]
         t = build(self, e, args)
-        return replace(t, can_fail=t.can_fail or any(a.can_fail for a in args))
+        reads = 4 if max(a.size for a in args) <= B.LIGHT else 1
+        return t.but(can_fail=t.can_fail or any(a.can_fail for a in args), size=12 + reads * sum(a.size for a in args))
 
 
 # functions
@@ -778,10 +898,10 @@ def _text(c: Compiler, e: ast.Call, a: Typed, *kinds: str) -> Column:
 
 def _abs(c, e, a):
     c.need(a[0], ("INTEGER", "REAL"), e.pos, "abs")
-    x = _wide(a[0])
+    x = [(_wide(a[0]), a[0].size)]
     if a[0].type == "REAL":
-        return Typed(F.when(x < 0, -x).otherwise(x), "REAL")
-    return Typed(F.when(x == -(2**63), B.fail(e.pos, "integer overflow", "INTEGER")).otherwise(F.abs(x)) if a[0].type else B.null("INTEGER"), a[0].type, can_fail=True)
+        return Typed(B.let(x, lambda v: F.when(v < 0, -v).otherwise(v)), "REAL")
+    return Typed(B.let(x, lambda v: F.when(v == -(2**63), B.fail(e.pos, "integer overflow", "INTEGER")).otherwise(F.abs(v))) if a[0].type else B.null("INTEGER"), a[0].type, can_fail=True)
 
 
 def _length(c, e, a):
@@ -790,7 +910,7 @@ def _length(c, e, a):
 
 
 def _fold(up):
-    return lambda c, e, a: Typed(B.fold(_text(c, e, a[0]), up), "TEXT")
+    return lambda c, e, a: Typed(B.lettercase(_text(c, e, a[0]), up), "TEXT")
 
 
 def _trim(name):
@@ -802,22 +922,22 @@ def _trim(name):
 
 
 def _replace(c, e, a):
-    x, y, z = (_text(c, e, t) for t in a)
-    return Typed(F.when(x.isNull() | y.isNull(), B.null("TEXT")).when(y == "", x).otherwise(F.replace(x, y, z)), "TEXT")
+    args = [(_text(c, e, t), t.size) for t in a]
+    return Typed(B.let(args, lambda x, y, z: F.when(x.isNull() | y.isNull(), B.null("TEXT")).when(y == "", x).otherwise(F.replace(x, y, z))), "TEXT")
 
 
 def _instr(c, e, a):
     x, y = (_text(c, e, t, "TEXT", "BLOB") for t in a)
     kind = c.one_type(a, e.pos, "arguments of instr")
     if kind == "BLOB":
-        return Typed(B.instr_blob(x, y), "INTEGER")
+        return Typed(B.bound(F.struct(x.alias("x"), y.alias("y")), lambda v: B.instr_blob(v["x"], v["y"])), "INTEGER")
     return Typed(F.call_function("instr", x, y).cast("bigint"), "INTEGER")
 
 
 def _substr(c, e, a):
     x = _text(c, e, a[0], "TEXT", "BLOB")
-    nums = [c.need(t, ("INTEGER",), e.pos, "substr").col.cast("bigint") for t in a[1:]]
-    return Typed(B.substr(x, nums[0], nums[1] if len(nums) > 1 else None, a[0].type == "BLOB"), a[0].type or "TEXT")
+    nums = [(c.need(t, ("INTEGER",), e.pos, "substr").col.cast("bigint"), t.size) for t in a[1:]]
+    return Typed(B.substr((x, a[0].size), nums[0], nums[1] if len(nums) > 1 else None, a[0].type == "BLOB", a[1].value, a[2].value if len(a) > 2 else None), a[0].type or "TEXT")
 
 
 def _coalesce(c, e, a):
@@ -829,7 +949,7 @@ def _nullif(c, e, a):
     c.comparable(a[0], a[1], e.pos)
     if a[0].type is None or a[1].type is None:
         return Typed(a[0].col, a[0].type)
-    return Typed(F.when(B.compare("=", a[0].col, a[0].type, a[1].col, a[1].type), B.null(a[0].type)).otherwise(a[0].col), a[0].type)
+    return Typed(B.let([a[0].weighed], lambda v: F.when(B.compare("=", (v, 1), a[0].type, a[1].weighed, a[1].type), B.null(a[0].type)).otherwise(v)), a[0].type)
 
 
 def _extreme(name):
@@ -842,31 +962,31 @@ def _extreme(name):
         kind = "REAL" if len(kinds) > 1 else next(iter(kinds))
         cols = []
         for t in a:
-            col = t.col
             if kind == "REAL" and t.type == "INTEGER":  # one column has one type: only exact integers mix
-                i = _wide(t)
-                d = i.cast("double")
-                exact = (F.abs(d) < 2.0**63) & (F.when(F.abs(d) < 2.0**63, d).cast("bigint") == i)
-                col = F.when(i.isNull() | exact, d).otherwise(B.fail(e.pos, "INTEGER is not exact as REAL", "REAL"))
-            cols.append(col)
-        bad = cols[0].isNull()
-        for col in cols[1:]:
-            bad = bad | col.isNull()
-        if kind == "REAL":
-            for col in cols:
-                bad = bad | F.isnan(col)
-        best = cols[0]
-        for col in cols[1:]:
-            best = F.when(col <= best, col).otherwise(best) if name == "min" else F.when(col > best, col).otherwise(best)
-        return Typed(F.when(bad, B.null(kind)).otherwise(best), kind)
+
+                def as_real(i: Column) -> Column:
+                    d = i.cast("double")
+                    exact = (F.abs(d) < 2.0**63) & (F.when(F.abs(d) < 2.0**63, d).cast("bigint") == i)
+                    return F.when(i.isNull() | exact, d).otherwise(B.fail(e.pos, "INTEGER is not exact as REAL", "REAL"))
+
+                cols.append((B.let([(_wide(t), t.size)], as_real), 8 * t.size))
+            else:
+                cols.append((_wide(t), t.size))
+
+        def best(*xs: Column) -> Column:
+            bad = _balanced([x.isNull() | F.isnan(x) if kind == "REAL" else x.isNull() for x in xs], lambda p, q: p | q)
+            # of equal ones, as 0.0 and -0.0, the last least and the first greatest
+            return F.when(bad, B.null(kind)).otherwise(F.least(*reversed(xs)) if name == "min" else F.greatest(*xs))
+
+        return Typed(B.let(cols, best), kind)
 
     return build
 
 
 def _round(c, e, a):
     c.need(a[0], ("INTEGER", "REAL"), e.pos, "round")
-    n = c.need(a[1], ("INTEGER",), e.pos, "round").col.cast("bigint") if len(a) > 1 else None
-    return Typed(B.round_half(a[0].col.cast("double"), n), "REAL")
+    n = (c.need(a[1], ("INTEGER",), e.pos, "round").col.cast("bigint"), a[1].size) if len(a) > 1 else None
+    return Typed(B.round_half((a[0].col.cast("double"), a[0].size + 1), n, a[1].value if n is not None else None), "REAL")
 
 
 FUNCTIONS: dict[str, tuple[int, int, Callable]] = {
@@ -891,6 +1011,9 @@ FUNCTIONS: dict[str, tuple[int, int, Callable]] = {
 
 # helpers
 
+#: How often an operator reads an operand, where that is more than once.
+_READS = {ast.Is: 4, ast.In: 3, ast.Between: 4, ast.Cast: 6, ast.Unary: 3, ast.Binary: 2}
+
 
 def kind_of(v: Any) -> str | None:
     for kind, types in (("BOOLEAN", bool), ("INTEGER", int), ("REAL", float), ("TEXT", str), ("BLOB", bytes | bytearray | memoryview), ("TIMESTAMP", datetime.datetime)):
@@ -925,16 +1048,32 @@ def _balanced(cols: list[Column], join: Callable) -> Column:
     return cols[0]
 
 
-def _long_sum(first: Typed, rest: list[tuple[ast.Binary, Typed]]) -> Typed:
-    """A long chain of + and -, from left to right, as a fold over an array: a flat tree."""
-    kind, pos = first.type, rest[-1][0].pos
-    terms = F.array(*[F.struct(F.lit(b.op == "-").alias("minus"), _wide(t).alias("x")) for b, t in rest])
+def _real(t: Typed) -> Real:
+    """An operand of REAL arithmetic as a tree."""
+    if t.real is not None and t._col is None:
+        return t.real
+    sure = t.type == "INTEGER" or isinstance(t.value, float) and abs(t.value) < float("inf")
+    return Real([(t.col.cast("double") if t.type != "REAL" else t.col, t.size, sure)], lambda v: v[0], lambda v: (v[0], 1), (1, 1), 0)
+
+
+def ctx_true(ctx: Ctx) -> Ctx:
+    return replace(ctx, only_true=True)
+
+
+def _has_query(e: ast.Expr) -> bool:
+    return any(isinstance(x, ast.Scalar | ast.Exists) or isinstance(x, ast.In) and x.query for x in ast.walk(e))
+
 
-    def step(a: Column, t: Column) -> Column:
-        out = F.when(t["minus"], a - t["x"]).otherwise(a + t["x"])
-        return B.finite(out, [a, t["x"]], pos) if kind == "REAL" else out
+def _all(conds: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
-    return Typed(F.aggregate(terms, _wide(first), step), kind, can_fail=any(t.can_fail for _, t in rest) or first.can_fail)
+
+def _in_turn(conds: list[Column]) -> Column:
+    """All TRUE, each looked at only if those before are; not pushed below a join."""
+    cond = conds[-1]
+    for c in reversed(conds[:-1]):
+        cond = F.when(c, cond).otherwise(F.lit(False))
+    return F.when(F.spark_partition_id() >= 0, cond)
 
 
 def _conjuncts(e: ast.Expr) -> list[ast.Expr]:
@@ -969,22 +1108,6 @@ def _sort(keys: list[tuple[str, str | None, bool]]) -> list[Column]:
     return out
 
 
-def _compensated(values: Column) -> Column:
-    """Neumaier's sum of an array of doubles."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-
-    def add(a: Column, x: Column) -> Column:
-        t = a["s"] + x
-        lost = F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])
-        return F.struct(t.alias("s"), (a["c"] + lost).alias("c"))
-
-    def done(a: Column) -> Column:
-        total = a["s"] + a["c"]
-        return F.when(F.isnan(total) & ~F.isnan(a["s"]), a["s"]).otherwise(total)  # infinities have no error term
-
-    return F.aggregate(values, zero, add, done)
-
-
 def _carried(scope: Scope, refs: dict[str, str]) -> Scope:
     """The scope as an inner query sees it: columns under their names in the domain."""
 

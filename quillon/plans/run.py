@@ -67,16 +67,16 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def select(spark: SparkSession, q: ast.Select, lookup: Callable[[str], Relation | None], params=(), exact_sums: bool | None = None, memory: int | None = None) -> Result:
-    out = Compiler(spark, lookup, params, exact_sums).query(q)
+def select(spark: SparkSession, q: ast.Select, lookup: Callable[[str], Relation | None], params=(), memory: int | None = None) -> Result:
+    out = Compiler(spark, lookup, params).query(q)
     names = [c.name for c in out.cols]
     df = out.df.select(*[(F.col(c.id) if c.type or c.kind not in ("", "void") else F.col(c.id).cast("string")).alias(n) for c, n in zip(out.cols, unique_names(names))])
     return Result(df, names, [c.type for c in out.cols], q.pos, memory)
 
 
-def query(spark: SparkSession, text: str, tables: dict[str, Relation], params=(), exact_sums: bool | None = None) -> Result:
+def query(spark: SparkSession, text: str, tables: dict[str, Relation], params=()) -> Result:
     """Run one SELECT over given tables."""
     q = parse_one(text)
     if not isinstance(q, ast.Select):
         raise SqlError(*q.pos, "expected a SELECT")
-    return select(spark, q, tables.get, params, exact_sums)
+    return select(spark, q, tables.get, params)

@@ -160,7 +160,7 @@ class Storage:
         return Part(path, ids, self.spark.read.schema(self.schema(t)).parquet(f"{self.files.root}/{path}").count() if rows is None else rows)
 
     def relation(self, t: Table) -> Relation:
-        return Relation(self.rows(t), [(c.name, c.type) for c in t.columns], int(t.hidden), list(t.key), sum(p.rows for p in t.parts))
+        return Relation(self.rows(t), [(c.name, c.type) for c in t.columns], int(t.hidden), list(t.key))
 
     def last(self) -> int:
         return max((int(n[1:-5]) for n in self.files.names("_manifest") if n.startswith("v") and n.endswith(".json")), default=-1)

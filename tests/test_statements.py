@@ -105,9 +105,9 @@ def test_statement(spark, tables, text, want):
     exact = True if "FROM r" in text else None
     if isinstance(want, str):
         with pytest.raises(SqlError, match=want.replace("(", r"\(")):
-            query(spark, text, tables, exact_sums=exact).rows()
+            query(spark, text, tables).rows()
         return
-    got = query(spark, text, tables, exact_sums=exact).rows()
+    got = query(spark, text, tables).rows()
     if "ORDER" in text:
         assert got == want
     else:
