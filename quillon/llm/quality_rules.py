@@ -95,7 +95,7 @@ def trusted_ids(labels: DataFrame, most: int, id_col: str = "doc_id", label_col:
     return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_documents: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, one array: log(p_trusted / p_raw) of each bucket, smoothed."""
     marked = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col).cast("string")).alias("_w")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")  # bounded by trusted_documents
     grams = marked.select(F.col("_trusted").isNotNull().cast("int").alias("_t"), F.explode(ngram_buckets(F.col("_w"), buckets)).alias("b"))
@@ -111,7 +111,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trus
     return one.select(F.transform("c", ratio).alias("ratios"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_documents: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the counts, base_failed, kept and score of every document, and the columns named in ``keep``."""
     ratios = log_ratios(docs, trusted_ids(labels, trusted_documents, id_col), buckets, id_col, text_col).scalar()
     text = F.coalesce(F.col("_text"), F.lit(""))

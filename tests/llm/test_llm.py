@@ -303,14 +303,57 @@ def test_pruning_bound():
     assert jaccard.least_matches(10, 0.8, 0.0) == 0
 
 
-def test_kneser_ney_is_a_distribution():
+def one_column(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string")
+
+
+def kneser_ney_by_hand(texts, order=3):
+    """log perplexity of a text under interpolated modified Kneser-Ney, straight from the definition."""
+    padded = [["<s>"] * (order - 1) + words(t.lower()) for t in texts]
+    raw = {n: collections.Counter(tuple(w[i - n + 1 : i + 1]) for w in padded for i in range(order - 1, len(w))) for n in range(1, order + 1)}
+    used = {n: raw[n] if n == order else collections.Counter(g[1:] for g in raw[n + 1]) for n in raw}
+    disc = {}
+    for n, c in used.items():
+        m = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1])
+        disc[n] = [min(max(x, 0.05), k + 0.95) for k, x in enumerate((1 - 2 * y * m[1] / m[0], 2 - 3 * y * m[2] / m[1], 3 - 4 * y * m[3] / m[2]))]
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(used[1]) + 1)
+        after = {g: c for g, c in used[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total = sum(after.values())
+        off = {g: disc[n][min(c, 3) - 1] for g, c in after.items()}
+        mine = (after[gram] - off[gram]) / total if gram in after else 0.0
+        return mine + sum(off.values()) / total * p(gram[1:])
+
+    def score(t):
+        w = ["<s>"] * (order - 1) + words(t.lower())
+        return -sum(math.log(p(tuple(w[i - order + 1 : i + 1]))) for i in range(order - 1, len(w))) / (len(w) - order + 1)
+
+    return score
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_by_hand(spark, order):
+    train = [" ".join(np.random.default_rng(k).choice(VOCAB[:25], 30)) for k in range(12)] + ["One one ONE", "one", "", None]
+    tables, unknown = kneser_ney.fit(one_column(spark, train).repartition(3), kneser_ney.Settings(order=order))
+    score = kneser_ney_by_hand([t for t in train if t], order)
+    texts = [train[0], train[3][:50], "one two", "zz never seen", " ".join(VOCAB[20:40]), "one one one one"]
+    assert kneser_ney.log_perplexity(pa.array(texts), tables, unknown) == pytest.approx([score(t) for t in texts], rel=1e-5)
+
+
+def test_kneser_ney_is_a_distribution(spark):
     texts = [prose(30, k) for k in range(20)]
-    tables, unknown = kneser_ney.fit(texts)
+    tables, unknown = kneser_ney.fit(one_column(spark, texts))
     vocab = sorted({w for t in texts for w in words(t)})
     for context in (["", ""], [texts[0].split()[0], ""], texts[0].split()[:2], ["never", "seen"]):
         prefix = [c for c in context if c]
         p = [math.exp(-kneser_ney.log_perplexity(pa.array([" ".join([*prefix, w])]), tables, unknown)[0] * (len(prefix) + 1) + (kneser_ney.log_perplexity(pa.array([" ".join(prefix)]), tables, unknown)[0] * len(prefix) if prefix else 0)) for w in [*vocab, "zzunknown"]]
-        assert abs(sum(p) - 1) < 1e-6
+        assert abs(sum(p) - 1) < 1e-5
 
 
 def test_quality_classifier(spark, docs, none):
@@ -320,7 +363,7 @@ def test_quality_classifier(spark, docs, none):
     labels = d.filter("doc_id % 2 = 0").select("doc_id", "quality")
     model = kneser_ney.train(d, labels)
     got = {r.doc_id: r for r in kneser_ney.judge(d, model).collect()}
-    assert all(got[k].kept for k in range(100)) and not any(got[1000 + k].kept for k in range(10))
+    assert sum(got[k].kept for k in range(100)) >= 80 and not any(got[1000 + k].kept for k in range(10))
     other = kneser_ney.judge(docs, model).collect()
     assert len(other) == docs.count() and all(not r.kept and r.perplexity is None for r in other if r.doc_id in (0, 1, 2))
     assert kneser_ney.judge(none, model).count() == 0
@@ -334,17 +377,32 @@ def test_rare_language_has_its_own_quantile(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     settings = kneser_ney.Settings(per_language=50, train_words=3000)
     labels = d.selectExpr("doc_id", "1 AS quality")
-    got = kneser_ney.trusted_rows(d, labels, settings)
+    got = kneser_ney.trusted_rows(d, labels, settings).collect()
     assert sum(r["_lang"] == "rare" for r in got) > 10 and sum(len(r["_text"]) / 5 for r in got) <= settings.train_words
     model = kneser_ney.train(d, labels, settings)
     fitted = {r["_id"] for r in got}
     for lang in ("big", "rare"):
         held = [t for k, t, x in rows if x == lang and k not in fitted]
         value = np.sort(kneser_ney.log_perplexity(pa.array(held), model.tables, model.unknown))
-        assert len(held) >= 10 and model.limits["=" + lang] - settings.slack == pytest.approx(value[math.ceil(0.99 * len(value)) - 1], abs=1e-9 if lang == "rare" else 0.02)
+        (at, limits) = model.limits[f"={lang}false"]  # all texts have 20 words: one class
+        assert len(held) >= 10 and limits[-1] == pytest.approx(value[math.ceil(0.99 * len(value)) - 1], abs=1e-9 if lang == "rare" else 0.02)
     assert sorted(map(str, kneser_ney.classify(d, labels, settings).collect())) == sorted(map(str, kneser_ney.judge(d, model).collect()))
 
 
+def test_limits_by_length(spark):
+    """Short and long texts of a language have limits of their own, each the quantile of its class."""
+    rows = [(k, prose(6 if k % 2 else 60, k), None) for k in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = kneser_ney.Settings(per_language=40, train_words=3000, lengths=4, least=100, quantile=0.9)
+    model = kneser_ney.train(d, d.selectExpr("doc_id", "1 AS quality"), settings)
+    at, limits = model.limits["=true"]
+    assert at.tolist() == [0, 6, 60] or at.tolist() == [0, 60]
+    got = kneser_ney.judge(d, model).collect()
+    for n in (0, 1):
+        kept = [r.kept for r in got if r.doc_id % 2 == n]
+        assert 0.85 < sum(kept) / len(kept) < 0.96
+
+
 def test_huge_trusted_text_leaves_the_others(spark):
     """A text that the budget has no room for is left out alone, wherever it stands in hash order."""
     ids = spark.range(200).selectExpr("id AS doc_id", "1 AS quality")
@@ -352,7 +410,7 @@ def test_huge_trusted_text_leaves_the_others(spark):
     rows = [(k, prose(40000 if k == first else 20, k), "en") for k in range(200)] + [(1000, " | ".join(f"q{j}" for j in range(60)), "en")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     settings = kneser_ney.Settings(train_words=20_000)
-    got = kneser_ney.trusted_rows(d, ids, settings)
+    got = kneser_ney.trusted_rows(d, ids, settings).collect()
     assert len(got) > 100 and first not in {r["_id"] for r in got}
     assert not [r for r in kneser_ney.classify(d, ids, settings).collect() if r.doc_id == 1000][0].kept
 
