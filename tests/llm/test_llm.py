@@ -239,7 +239,7 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("block", "pivots"), [(2048, 256), (5, 4)])
+@pytest.mark.parametrize(("block", "pivots"), [(2048, 256), (5, 16)])
 def test_embeddings(spark, block, pivots):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(8, 6))
@@ -265,6 +265,37 @@ def test_embeddings(spark, block, pivots):
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_pivots_follow_the_data():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 32))
+    close = centres[rng.integers(0, 200, 4000)] + rng.normal(scale=0.02, size=(4000, 32))
+    spread = rng.normal(size=(4000, 32))
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    reach = 2 * math.acos(0.98)
+    assert len(embedding_dedup.choose_pivots(unit(spread), 10**6, reach, 1024)) <= 4
+    few, many = (len(embedding_dedup.choose_pivots(unit(close * np.array([1.0] * 3 + [0.0] * 29)), n, reach, 1024)) for n in (10**3, 10**7))
+    assert 1 <= few < many
+
+
+def test_embeddings_in_many_cells(spark):
+    """Vectors of few dimensions, which pivots separate, against all pairs."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 3))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    near = (u @ u.T >= 0.999) & ~np.eye(1500, dtype=bool)
+    comp = groups(1500, [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    found = embedding_dedup.choose_pivots(u, 1500, 2 * math.acos(0.999), 64, send=1)
+    assert len(found) > 1
+    for send in (1, 300):
+        embedding_dedup.SEND, before = send, embedding_dedup.SEND
+        try:
+            got = {r.vec_id: r for r in embedding_dedup.link(df, cosine=0.999, block=64).collect()}
+        finally:
+            embedding_dedup.SEND = before
+        assert all(got[k].n_links == near[k].sum() and got[k].component_id == comp[k] for k in range(1500))
+
+
 def shingled(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
