@@ -152,6 +152,12 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str, te
     return source.mapInArrow(run, f"id {id_type}, row long, node long, bands array<long>")
 
 
+def _with_class(nodes: DataFrame, classes: DataFrame, how: str = "inner") -> DataFrame:
+    """Nodes joined with the row of their class by root; as a class may hold a third of all nodes, with salt."""
+    spread = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], how).drop("salt")
+
+
 def _units(nodes: DataFrame, block: int) -> DataFrame:
     """(node, units): what each node that shares a bucket is to be compared in, as (unit, band or -1, parts)."""
     bucketed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -169,7 +175,7 @@ def _units(nodes: DataFrame, block: int) -> DataFrame:
     sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     as_buckets = buckets.join(groups.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.sum(F.col("n") * parts("n")).alias("cost"))
     chosen = sized.join(as_buckets, "root").select("root", parts("size").alias("parts"), (F.col("cost") < F.col("size") * parts("size")).alias("split"))
-    chosen = checkpoint(groups.join(chosen, "root"))
+    chosen = checkpoint(_with_class(groups, chosen))
     whole = chosen.filter("NOT split").select("node", F.array(F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), "parts")).alias("units"))
     split = members.join(chosen.filter("split").select("node"), "node").groupBy("node").agg(F.collect_list(F.struct(F.col("bucket").alias("unit"), "band", parts("n").alias("parts"))).alias("units"))  # at most a unit for each band
     return whole.unionByName(split)
@@ -220,11 +226,8 @@ def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
     linked = checkpoint(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     own = nodes.select("node", "copies", "least", "first").join(links, "node", "left").join(linked, "node", "left")
     own = own.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", "first", "root")
-    # classes of several nodes: a class may hold a third of all nodes, so its row is joined with salt
     of_class = linked.join(nodes.select("node", "least", "first"), "node").groupBy("root").agg(F.min("least").alias("c_least"), F.min("first").alias("c_first"))
-    of_class = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    info = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(of_class, ["root", "salt"], "left")
-    info = info.select("node", "n_links", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("c_least")).alias("class"), F.coalesce("c_first", "first").alias("first"))
+    info = _with_class(own, of_class, "left").select("node", "n_links", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("c_least")).alias("class"), F.coalesce("c_first", "first").alias("first"))
     out = sketched.select("id", "row", "node").join(info, "node", "left")
     alone = F.col("node").isNull()
     return out.select("id", "row", F.when(alone, F.col("id")).otherwise(F.col("class")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("first.row") == F.col("row"))).alias("first"))

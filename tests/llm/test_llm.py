@@ -329,6 +329,23 @@ def test_jaccard(spark, block):
         assert jaccard.link(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_jaccard_chain(spark, block):
+    """A long chain in which each document is like its neighbours only is compared bucket by bucket; each link counts once."""
+    tokens = [f"c{k}" for k in range(3300)]
+    texts = [" ".join(tokens[20 * k : 20 * k + 260]) for k in range(150)]
+    sets = [shingled(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert 149 <= len(links) < 300
+    n, comp = collections.Counter(x for p in links for x in p), groups(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard.link(docs, block=block).collect()}
+    assert got == {k: (n[k], comp[k]) for k in range(len(texts))}
+    nodes = jaccard.sketch(docs, 5, jaccard.BANDS, jaccard.ROWS, "doc_id", "text").select("node", "bands")
+    bands = {r.band for r in jaccard._units(nodes, 2).selectExpr("explode(units.band) AS band").collect()}
+    assert bands - {-1}
+
+
 def test_pruning_bound():
     assert jaccard.least_matches(28, 0.8, 1e-9) < 28 * 0.8 and jaccard.least_matches(392, 0.8, 1e-9) > 392 * 0.6
     assert jaccard.least_matches(10, 0.8, 0.0) == 0
