@@ -18,7 +18,9 @@ words by ``screen`` hash classes, one counts exactly the words in the classes th
 tasks, and their pairs are partitioned by both words, others by the first alone.  So no
 partition holds more than its part and 1/``hot`` of all pairs.  Pairs travel packed: for a
 slice of documents and a partition the first words in runs, the second words, and the
-place of the document, some 7 bytes a pair, and are shuffled once.  All other words are
+place of the document, some 7 bytes a pair, and are shuffled once.  A slice has at most
+65,536 texts.  Where there are more partitions than a slice has pairs (beyond some TB) a
+row holds few pairs and costs what a plain row does.  All other words are
 counted in a table partitioned by their hash, one row a word; the second words of pairs
 that back off go there, and are joined with their counts.  A partition of that join holds
 its part and less than 1/``hot`` of all words.  Sums come back packed likewise.  What is
@@ -33,6 +35,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -233,11 +236,16 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     parts = max(1, -(-known.total // settings.pairs_per_partition))
     sent = spark.sparkContext.broadcast(known)
 
-    def dealt(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order by partition of the word table, where each partition begins)."""
+    def runs(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(partition, its rows) of the partitions that have some: no more steps than rows, however many partitions there are."""
+        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(order))):
+            yield int(part[order[a]]), order[a:b]
+
+    def dealt(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows of each partition of the word table."""
         part = (mix(key + np.uint64(5)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
+        return runs(part, np.argsort(part, kind="stable"))
 
     def explode(batches):
         from pyspark import TaskContext
@@ -259,16 +267,14 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                     by[both] = mix(v[both]) + w[both] * _STEP
                 part = (mix(by + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                at = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(k, number, pack_pairs(v[o], w[o], doc[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
+                rows = [(k, number, pack_pairs(v[o], w[o], doc[o])) for k, o in runs(part, order)]
                 keys, counts = np.unique(w % np.uint64(settings.classes), return_counts=True)
                 rare = ~find(keys, sent.value.hot_keys)[0]
                 keys, counts = keys[rare], counts[rare]
-                order, at = dealt(keys)
-                rows += [(-1 - parts - k, number, pack_counts(keys[o], counts[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
+                rows += [(-1 - parts - k, number, pack_counts(keys[o], counts[o])) for k, o in dealt(keys)]
                 null = np.array(ids.is_null())
                 head = np.array([len(n)], "<u4").tobytes() + null.astype(np.uint8).tobytes() + pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + n.astype("<i8").tobytes()
-                rows.append((-1 - number % parts, number, head))  # who the documents of this slice are
+                rows.append((-1 - int(mix(np.array([number], np.uint64))[0] % np.uint64(parts)), number, head))  # who the documents of this slice are
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slice", "data"])
 
@@ -288,8 +294,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         out = [(-1 - s, s, "sum", d) for s, d in zip(slices, pack_sums(slices, docs_, sums))]
         by_doc = np.argsort(asker, kind="stable")
         key, asker, own = key[by_doc], asker[by_doc], own[by_doc]
-        order, at = dealt(key)
-        out += [(k, 0, "ask", pack_asked(key[o], slices[asker[o] >> 16], asker[o] & 0xFFFF, own[o])) for k in range(parts) if len(o := order[at[k] : at[k + 1]])]
+        out += [(k, 0, "ask", pack_asked(key[o], slices[asker[o] >> 16], asker[o] & 0xFFFF, own[o])) for k, o in dealt(key)]
         return pd.DataFrame(out, columns=["to", "slice", "kind", "data"])
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:

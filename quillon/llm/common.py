@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,17 +110,41 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def create_once(spark: SparkSession, temp, final) -> bool:
+    """Give a file its final name, at once and only if no other has it; else it goes, and False."""
+    fs = temp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # where rename writes over what is there
+        jvm = spark.sparkContext._jvm
+        if fs.exists(final):
+            done = False
+        else:
+            at = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, temp)]
+            try:
+                jvm.java.nio.file.Files.createLink(*at)
+                done = True
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+                done = False
+        fs.delete(temp, False)
+        return done
+    done = not fs.exists(final) and fs.rename(temp, final)
+    if not done:
+        fs.delete(temp, False)
+    return done
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
 
 
-def text_slices(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
-    """A batch's texts in runs of about ``most_bytes`` (one text at least), so that what is made of them stays small."""
+def text_slices(texts: pa.Array, most_bytes: int = 2 << 20, most_texts: int = 1 << 16) -> Iterator[pa.Array]:
+    """A batch's texts in runs of about ``most_bytes`` (one text at least) and ``most_texts`` at most, so that what is made of them stays small."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = held = 0
     for k, n in enumerate(size):
-        if held and held + n > most_bytes:
+        if held and held + n > most_bytes or k - start == most_texts:
             yield texts.slice(start, k - start)
             start, held = k, 0
         held += n

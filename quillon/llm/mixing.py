@@ -43,7 +43,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("_h", F.xxhash64("doc_id", "size"))
+    ).withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "size")), 1, 15), 16, 10).cast("long"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, ramp: float = RAMP) -> DataFrame:
@@ -80,7 +80,7 @@ def lay_out(sized: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, **how) -> Da
     ``sized`` is read several times: it should be cheap to read.
     """
     blocks = max(1, sized.count() // rows_per_block)
-    dealt = sized.withColumn("_b", F.floor((F.shiftrightunsigned("_h", 1) / float(2**63)) * blocks).cast("int"))
+    dealt = sized.withColumn("_b", F.floor(F.col("_h") / float(2**60) * blocks).cast("int"))
     per_block = dealt.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = targets(sized, **how)

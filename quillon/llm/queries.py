@@ -19,10 +19,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive, in three parts, each as small shards, which are merged after each."""
+    docs = read_table(spark, sf_dir, "documents")
     store = ShardStore(spark, scratch(spark, "shards"))
-    store.append(read_table(spark, sf_dir, "documents"), rows_per_shard=4096)
-    store.compact()
-    return store.read(with_shard=True).select("doc_id", "lang", "source", "n_chars", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("_shard").alias("shard"))
+    for k in range(3):
+        store.append(docs.filter(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0)) == k), rows_per_shard=4096)
+        store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +75,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The same results in plain SQL, where SQL can say them: op3's score, op4 and op5 are trained on hashed features,
+#: op9 and op10 need a tokenizer.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (WITH RECURSIVE r AS (SELECT doc_id AS d, doc_id AS t FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON e.x = r.t) SELECT d, min(t) AS least FROM r GROUP BY d)
+        SELECT doc_id, least AS class_id, (SELECT count(*) FROM e WHERE e.x = doc_id) AS n_links, doc_id = least AS kept
+        FROM documents JOIN r ON r.d = doc_id""",
+    "op2_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op6_mixing": r"""
+        WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, count(*) OVER () AS n FROM s GROUP BY source),
+        w AS (SELECT *, (1 + k % 3)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS words FROM per),
+        v AS (
+            SELECT *, (words - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM w WINDOW before AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT arg_min(level, (cap / weight, k)) AS level FROM v WHERE level * weight <= cap),
+        t AS (
+            SELECT source, source_size, least(cap, coalesce(f.level * weight, cap)) AS target,
+                CASE WHEN n > 1 THEN 0.8 * (1 - 2 * k / (n - 1)) ELSE 0 END AS slope FROM v LEFT JOIN f ON true),
+        d AS (
+            SELECT doc_id, size, source_size, target, s.source, slope, round(target)::BIGINT AS whole,
+                coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat_ws(':', doc_id, size))[1:15], doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+        u AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS rounds, CASE WHEN target > 0 THEN least(1.0, start / target) ELSE 0 END AS u FROM d)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, (rounds * size + greatest(0, least(size, whole - rounds * source_size - start)))::BIGINT AS taken, source,
+            CASE WHEN u = 0 THEN 0 ELSE 2 * u / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) END AS position
+        FROM u""",
+    "op7_lm_scoring": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        tok AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+        p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM tok),
+        own AS (SELECT r, v, w, count(*) AS n FROM p GROUP BY ALL),
+        c2 AS (SELECT v, w, sum(n) AS c FROM own WHERE v IS NOT NULL GROUP BY ALL),
+        first AS (SELECT v, sum(n) AS c FROM own WHERE v IS NOT NULL GROUP BY v),
+        c1 AS (SELECT w, sum(n) AS c FROM own GROUP BY w),
+        every AS (SELECT sum(n) AS c FROM own),
+        terms AS (
+            SELECT r, n, CASE WHEN c2.c > n THEN ln((c2.c - n) / greatest(first.c - n, c2.c - n)) ELSE ln(0.4 * greatest(c1.c - n, 0.5) / greatest(every.c - n, 1)) END AS x
+            FROM own JOIN c1 USING (w) CROSS JOIN every LEFT JOIN c2 ON c2.v = own.v AND c2.w = own.w LEFT JOIN first ON first.v = own.v),
+        s AS (SELECT r, sum(n * x) AS x FROM terms GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, s.x AS log_score, s.x / len(ws) AS mean_log_score FROM t LEFT JOIN s USING (r)""",
+    "op8_embedding_near_dedup": """
+        WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (WITH RECURSIVE r AS (SELECT vec_id AS d, vec_id AS t FROM embeddings UNION SELECT r.d, e.y FROM r JOIN e ON e.x = r.t) SELECT d, min(t) AS least FROM r GROUP BY d)
+        SELECT vec_id, (SELECT count(*) FROM e WHERE e.x = vec_id) AS n_links, least AS component_id, vec_id = least AS kept
+        FROM embeddings JOIN r ON r.d = vec_id""",
+}

@@ -5,21 +5,23 @@ sizes lie in the same tier (powers of ``fan_in`` of the smallest size) form a ru
 when a tier holds ``fan_in`` shards or more they are merged into files of about
 ``target_bytes``, which then belong to a higher tier; files of the target size are
 left alone.  What the store holds is said by a manifest: a numbered JSON file with the
-live shards.  A commit writes it to a temporary name and renames it to the next
-number, which the file system does at once or not at all, and which fails when another
-writer has taken the number; readers see one version or the next.  Shards no longer
-named by the manifest are deleted after the commit.
+live shards.  A commit writes it to a temporary name and gives it the next number in one
+step that fails when another writer has taken the number (a hard link on local disks, a
+rename elsewhere, which HDFS refuses over an existing file; object stores without such a
+rename need one writer); readers see one version or the next.  Shards stay as long as a
+version that names them is kept: ``vacuum`` forgets versions and deletes what no other
+version names.
 
 Scale: merging reads small files and writes large ones, without a shuffle.  A run is
-split by ``spread`` reading partitions, each of about ``target_bytes``, so each output
-file is one task's.  The driver holds the manifest (a line per shard: 10^5 of 512 MB
-for 50 TB) and no rows.  A lost task is run again; files of failed attempts are in no
-manifest.
-
-Cases: nulls, empty and very long texts, repeated rows and any columns are stored as
-they are (the schema is that of the first arrivals; later ones must match it by name);
-appending an empty table commits a version without new shards; an empty store reads
-as an empty table.
+read by as many tasks as it makes files of about ``target_bytes``, each task writing one.
+The driver holds the manifest (a line per shard: 10^5 of 512 MB for 50 TB) and no rows.
+A lost task is run again; files of failed attempts are in no manifest.
+
+Cases: nulls, empty and very long texts, repeated rows and any columns, whatever their
+names, are stored as they are; the schema is that of the first arrivals, and later ones
+must have its columns, by name, with the same types; appending an empty table commits a
+version without new shards; a store that nothing was appended to has no schema, and reads
+as a table without columns and rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillon.llm.common import hadoop_path
+from quillon.llm.common import create_once, delete, hadoop_path
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
@@ -95,8 +97,7 @@ class ShardStore:
                 out.hsync()
         finally:
             out.close()
-        if fs.exists(final) or not fs.rename(temp, final):
-            fs.delete(temp, False)
+        if not create_once(self.spark, temp, final):
             raise ConflictError(f"version {version} is there already")
         return version
 
@@ -110,7 +111,8 @@ class ShardStore:
         size = {s.getPath().getName(): s.getLen() for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")}
         if not size:
             return []
-        counts = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row per shard
+        # a row per shard; no column of the rows is read
+        counts = self.spark.read.schema(StructType([])).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
         for name in size.keys() - {r["f"] for r in counts}:  # files without rows
             fs.delete(hadoop_path(self.spark, f"{self.root}/{folder}/{name}")[1], False)
         return sorted((Shard(f"{folder}/{r['f']}", size[r["f"]], r["count"]) for r in counts), key=lambda s: s.path)
@@ -119,8 +121,12 @@ class ShardStore:
         """Add rows as new shards, one per task or per ``rows_per_shard`` rows; the new version."""
         before = self.manifest()
         schema = before["schema"] or arrivals.schema.json()
-        columns = StructType.fromJson(json.loads(schema)).names
-        new = self._write(arrivals.select(*columns), rows_per_shard or 0)
+        fields = StructType.fromJson(json.loads(schema)).fields
+        came = {f.name: f.dataType for f in arrivals.schema.fields}
+        wrong = [f.name for f in fields if f.name not in came or came[f.name].simpleString() != f.dataType.simpleString()]
+        if wrong:
+            raise TypeError(f"columns that are missing or have another type: {', '.join(wrong)}")
+        new = self._write(arrivals.select(*[F.col(f"`{f.name.replace('`', '``')}`") for f in fields]), rows_per_shard or 0)
         return self._commit(before, before["shards"] + new, schema)
 
     def tier(self, size: int) -> int:
@@ -149,22 +155,37 @@ class ShardStore:
                 merged += self._write(rows.coalesce(files))
                 gone |= {s.path for s in run}
             version = self._commit(before, [s for s in before["shards"] if s.path not in gone] + merged, before["schema"])
-            for path in gone:
-                fs, p = hadoop_path(self.spark, f"{self.root}/{path}")
-                fs.delete(p, False)
             if len(merged) >= len(gone):  # nothing was gained: tasks write at least a file each
                 return version
 
-    def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
-        """The rows of a version; with_shard adds the shard a row lies in as ``_shard``."""
+    def vacuum(self, keep: int = 1) -> int:
+        """Forget all but the last ``keep`` versions and delete the shards that only those named; how many went."""
+        if keep < 1:
+            raise ValueError("the last version stays")
+        fs, p = hadoop_path(self.spark, f"{self.root}/_manifest")
+        versions = sorted(int(s.getPath().getName()[1:-5]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v")) if fs.exists(p) else []
+        old, kept = versions[:-keep], versions[-keep:]
+        live = {s.path for v in kept for s in self.manifest(v)["shards"]}
+        gone = {s.path for v in old for s in self.manifest(v)["shards"]} - live
+        for v in old:  # first, so that no version names a shard that isn't there
+            delete(self.spark, f"{self.root}/_manifest/v{v:08d}.json")
+        for path in gone:
+            delete(self.spark, f"{self.root}/{path}")
+        return len(gone)
+
+    def read(self, version: int | None = None, shard_column: str | None = None) -> DataFrame:
+        """The rows of a version; shard_column: the name of a column to add that says which shard a row lies in."""
         found = self.manifest(version)
         if found["schema"] is None:
-            raise ValueError("nothing has been appended yet")
+            return self.spark.createDataFrame([], StructType([]))
         schema = StructType.fromJson(json.loads(found["schema"]))
+        if shard_column in schema.names:
+            raise ValueError(f"the rows have a column {shard_column} of their own")
         if not found["shards"]:
             empty = self.spark.createDataFrame([], schema)
-            return empty.withColumn("_shard", F.lit("")) if with_shard else empty
+            return empty.withColumn(shard_column, F.lit("")) if shard_column else empty
         rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in found["shards"]])
-        if not with_shard:
+        if shard_column is None:
             return rows
-        return rows.select("*", F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")).alias("_shard"))
+        at = rows.metadataColumn("_metadata")  # also where the rows have a column of that name
+        return rows.select("*", F.concat_ws("/", F.element_at(F.split(at["file_path"], "/"), -2), at["file_name"]).alias(shard_column))

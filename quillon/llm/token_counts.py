@@ -15,7 +15,8 @@ is what one writing task made, so no scan spans the corpus.
 Cases: a file's tokens behind its last separator are an unclosed document, reported
 with closed = false; two separators in a row are a document of 0 tokens; a null text
 is written as an empty document; a file without tokens has no rows; null ids stay
-null; repeated rows are documents of their own; other columns are ignored.
+null; repeated rows are documents of their own; an id that the files' type can't hold is
+an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +34,24 @@ END_ID = 50256
 _FILE = pa.schema([("file", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Tokenise documents into flat token files, one per task.
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Tokenise documents into flat token files of ids of type ``dtype``, one per task; an id that it can't hold is an error.
 
     Rows with tokens are a file's blocks in order (file, seq); rows without tokens
     note which document was written as the seq-th, which the scan doesn't read.
     """
-    vocab = vocabulary or bpe.default_vocabulary()
+    vocab, greatest = vocabulary or bpe.default_vocabulary(), np.iinfo(dtype).max
+
+    def fitting(ids: np.ndarray) -> np.ndarray:
+        if len(ids) and ids.max() > greatest:
+            raise ValueError(f"token id {ids.max()} is too large for {dtype}")
+        return ids.astype(dtype)
 
     def run(batches):
         from pyspark import TaskContext
 
         encode, file = bpe.encoder(vocab).ids, TaskContext.get().partitionId()
-        end, pending, held, blocks, written = np.array([end_id], dtype="<u2"), [], 0, 0, 0
+        end, pending, held, blocks, written = fitting(np.array([end_id])), [], 0, 0, 0
 
         def rows(seqs, ids, tokens):
             return pa.RecordBatch.from_arrays([pa.array([file] * len(seqs), pa.int64()), pa.array(seqs, pa.int64()), pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], schema=_FILE)
@@ -53,7 +59,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for text in batch.column(1):
-                tokens = encode(text.as_py()).astype("<u2")
+                tokens = fitting(encode(text.as_py()))
                 pending += [tokens, end]
                 held += len(tokens) + 1
                 if held >= block_tokens:
@@ -126,10 +132,10 @@ def stitch(found: DataFrame) -> DataFrame:
     return closed.unionByName(unclosed)
 
 
-def count_files(spark: SparkSession, path: str, end_id: int = END_ID) -> DataFrame:
+def count_files(spark: SparkSession, path: str, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
     """Token counts of the documents in token files that ``write_token_files`` made."""
     blocks = spark.read.parquet(path).filter(F.col("tokens").isNotNull())
-    return stitch(checkpoint(find_separators(blocks, end_id)))
+    return stitch(checkpoint(find_separators(blocks, end_id, dtype)))
 
 
 def count_flat(spark: SparkSession, path: str, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
@@ -138,15 +144,15 @@ def count_flat(spark: SparkSession, path: str, end_id: int = END_ID, dtype: str
     return stitch(find_separators(files, end_id, dtype))
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents -> token files -> (doc_id, n_tokens), a row per document.
 
     The token files lie in the shared folder and go when the counts are made.
     """
     spark = docs.sparkSession
     at = scratch(spark, "tokens")
-    write_token_files(docs, at, vocabulary, end_id, block_tokens, id_col, text_col)
-    counts = count_files(spark, at, end_id)
+    write_token_files(docs, at, vocabulary, end_id, block_tokens, dtype, id_col, text_col)
+    counts = count_files(spark, at, end_id, dtype)
     order = spark.read.parquet(at).filter(F.col("tokens").isNull()).select("file", F.col("seq").alias("ordinal"), "doc_id")
     out = checkpoint(order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens"))
     delete(spark, at)

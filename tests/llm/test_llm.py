@@ -505,7 +505,7 @@ def test_backoff_counts_each_word(spark):
 
 def test_sharding(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000, fan_in=3, smallest=2_000)
-    assert store.version() == 0
+    assert store.version() == 0 and store.read().count() == 0 and store.vacuum() == 0
     for k in range(7):
         store.append(docs.repartition(2), rows_per_shard=4)
     before = store.manifest()
@@ -513,13 +513,41 @@ def test_sharding(spark, docs, tmp_path):
     version = store.compact()
     after = store.manifest()
     assert version > 7 and len(after["shards"]) < len(before["shards"]) and not store.plan(after["shards"])
-    assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect() * 7))
+    want = lambda n: sorted(map(str, docs.collect() * n))
+    assert sorted(map(str, store.read().collect())) == want(7)
+    # versions from before a compaction stay readable, to their rows alone
+    assert sorted(map(str, store.read(version=4).collect())) == want(4)
     store.append(docs.limit(0))
-    assert store.read(with_shard=True).select("_shard").distinct().count() == len(store.manifest()["shards"])
+    assert store.read(shard_column="_shard").select("_shard").distinct().count() == len(store.manifest()["shards"])
     with pytest.raises(sharding.ConflictError):
         store._commit(before, before["shards"], before["schema"])
+    with pytest.raises(TypeError, match="text"):
+        store.append(docs.withColumn("text", F.col("text").cast("binary")))
+    assert store.vacuum() > 0
     left = {p.name for p in (tmp_path / "s" / "data").rglob("*.parquet")}
-    assert left >= {s.path.split("/")[-1] for s in store.manifest()["shards"]} and len(left) == len(store.manifest()["shards"])
+    assert left == {s.path.split("/")[-1] for s in store.manifest()["shards"]}
+    assert sorted(map(str, store.read().collect())) == want(7)
+
+
+def test_sharding_any_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "x" * 100_000)], "_shard long, _metadata string, `a.b` string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(df)
+    store.append(df)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, df.collect() * 2))
+    assert store.read(shard_column="at").select("at").distinct().count() >= 2
+    with pytest.raises(ValueError, match="of their own"):
+        store.read(shard_column="_shard")
+
+
+def test_sharding_takes_several_writers_one_at_a_time(spark, docs, tmp_path):
+    a, b = (sharding.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.append(docs)
+    held = b.manifest()
+    a.append(docs)
+    with pytest.raises(sharding.ConflictError):
+        b._commit(held, [], held["schema"])
+    assert a.read().count() == 2 * docs.count()
 
 
 def test_pipeline(spark):
