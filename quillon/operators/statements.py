@@ -2,7 +2,8 @@
 
 VALUES lists are as long as the statement's text, so inserts and upserts work row by
 row on the driver, against the few stored rows that their keys meet, which one join
-finds.  UPDATE and DELETE rewrite tables as DataFrames; nothing of them is collected.
+finds.  UPDATE and DELETE rewrite the parts that have a row to change, as DataFrames; nothing of
+them is collected.  Small parts are merged as they come together.
 """
 
 from __future__ import annotations
@@ -402,11 +403,15 @@ def put(storage: Storage, state: State, t: Table, rows: list[list], auto: str |
     flush()
     if changed:
         gone = local_frame(storage, t, [list(old[n]) for n in changed]).select(*[F.col(t.column(n).id) for n in t.key])
-        kept = stored.join(F.broadcast(gone), [t.column(n).id for n in t.key], "left_anti")
-        t.parts = [storage.write(t, kept.select(*[c.id for c in t.columns]))]
+        keys = [t.column(n).id for n in t.key]
+        hit = storage.rows(t, marked=True).join(F.broadcast(gone), keys, "left_semi").select("_part").distinct().collect()
+        parts = [p for p in t.parts if p.name in {r[0] for r in hit}]
+        kept = storage.rows(t, parts).join(F.broadcast(gone), keys, "left_anti")
+        storage.replace(t, {p.name for p in parts}, storage.write(t, kept.select(*[c.id for c in t.columns])))
     fresh_rows = [live[n] for n in (*sorted(changed), *added)]
     if fresh_rows:
-        t.parts.append(storage.write(t, local_frame(storage, t, fresh_rows).coalesce(1), len(fresh_rows)))
+        t.parts.append(storage.write(t, local_frame(storage, t, fresh_rows).coalesce(1)))
+        storage.tidy(t)
     return Outcome(affected, last)
 
 
@@ -456,8 +461,9 @@ def fitting(v: Typed, col: Column, pos) -> SparkColumn:
 
 def update(storage: Storage, state: State, s: ast.Update, params) -> Outcome:
     t = state.table(s.table)
+    parts = hit_parts(storage, state, t, s.where, params, s.sets)
     c = compiler(storage, state, params)
-    ctx = scoped(c, t, storage.rows(t))
+    ctx = scoped(c, t, storage.rows(t, [p for p in t.parts if p.name in parts]))
     hit = F.lit(True)
     if s.where is not None:
         hit = F.coalesce(c.boolean(s.where, ctx, "WHERE").col, F.lit(False))
@@ -466,11 +472,10 @@ def update(storage: Storage, state: State, s: ast.Update, params) -> Outcome:
     marked = ctx.rel.df.withColumn("_hit", hit)
     olds = [F.col(x.id).alias(f"o_{x.id}") for x in t.columns]
     new = marked.select("_hit", *olds, *[(F.when(F.col("_hit"), sets[x.name]).otherwise(F.col(x.id)) if x.name in sets else F.col(x.id)).alias(x.id) for x in t.columns])
+    if not parts:
+        return Outcome()
     new = new.persist()
     try:
-        count = new.filter("_hit").count()
-        if not count:
-            return Outcome()
         touched = new.filter("_hit")
         for x in t.columns:
             if x.name in sets and (not x.nullable or x.name in t.key) and touched.filter(F.col(x.id).isNull()).limit(1).count():
@@ -479,12 +484,24 @@ def update(storage: Storage, state: State, s: ast.Update, params) -> Outcome:
             check_rows(storage, state, t, touched, t.checks)
         for what, names in state.uniques(t.name):
             if set(names) & set(sets):
-                no_duplicates(t, new, f"{what} of {t.name}", names)
+                rest = storage.rows(t, [p for p in t.parts if p.name not in parts])
+                no_duplicates(t, new.select(*rest.columns).unionByName(rest), f"{what} of {t.name}", names)
                 no_transient(t, touched, f"{what} of {t.name}", names)
-        t.parts = [storage.write(t, new)]
+        storage.replace(t, set(parts), storage.write(t, new))
     finally:
         new.unpersist()
-    return Outcome(count)
+    return Outcome(sum(parts.values()))
+
+
+def hit_parts(storage: Storage, state: State, t: Table, where: ast.Expr | None, params, sets=()) -> dict[str, int]:
+    """Rows that WHERE holds for, by part; only these parts are written again."""
+    c = compiler(storage, state, params)
+    ctx = scoped(c, t, storage.rows(t, marked=True))
+    if where is None:
+        return {p.name: p.rows for p in t.parts}
+    hit = c.boolean(where, ctx, "WHERE").col
+    found = ctx.rel.df.filter(hit).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per part
+    return {r["_part"]: r["n"] for r in found}
 
 
 def no_transient(t: Table, touched: DataFrame, what: str, names: list[str]) -> None:
@@ -500,16 +517,14 @@ def no_transient(t: Table, touched: DataFrame, what: str, names: list[str]) -> N
 
 def delete(storage: Storage, state: State, s: ast.Delete, params) -> Outcome:
     t = state.table(s.table)
-    c = compiler(storage, state, params)
-    ctx = scoped(c, t, storage.rows(t))
-    before = sum(p.rows for p in t.parts)
+    parts = hit_parts(storage, state, t, s.where, params)
     if s.where is None:
         t.parts = []
-        return Outcome(before)
-    hit = F.coalesce(c.boolean(s.where, ctx, "WHERE").col, F.lit(False))
-    part = storage.write(t, ctx.rel.df.filter(~hit).select(*[x.id for x in t.columns]))
-    if part.rows != before:
-        t.parts = [part]
-    return Outcome(before - part.rows)
+    elif parts:
+        c = compiler(storage, state, params)
+        ctx = scoped(c, t, storage.rows(t, [p for p in t.parts if p.name in parts]))
+        hit = F.coalesce(c.boolean(s.where, ctx, "WHERE").col, F.lit(False))
+        storage.replace(t, set(parts), storage.write(t, ctx.rel.df.filter(~hit).select(*[x.id for x in t.columns])))
+    return Outcome(sum(parts.values()))
 
 

@@ -11,11 +11,12 @@ import base64
 import copy
 import datetime
 import json
+import math
 import uuid
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,6 +25,8 @@ from quillon.functions import bridge as B
 from quillon.plans.compile import Relation
 from quillon.sources.files import Files
 
+#: So many parts of like size are merged into one; files of a merged part have about so many rows.
+FAN_IN, ROWS_PER_FILE = 8, 1_000_000
 MAX_NAME, MAX_COLUMNS, MAX_INDEXES = 255, 1024, 64
 
 
@@ -42,6 +45,11 @@ class Part:
     path: str
     columns: list[str]  # ids
     rows: int
+    digest: str | None = None  # sum of the hashes of all rows
+
+    @property
+    def name(self) -> str:
+        return self.path.split("/")[1]
 
 
 @dataclass
@@ -128,6 +136,10 @@ def _load(d):
     return d
 
 
+def _digest(ids: list[str]):
+    return F.sum(F.xxhash64(*[F.col(i) for i in ids]).cast("decimal(38,0)"))
+
+
 class Storage:
     """Parts and manifests below a folder."""
 
@@ -139,25 +151,60 @@ class Storage:
         ids = [c.id for c in t.columns] if ids is None else ids
         return StructType.fromDDL(", ".join(f"{i} {kinds[i]}" for i in ids)) if ids else StructType()
 
-    def rows(self, t: Table) -> DataFrame:
-        """All rows, columns named by their ids."""
-        if not t.parts:
-            return self.spark.createDataFrame([], self.schema(t))
+    def rows(self, t: Table, parts: list[Part] | None = None, marked: bool = False) -> DataFrame:
+        """All rows, or those of some parts, columns named by their ids; marked: and the part's name as _part."""
+        parts = t.parts if parts is None else parts
+        if not parts:
+            empty = self.spark.createDataFrame([], self.schema(t))
+            return empty.withColumn("_part", F.lit("")) if marked else empty
         groups: dict[tuple[str, ...], list[str]] = {}
-        for p in t.parts:
+        for p in parts:
             groups.setdefault(tuple(p.columns), []).append(f"{self.files.root}/{p.path}")
         out = None
         for ids, paths in groups.items():
             df = self.spark.read.schema(self.schema(t, list(ids))).parquet(*paths)
-            df = df.select(*[F.col(c.id) if c.id in ids else B.literal(c.fill, c.type).alias(c.id) for c in t.columns])
+            mark = [F.element_at(F.split("_metadata.file_path", "/"), -2).alias("_part")] if marked else []
+            df = df.select(*[F.col(c.id) if c.id in ids else B.literal(c.fill, c.type).alias(c.id) for c in t.columns], *mark)
             out = df if out is None else out.unionByName(df)
         return out
 
-    def write(self, t: Table, df: DataFrame, rows: int | None = None) -> Part:
-        path = f"data/{uuid.uuid4().hex}"
-        df.select(*[F.col(c.id).cast(B.SPARK[c.type]) for c in t.columns]).write.parquet(f"{self.files.root}/{path}")
-        ids = [c.id for c in t.columns]
-        return Part(path, ids, self.spark.read.schema(self.schema(t)).parquet(f"{self.files.root}/{path}").count() if rows is None else rows)
+    def write(self, t: Table, df: DataFrame) -> Part:
+        """A new part; its files are sorted by key, so that a key's bounds skip most row groups, and its rows are counted and hashed as they pass."""
+        path, ids = f"data/{uuid.uuid4().hex}", [c.id for c in t.columns]
+        key = [t.column(n).id for n in t.key]
+        rows = df.select(*[F.col(c.id).cast(B.SPARK[c.type]) for c in t.columns]).sortWithinPartitions(*key)
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), _digest(ids).alias("d")).write.parquet(f"{self.files.root}/{path}")
+        got = seen.get
+        return Part(path, ids, got.get("n", 0), str(got["d"]) if got.get("d") is not None else None)
+
+    def found(self, p: Part, t: Table) -> tuple[int, str | None]:
+        """Rows and digest of a part as it is now; every value is read, and pages are held against their checksums."""
+        reader = self.spark.read.schema(self.schema(t, p.columns)).option("parquet.page.verify-checksum.enabled", "true")
+        n, d = reader.parquet(f"{self.files.root}/{p.path}").agg(F.count(F.lit(1)), _digest(p.columns)).first()
+        return n, str(d) if d is not None else None
+
+    def replace(self, t: Table, old: set[str], new: Part | None) -> None:
+        """Put one part in the place of others; without rows it isn't kept."""
+        t.parts = [p for p in t.parts if p.name not in old] + ([new] if new is not None and new.rows else [])
+
+    def merge(self, t: Table, parts: list[Part]) -> None:
+        """Make one part of several, its files in ranges of the key."""
+        df, n = self.rows(t, parts), sum(p.rows for p in parts)
+        files = -(-n // ROWS_PER_FILE)
+        df = df.repartitionByRange(files, *[F.col(t.column(k).id) for k in t.key]) if files > 1 else df.coalesce(1)
+        self.replace(t, {p.name for p in parts}, self.write(t, df))
+
+    def tidy(self, t: Table) -> None:
+        """Merge parts of like size where there are FAN_IN of them, so that n writes leave some FAN_IN * log n parts."""
+        while True:
+            tiers: dict[int, list[Part]] = {}
+            for p in t.parts:
+                tiers.setdefault(int(math.log(max(p.rows, 1), FAN_IN)), []).append(p)
+            due = next((ps for _, ps in sorted(tiers.items()) if len(ps) >= FAN_IN), None)
+            if due is None:
+                return
+            self.merge(t, due)
 
     def relation(self, t: Table) -> Relation:
         return Relation(self.rows(t), [(c.name, c.type) for c in t.columns], int(t.hidden), list(t.key))

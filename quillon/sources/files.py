@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import socket
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from quillon.errors import Locked
@@ -27,6 +29,10 @@ class Files:
     def names(self, path: str) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.at(path))] if self.exists(path) else []
 
+    def age(self, path: str) -> float:
+        """Seconds since a file was written."""
+        return time.time() - self.fs.getFileStatus(self.at(path)).getModificationTime() / 1000
+
     def size(self, path: str) -> int:
         return self.fs.getContentSummary(self.at(path)).getLength()
 
@@ -53,13 +59,25 @@ class Files:
             out.close()
 
     def publish(self, path: str, text: str) -> bool:
-        """Write a file that appears whole or not at all; False if there is one."""
+        """Write a file that appears whole or not at all; False if there is one.
+
+        The name is given in one step that an existing file refuses: a hard link on local
+        disks, whose rename would write over it, and a rename on other file systems.
+        """
         temp = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
         self.create(temp, text)
-        if self.exists(path) or not self.fs.rename(self.at(temp), self.at(path)):
-            self.delete(temp)
-            return False
-        return True
+        if self.fs.getScheme() == "file":
+            try:
+                self.jvm.java.nio.file.Files.createLink(*[self.jvm.java.io.File(self.at(p).toUri().getPath()).toPath() for p in (path, temp)])
+                done = True
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+                done = False
+        else:
+            done = not self.exists(path) and self.fs.rename(self.at(temp), self.at(path))
+        self.delete(temp)
+        return done
 
     def copy(self, source: str, other: Files, target: str) -> None:
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.at(source), other.fs, other.at(target), False, self.spark.sparkContext._jsc.hadoopConfiguration())

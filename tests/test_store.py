@@ -1,12 +1,14 @@
 """Stored tables: definitions, writes, conflicts, transactions, sessions, copies, driver."""
 
 import io
+import threading
 
 import pytest
 
 from quillon import database, dbapi
 from quillon.__main__ import main
 from quillon.database import ScanOptions
+from quillon.sources.files import Files
 from quillon.errors import CheckFailed, Corrupt, DuplicateKey, Exists, Locked, NotFound, NotNull, ReadOnly, SessionError, SqlError
 
 
@@ -28,78 +30,183 @@ def cause(db, text, kind, params=()):
 
 
 def test_keys_and_defaults(db):
-    db.execute("CREATE TABLE note (body TEXT); INSERT INTO note VALUES ('b'), ('a'), (NULL)")
-    assert rows(db, "SELECT * FROM note ORDER BY rowid") == [("b",), ("a",), (None,)]
-    db.execute("CREATE TABLE i (id INTEGER PRIMARY KEY, t TEXT NOT NULL DEFAULT 'd')")
-    assert db.execute("INSERT INTO i (id) VALUES (-5)").last_insert_id == -5
-    assert db.execute("INSERT INTO i (t) VALUES ('x'), ('y')").last_insert_id == -3
-    cause(db, "INSERT INTO i VALUES (9223372036854775807, 'z'), (NULL, 'w')", Exception)
-    assert rows(db, "SELECT id, t FROM i ORDER BY id") == [(-5, "d"), (-4, "x"), (-3, "y")]
-    cause(db, "INSERT INTO i VALUES (1, NULL)", NotNull)
-    with pytest.raises(SqlError):
-        db.execute("CREATE TABLE bad (a INTEGER NOT NULL DEFAULT NULL)")
-    with pytest.raises(SqlError):
-        db.execute("CREATE TABLE bad (rowid INTEGER)")
-    with pytest.raises(SqlError):
-        db.execute("INSERT INTO i (id) VALUES ('1')")
-    db.execute("CREATE TABLE e (id INTEGER PRIMARY KEY, at TIMESTAMP NOT NULL DEFAULT CURRENT_TIMESTAMP); INSERT INTO e (id) VALUES (1), (2)")
-    assert rows(db, "SELECT count(DISTINCT at) FROM e") == [(1,)]
+    db.execute("CREATE TABLE log (line TEXT); INSERT INTO log VALUES ('second'), (NULL), ('first')")
+    assert rows(db, "SELECT rowid, * FROM log ORDER BY rowid") == [(1, "second"), (2, None), (3, "first")]
+    db.execute("CREATE TABLE pallet (no INTEGER PRIMARY KEY, mark TEXT NOT NULL DEFAULT 'none', kg REAL DEFAULT 25, seal BLOB DEFAULT X'0d', ok BOOLEAN DEFAULT FALSE)")
+    assert db.execute("INSERT INTO pallet (no) VALUES (-12)").last_insert_id == -12
+    assert db.execute("INSERT INTO pallet (mark, kg) VALUES ('p', 3), ('q', NULL)").last_insert_id == -10
+    cause(db, "INSERT INTO pallet (no) VALUES (9223372036854775807), (NULL)", Exception)
+    assert rows(db, "SELECT * FROM pallet ORDER BY no") == [(-12, "none", 25.0, b"\r", False), (-11, "p", 3.0, b"\r", False), (-10, "q", None, b"\r", False)]
+    cause(db, "INSERT INTO pallet (mark) VALUES (NULL)", NotNull)
+    for text in ("CREATE TABLE no1 (a TEXT NOT NULL DEFAULT NULL)", "CREATE TABLE no2 (rowid TEXT)", "CREATE TABLE no3 (a INTEGER DEFAULT 'x')", "INSERT INTO pallet (no) VALUES ('7')", "INSERT INTO pallet (kg) VALUES (9007199254740993)"):
+        with pytest.raises(SqlError):
+            db.execute(text)
+    db.execute("CREATE TABLE seen (no INTEGER PRIMARY KEY, at TIMESTAMP NOT NULL DEFAULT CURRENT_TIMESTAMP); INSERT INTO seen (no) VALUES (7), (8), (9)")
+    assert rows(db, "SELECT count(DISTINCT at), min(at) IS NULL FROM seen") == [(1, False)]
 
 
 def test_checks_and_uniques(db):
-    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY UNIQUE CHECK (id < 100), a TEXT UNIQUE, b INTEGER, c INTEGER, UNIQUE (b, c), UNIQUE (c, b), CHECK (b <= c))")
-    assert sorted(db.view().state.indexes) == ["t_unique_1", "t_unique_2"]
-    db.execute("INSERT INTO t VALUES (1, 'x', 1, 2), (2, NULL, NULL, 2), (3, NULL, NULL, 2)")
-    cause(db, "INSERT INTO t VALUES (4, 'w', 5, 2)", CheckFailed)
-    cause(db, "INSERT INTO t VALUES (4, 'x', 5, 6)", DuplicateKey)
-    cause(db, "INSERT INTO t VALUES (4, 'y', 1, 2)", DuplicateKey)
-    cause(db, "UPDATE t SET c = 0 WHERE id = 1", CheckFailed)
-    assert rows(db, "SELECT count(*) FROM t") == [(3,)]
-    db.execute("CREATE TABLE d (n INTEGER, CHECK (10 / n > 1))")
+    db.execute("CREATE TABLE slot (no INTEGER PRIMARY KEY UNIQUE CHECK (no > 0), door TEXT UNIQUE, opens INTEGER, shuts INTEGER, UNIQUE (opens, shuts), UNIQUE (shuts, opens), CHECK (opens < shuts))")
+    assert sorted(db.view().state.indexes) == ["slot_unique_1", "slot_unique_2"]
+    db.execute("INSERT INTO slot VALUES (5, 'north', 8, 12), (6, NULL, NULL, 12), (7, NULL, NULL, 12)")
+    cause(db, "INSERT INTO slot VALUES (0, 'south', 9, 12)", CheckFailed)
+    cause(db, "INSERT INTO slot VALUES (8, 'south', 13, 12)", CheckFailed)
+    cause(db, "INSERT INTO slot VALUES (8, 'north', 9, 12)", DuplicateKey)
+    cause(db, "INSERT INTO slot VALUES (8, 'south', 8, 12)", DuplicateKey)
+    cause(db, "INSERT INTO slot VALUES (8, 'south', 1, 2), (8, 'east', 3, 4)", DuplicateKey)
+    cause(db, "UPDATE slot SET shuts = 7 WHERE no = 5", CheckFailed)
+    cause(db, "UPDATE slot SET door = 'north' WHERE no = 6", DuplicateKey)
+    assert rows(db, "SELECT count(*), count(door) FROM slot") == [(3, 1)]
+    db.execute("CREATE TABLE ratio (part INTEGER, CHECK (60 / part > 3))")
     with pytest.raises(SqlError, match="division by zero"):
-        db.execute("INSERT INTO d VALUES (0)")
+        db.execute("INSERT INTO ratio VALUES (0)")
     with pytest.raises(SqlError, match="subquery"):
-        db.execute("CREATE TABLE s (n INTEGER CHECK (n > (SELECT 1)))")
+        db.execute("CREATE TABLE odd (n INTEGER CHECK (n IN (SELECT part FROM ratio)))")
 
 
 def test_update_and_delete(db):
-    db.execute("CREATE TABLE t (k TEXT, n INTEGER, a INTEGER, b INTEGER, PRIMARY KEY (k, n)); INSERT INTO t VALUES ('a', 1, 1, 2), ('a', 2, 3, NULL), ('b', 1, 5, 6)")
-    assert db.execute("UPDATE t SET a = b, b = a").rows_affected == 3
-    assert rows(db, "SELECT a, b FROM t ORDER BY k, n") == [(2, 1), (None, 3), (6, 5)]
-    cause(db, "UPDATE t SET n = n + 1", DuplicateKey)  # (a, 1) would meet (a, 2) before that has moved
-    db.execute("UPDATE t SET n = n - 1")
-    cause(db, "UPDATE t SET k = NULL", NotNull)
-    assert db.execute("DELETE FROM t WHERE a > 1").rows_affected == 2
-    assert rows(db, "SELECT k, n FROM t") == [("a", 1)]
+    db.execute("CREATE TABLE shelf (aisle TEXT, bay INTEGER, low INTEGER, high INTEGER, PRIMARY KEY (aisle, bay))")
+    db.execute("INSERT INTO shelf VALUES ('k', 4, 10, 20)")
+    db.execute("INSERT INTO shelf VALUES ('k', 5, 30, NULL), ('m', 4, 50, 60)")
+    assert db.execute("UPDATE shelf SET low = high, high = low").rows_affected == 3
+    assert rows(db, "SELECT low, high FROM shelf ORDER BY aisle, bay") == [(20, 10), (None, 30), (60, 50)]
+    cause(db, "UPDATE shelf SET bay = bay + 1", DuplicateKey)  # (k, 4) would meet (k, 5) before that has moved
+    assert db.execute("UPDATE shelf SET bay = bay - 1").rows_affected == 3
+    cause(db, "UPDATE shelf SET aisle = 'k', bay = 4 WHERE aisle = 'm'", DuplicateKey)  # which lies in another part
+    cause(db, "UPDATE shelf SET aisle = NULL", NotNull)
+    assert db.execute("UPDATE shelf SET low = 0 WHERE bay > 90").rows_affected == 0
+    assert db.execute("DELETE FROM shelf WHERE low > 15").rows_affected == 2
+    assert rows(db, "SELECT aisle, bay FROM shelf") == [("k", 4)]
     with pytest.raises(SqlError, match="set twice"):
-        db.execute("UPDATE t SET a = 1, a = 2")
-    assert db.execute("DELETE FROM t").rows_affected == 1
+        db.execute("UPDATE shelf SET low = 1, low = 2")
+    with pytest.raises(SqlError, match="no such column"):
+        db.execute("UPDATE shelf SET depth = 1 WHERE bay > 90")
+    assert db.execute("DELETE FROM shelf").rows_affected == 1 and rows(db, "SELECT * FROM shelf") == []
 
 
 def test_upsert(db):
-    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, a TEXT UNIQUE, n INTEGER NOT NULL DEFAULT 0); INSERT INTO t VALUES (1, 'x', 1), (2, 'y', 2)")
-    assert db.execute("INSERT INTO t VALUES (1, 'q', 5), (3, 'y', 5), (4, 'z', 5), (5, 'z', 6) ON CONFLICT DO NOTHING").rows_affected == 1
-    out = db.execute("INSERT INTO t (a, n) VALUES ('x', 5), ('w', 7), ('w', 8), ('x', 1) ON CONFLICT (a) DO UPDATE SET n = t.n + excluded.n")
+    db.execute("CREATE TABLE stock (no INTEGER PRIMARY KEY, sku TEXT UNIQUE, n INTEGER NOT NULL DEFAULT 0); INSERT INTO stock VALUES (100, 'bolt', 40), (200, 'nut', 9)")
+    assert db.execute("INSERT INTO stock VALUES (100, 'gear', 1), (300, 'nut', 1), (400, 'cog', 1), (500, 'cog', 2) ON CONFLICT DO NOTHING").rows_affected == 1
+    out = db.execute("INSERT INTO stock (sku, n) VALUES ('bolt', 2), ('pin', 6), ('pin', 3), ('bolt', 5) ON CONFLICT (sku) DO UPDATE SET n = stock.n - excluded.n")
     assert out.rows_affected == 4
-    assert rows(db, "SELECT a, n FROM t ORDER BY id") == [("x", 7), ("y", 2), ("z", 5), ("w", 15)]
-    db.execute("INSERT INTO t VALUES (1, 'new', 0) ON CONFLICT (id) DO UPDATE SET id = 50, a = excluded.a")
-    assert rows(db, "SELECT id, a FROM t WHERE id = 50 OR id = 1") == [(50, "new")]
-    cause(db, "INSERT INTO t VALUES (2, 'w', 0) ON CONFLICT (id) DO UPDATE SET a = excluded.a", DuplicateKey)
+    assert rows(db, "SELECT sku, n FROM stock ORDER BY no") == [("bolt", 33), ("nut", 9), ("cog", 1), ("pin", 3)]
+    db.execute("INSERT INTO stock VALUES (200, 'washer', 0) ON CONFLICT (no) DO UPDATE SET no = 201, sku = excluded.sku WHERE stock.n = 9")
+    assert rows(db, "SELECT no, sku FROM stock WHERE no IN (200, 201)") == [(201, "washer")]
+    cause(db, "INSERT INTO stock VALUES (100, 'cog', 0) ON CONFLICT (no) DO UPDATE SET sku = excluded.sku", DuplicateKey)
     with pytest.raises(SqlError, match="no key"):
-        db.execute("INSERT INTO t VALUES (1, 'a', 1) ON CONFLICT (n) DO NOTHING")
+        db.execute("INSERT INTO stock VALUES (1, 'x', 1) ON CONFLICT (n) DO NOTHING")
     with pytest.raises(SqlError, match="subquery"):
-        db.execute("INSERT INTO t VALUES (2, 'a', 1) ON CONFLICT (id) DO UPDATE SET n = (SELECT 1 FROM t)")
+        db.execute("INSERT INTO stock VALUES (100, 'x', 1) ON CONFLICT (no) DO UPDATE SET n = (SELECT 3)")
 
 
 def test_alter_and_drop(db):
-    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY); INSERT INTO t VALUES (1); ALTER TABLE t ADD COLUMN \"Id\" TEXT NOT NULL DEFAULT 'old'; INSERT INTO t VALUES (2, 'new')")
-    assert rows(db, 'SELECT "Id", id FROM t ORDER BY id') == [("old", 1), ("new", 2)]
-    cause(db, "ALTER TABLE t ADD c INTEGER DEFAULT 5 CHECK (c < 3)", CheckFailed)
+    db.execute("CREATE TABLE box (no INTEGER PRIMARY KEY); INSERT INTO box VALUES (3); ALTER TABLE box ADD COLUMN \"No\" TEXT NOT NULL DEFAULT 'plain'; INSERT INTO box VALUES (4, 'lined')")
+    assert rows(db, 'SELECT "No", no FROM box ORDER BY no') == [("plain", 3), ("lined", 4)]
+    db.execute("UPDATE box SET no = no + 10 WHERE no = 3")
+    assert rows(db, 'SELECT no, "No" FROM box ORDER BY no') == [(4, "lined"), (13, "plain")]
+    cause(db, "ALTER TABLE box ADD depth REAL DEFAULT 8 CHECK (depth > 9.5)", CheckFailed)
     with pytest.raises(SqlError):
-        db.execute("ALTER TABLE t ADD u INTEGER UNIQUE")
-    cause(db, 'CREATE TABLE x (a INTEGER); CREATE UNIQUE INDEX x ON t ("Id")', Exists)
-    db.execute("DROP TABLE IF EXISTS nothing; CREATE TABLE IF NOT EXISTS t (z TEXT)")
-    cause(db, "DROP INDEX nothing", NotFound)
+        db.execute("ALTER TABLE box ADD tag TEXT UNIQUE")
+    cause(db, 'CREATE TABLE lid (a INTEGER); CREATE UNIQUE INDEX lid ON box ("No")', Exists)
+    db.execute("DROP TABLE IF EXISTS crate; CREATE TABLE IF NOT EXISTS box (other TEXT)")
+    cause(db, "DROP INDEX crate", NotFound)
+
+
+def parts(db, table):
+    return [p.rows for p in db.view().state.tables[table].parts]
+
+
+def test_only_parts_with_a_hit_are_written(db):
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, a INTEGER UNIQUE)")
+    for k in range(3):
+        db.execute("INSERT INTO t VALUES " + ", ".join(f"({10 * k + i}, {10 * k + i})" for i in range(4 + 6 * k)))
+    names = lambda: [p.path for p in db.view().state.tables["t"].parts]
+    before = names()
+    db.execute("UPDATE t SET a = a + 1000 WHERE id = 12")
+    assert len(set(names()) & set(before)) == 2
+    db.execute("DELETE FROM t WHERE id < 2")
+    db.execute("INSERT INTO t VALUES (21, 5000) ON CONFLICT (id) DO UPDATE SET a = excluded.a")
+    assert rows(db, "SELECT count(*), sum(a) FROM t") == [(28, sum([2, 3, *range(10, 20), *range(20, 36)]) + 1000 + 5000 - 21)]
+    unchanged = names()
+    assert db.execute("DELETE FROM t WHERE a < 0").rows_affected == 0 and names() == unchanged
+    assert db.execute("DELETE FROM t WHERE id >= 10 AND id < 20").rows_affected == 10  # a part that has no row left
+    assert len(names()) < len(unchanged) and 0 not in parts(db, "t")
+
+
+def test_small_parts_are_merged(db):
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, a TEXT); ALTER TABLE t ADD b INTEGER DEFAULT 5")
+    for k in range(20):
+        db.execute("INSERT INTO t (id, a) VALUES (?, ?)", (50 - k, f"r{k}"))
+    assert len(parts(db, "t")) < 8 and sum(parts(db, "t")) == 20
+    with db.update() as tx:
+        tx.compact("t")
+    assert parts(db, "t") == [20] and rows(db, "SELECT min(id), max(id), sum(b) FROM t") == [(31, 50, 100)]
+
+
+def test_views_and_results_outlive_a_checkpoint(db):
+    db.execute("CREATE TABLE t (a INTEGER); INSERT INTO t VALUES (1), (2)")
+    view, result = db.view(), db.query("SELECT a FROM t WHERE a > 1")
+    db.execute("DELETE FROM t; INSERT INTO t VALUES (3)")
+    db.checkpoint()
+    assert view.query("SELECT sum(a) FROM t").rows() == [(3,)] and result.rows() == [(2,)]
+    assert rows(db, "SELECT a FROM t") == [(3,)]
+    del view, result
+    assert db.checkpoint() >= 1 and rows(db, "SELECT a FROM t") == [(3,)]
+    db.execute("INSERT INTO t VALUES (4)")
+    assert db.checkpoint(keep_seconds=3600) == 0
+
+
+def test_a_writer_waits_for_another_thread(db):
+    db.execute("CREATE TABLE t (a INTEGER)")
+    first, seen = db.begin(), []
+
+    def second():
+        with db.update() as tx:
+            tx.execute("INSERT INTO t VALUES (2)")
+            seen.append(tx.query("SELECT count(*) FROM t").rows())
+
+    other = threading.Thread(target=second)
+    other.start()
+    first.execute("INSERT INTO t VALUES (1)")
+    with pytest.raises(SessionError):
+        db.begin()  # this thread would wait for itself
+    assert not seen
+    first.commit()
+    other.join(60)
+    assert seen == [[(2,)]] and rows(db, "SELECT a FROM t ORDER BY a") == [(1,), (2,)]
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    files.mkdirs("m")
+    assert files.publish("m/v1", "one") and not files.publish("m/v1", "two")
+    assert files.read("m/v1") == "one" and files.names("m") == ["v1"]
+
+
+def test_check_finds_other_values(spark, tmp_path):
+    """A part that reads well and has the right number of rows, but not the rows that were written."""
+    path = str(tmp_path / "d")
+    with database.open(path, spark) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, a TEXT, x REAL); INSERT INTO t VALUES (1, 'x', 0.5), (2, NULL, NULL)")
+        part = db.view().state.tables["t"].parts[0]
+        schema = db.storage.schema(db.view().state.tables["t"])
+    assert database.check(path, spark).rows == 2
+    spark.createDataFrame([(1, "x", 0.5), (2, None, 0.25)], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{part.path}")
+    with pytest.raises(Corrupt, match="other values"):
+        database.check(path, spark)
+
+
+def test_check_finds_flipped_bytes(spark, tmp_path):
+    path = str(tmp_path / "d")
+    with database.open(path, spark) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, a TEXT); INSERT INTO t VALUES " + ", ".join(f"({k}, 'text {k}')" for k in range(50)))
+    (file,) = (tmp_path / "d" / "data").rglob("*.parquet")
+    (file.parent / f".{file.name}.crc").unlink()
+    good = file.read_bytes()
+    for at in range(4, 300, 37):  # the pages come first
+        file.write_bytes(good[:at] + bytes([good[at] ^ 0x10]) + good[at + 1 :])
+        with pytest.raises(Corrupt):
+            database.check(path, spark)
 
 
 def test_transactions(db):
@@ -194,12 +301,12 @@ def test_copies_and_check(spark, tmp_path):
 
 def test_command_line(spark, tmp_path):
     path, out, err = str(tmp_path / "d"), io.StringIO(), io.StringIO()
-    script = "CREATE TABLE i (id INTEGER PRIMARY KEY, t TEXT, s REAL, o BOOLEAN); INSERT INTO i VALUES (1, 'NULL', 1e20, TRUE), (2, NULL, 2.5, FALSE), (3, 'a\tb', NULL, NULL); SELECT * FROM i ORDER BY id"
+    script = "CREATE TABLE parcel (no INTEGER PRIMARY KEY, label TEXT, kg REAL, paid BOOLEAN, seal BLOB); INSERT INTO parcel VALUES (9, 'to: NULL', 0.5, FALSE, X'beef'), (12, 'NULL', 2e18, NULL, NULL), (15, NULL, NULL, TRUE, X''), (18, 'two\nlines', 3.0, TRUE, NULL); SELECT * FROM parcel ORDER BY no"
     assert main(["sql", path, script], out, err, spark) == 0
-    assert out.getvalue().splitlines() == ["id\tt\ts\to", "1\t'NULL'\t1.0e+20\tTRUE", "2\tNULL\t2.5\tFALSE", "3\t'a\\tb'\tNULL\tNULL"]
-    assert main(["sql", path, "SELECT nope"], out, err, spark) == 1 and "line 1, column 8" in err.getvalue()
+    assert out.getvalue().splitlines() == ["no\tlabel\tkg\tpaid\tseal", "9\tto: NULL\t0.5\tFALSE\tX'beef'", "12\t'NULL'\t2.0e+18\tNULL\tNULL", "15\tNULL\tNULL\tTRUE\tX''", "18\t'two\\nlines'\t3.0\tTRUE\tNULL"]
+    assert main(["sql", path, "SELECT no,\nprice FROM parcel"], out, err, spark) == 1 and "line 2, column 1" in err.getvalue()
     assert main(["check", path], out, err, spark) == 0
-    assert main(["what"], out, err, spark) == 2
+    assert main(["nonsense"], out, err, spark) == 2
 
 
 def test_driver(spark, tmp_path):
