@@ -28,8 +28,8 @@ from quillon.functions import bridge as B
 from quillon.plans import ast, printer
 from quillon.plans.parser import deep
 
-#: Chains of arithmetic with more terms than this are folds over arrays, which keeps trees flat.
-CHAIN = 16
+#: Chains of arithmetic with more terms than CHAIN are checked at their end, with DEEP and more they are folds over arrays, which keeps trees flat.
+CHAIN, DEEP = 16, 128
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
 _NONE = object()
 
@@ -813,8 +813,12 @@ class Compiler:
             kind = "REAL" if "REAL" in (left.type, right.type) else "INTEGER" if left.type and right.type else None
             same = list(itertools.takewhile(lambda r: r[1].type and r[0].op != "%" if kind == "REAL" else r[1].type == kind, rights))
             risky = left.can_fail or any(t.can_fail for _, t in same)
-            if kind and left.type and len(same) > CHAIN:
+            divides = any(c.op in "/%" for c, _ in same)
+            if kind and left.type and len(same) > (CHAIN if divides or kind == "REAL" else DEEP):
                 of = (lambda t: t.col.cast("double")) if kind == "REAL" else _wide
+                if len(same) <= DEEP and not divides:
+                    left, rights = self.real_chain(left, same), rights[len(same) :]
+                    continue
                 terms = [(c.op, of(t), c.pos) for c, t in same]
                 left = Typed(B.fold(of(left), terms, kind), kind, can_fail=risky or kind == "REAL" or level == 2, size=left.size + sum(t.size for _, t in same) + 8 * len(same))
                 rights = rights[len(same) :]
@@ -830,6 +834,16 @@ class Compiler:
                 left = self.real(b.op, left, right, b.pos)
         return left
 
+    def real_chain(self, first: Typed, rest: list[tuple[ast.Binary, Typed]]) -> Typed:
+        """A chain of + - *, checked at its end; where that fails, step by step."""
+        terms = [first, *(t for _, t in rest)]
+        xs, sizes = [t.col.cast("double") for t in terms], [t.size for t in terms]
+        stepwise = B.fold(xs[0], [(c.op, x, c.pos) for (c, _), x in zip(rest, xs[1:])], "REAL")
+        if max(sizes) > B.LIGHT:
+            return Typed(stepwise, "REAL", can_fail=True, size=sum(sizes) + 8 * len(xs))
+        raw = reduce(lambda a, step: B.unchecked(step[0], a, step[1]), zip([c.op for c, _ in rest], xs[1:]), xs[0])
+        return Typed(F.when(~B.finite(raw), stepwise).otherwise(raw), "REAL", can_fail=True, size=3 * sum(sizes) + 8 * len(xs))
+
     def real(self, op: str, a: Typed, b: Typed, pos) -> Typed:
         """One step of REAL arithmetic; + - * go on as a tree that is checked at its top."""
         x, y = _real(a), _real(b)

@@ -34,6 +34,16 @@ def run(spark: SparkSession, sf_dir: str, text: str, params=()) -> DataFrame:
     return query(spark, text, tables(spark, sf_dir), params).df
 
 
+def _nested(start: str, around: str, depth: int) -> str:
+    for _ in range(depth):
+        start = around.format(start)
+    return start
+
+
+#: Long arithmetic and long lists of arguments.
+_CHAIN = "l_quantity" + "".join(f" {'-' if k % 3 else '+'} {c}" for k, c in enumerate(["l_tax", "l_discount", "l_quantity", "l_extendedprice"] * 15))
+_TERMS = ", ".join(f"l_quantity * {k}.0 - l_extendedprice" for k in range(1, 13))
+
 SUITE: dict[str, tuple[str, str | None]] = {
     # projection, filters, predicates
     "scan_star": ("SELECT * FROM nation", None),
@@ -53,6 +63,10 @@ SUITE: dict[str, tuple[str, str | None]] = {
     "arith_real": ("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS v FROM lineitem", None),
     "int_division": ("SELECT o_orderkey, o_orderkey / 7 AS d, (0 - o_orderkey) / 4 AS m FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d, CAST(trunc((0 - o_orderkey) / 4.0) AS BIGINT) AS m FROM orders"),
     "modulo": ("SELECT o_orderkey, o_orderkey % 7 AS m, (0 - o_orderkey) % 5 AS n FROM orders", None),
+    "arith_chain": (f"SELECT l_orderkey, l_linenumber, {_CHAIN} AS v FROM lineitem", None),
+    "arith_nested": (f"SELECT l_orderkey, l_linenumber, {_nested('l_quantity', '({} / 2.0 + l_tax) * 1.5', 12)} AS v FROM lineitem", None),
+    "minmax_many": (f"SELECT l_orderkey, l_linenumber, min({_TERMS}) AS a, max({_TERMS}) AS b FROM lineitem", f"SELECT l_orderkey, l_linenumber, least({_TERMS}) AS a, greatest({_TERMS}) AS b FROM lineitem"),
+    "substr_nested": (f"SELECT c_custkey, {_nested('c_name', 'substr({}, 1 + c_custkey % 2, length(c_name) - 1)', 6)} AS v FROM customer", f"SELECT c_custkey, {_nested('c_name', 'substr({}, 1 + c_custkey % 2, length(c_name) - 1)', 6)} AS v FROM customer"),
     "concat": ("SELECT c_custkey, c_name || '/' || c_mktsegment AS v FROM customer", None),
     # functions
     "fn_abs": ("SELECT c_custkey, abs(c_acctbal) AS a, abs(c_custkey - 100) AS b FROM customer", None),
@@ -65,7 +79,11 @@ SUITE: dict[str, tuple[str, str | None]] = {
     "fn_coalesce": ("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), nullif(o_orderpriority, '5-LOW'), 'none') AS v, ifnull(nullif(o_orderstatus, 'O'), 'open') AS w FROM orders", None),
     "fn_nullif": ("SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS v FROM lineitem", None),
     "fn_min_max": ("SELECT l_orderkey, l_linenumber, min(l_tax, l_discount) AS a, max(l_orderkey, l_partkey, l_suppkey) AS b, max('a', nullif(l_returnflag, 'A')) AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, least(l_tax, l_discount) AS a, greatest(l_orderkey, l_partkey, l_suppkey) AS b, CASE WHEN l_returnflag <> 'A' THEN greatest('a', l_returnflag) END AS c FROM lineitem"),
-    "fn_round": ("SELECT l_orderkey, l_linenumber, round(l_extendedprice) AS a, round(l_quantity, 3) AS b FROM lineitem WHERE l_extendedprice * 100 % 100 IS NULL OR TRUE".replace(" WHERE l_extendedprice * 100 % 100 IS NULL OR TRUE", ""), None),
+    "fn_round": ("SELECT l_orderkey, l_linenumber, round(l_extendedprice) AS a, round(l_quantity, 3) AS b FROM lineitem", None),
+    "fn_round_many": (
+        "SELECT l_orderkey, l_linenumber, round(l_discount / 1e20, 25) AS a, round(l_discount / 1e20, 22) AS b, round(l_discount / 1e25, 24) AS c, round(l_quantity, 300) AS d FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 100) AS BIGINT) || 'e-22' AS DOUBLE) AS a, CAST(CAST(round(l_discount * 100) AS BIGINT) || 'e-22' AS DOUBLE) AS b, 0.0::DOUBLE AS c, l_quantity AS d FROM lineitem",
+    ),
     "fn_cast_number": ("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS a, CAST(l_orderkey AS REAL) AS b, CAST(CAST(l_partkey AS TEXT) AS INTEGER) AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS a, CAST(l_orderkey AS DOUBLE) AS b, l_partkey AS c FROM lineitem"),
     "fn_cast_text": ("SELECT o_orderkey, CAST(o_orderkey AS TEXT) AS a, CAST(o_orderkey > 50 AS TEXT) AS b, CAST(CAST(o_orderkey > 50 AS INTEGER) AS BOOLEAN) AS c FROM orders", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey > 50 THEN 'true' ELSE 'false' END AS b, o_orderkey > 50 AS c FROM orders"),
     "fn_cast_timestamp": ("SELECT o_orderkey, CAST(o_orderdate AS TEXT) AS a, CAST(CAST(o_orderdate AS TEXT) AS TIMESTAMP) AS b FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS a, o_orderdate AS b FROM orders"),
@@ -93,13 +111,18 @@ SUITE: dict[str, tuple[str, str | None]] = {
     "agg_minmax_text": ("SELECT c_mktsegment, min(c_name) AS a, max(c_name) AS b FROM customer GROUP BY c_mktsegment", None),
     "agg_avg": ("SELECT l_returnflag, round(avg(l_quantity), 4) AS q, round(avg(l_orderkey), 4) AS k FROM lineitem GROUP BY l_returnflag", None),
     "agg_constant_key": ("SELECT 1 AS one, count(*) AS n FROM nation GROUP BY 1, n_regionkey", "SELECT CAST(1 AS BIGINT) AS one, count(*) AS n FROM nation GROUP BY n_regionkey"),
-    "agg_exact_sum": ("SELECT o_orderstatus, round(sum(o_totalprice), 1) AS s FROM orders GROUP BY o_orderstatus", None),
+    "agg_exact_sum": ("SELECT o_orderstatus, round(sum(o_totalprice), 4) AS s, sum(DISTINCT o_totalprice) = sum(o_totalprice) AS same FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(fsum(o_totalprice), 4) AS s, fsum(DISTINCT o_totalprice) = fsum(o_totalprice) AS same FROM orders GROUP BY o_orderstatus"),
+    "agg_exact_sum_large": (
+        "SELECT sum(CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 1e16 WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN -1e16 ELSE 1.0 END) AS s, sum(CASE o_orderkey % 2 WHEN 0 THEN 0.0 ELSE 1e-3 END) AS t FROM orders",
+        "SELECT CAST(count(*) - 2 AS DOUBLE) AS s, sum(CASE o_orderkey % 2 WHEN 0 THEN 0 ELSE 1 END) / 1000 AS t FROM orders",
+    ),
     # order, limits, distinct
-    "order_nulls": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s, o_orderkey LIMIT 40", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s NULLS FIRST, o_orderkey LIMIT 40"),
-    "order_nulls_desc": ("SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY nullif(o_orderstatus, 'P') DESC, o_orderkey DESC LIMIT 40", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s DESC NULLS LAST, o_orderkey DESC LIMIT 40"),
-    "order_ordinal": ("SELECT c_mktsegment, c_custkey FROM customer ORDER BY 1 DESC, 2 LIMIT 20", None),
-    "order_alias": ("SELECT o_orderkey AS k, 0 - o_orderkey AS o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10", "SELECT o_orderkey AS k, 0 - o_orderkey AS o_orderkey FROM orders ORDER BY 2 LIMIT 10"),
-    "order_hidden": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15", None),
+    "order_nulls": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s, o_orderkey", None),
+    "order_nulls_desc": ("SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY nullif(o_orderstatus, 'P') DESC, o_orderkey DESC", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders"),
+    "order_nulls_topk": ("SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s, o_orderkey DESC LIMIT 40", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s NULLS FIRST, o_orderkey DESC LIMIT 40"),
+    "order_ordinal": ("SELECT c_mktsegment, c_custkey FROM customer ORDER BY 1 DESC, 2", None),
+    "order_alias": ("SELECT o_orderkey AS k, 0 - o_orderkey AS o_orderkey FROM orders ORDER BY o_orderkey", "SELECT o_orderkey AS k, 0 - o_orderkey AS o_orderkey FROM orders ORDER BY 2"),
+    "order_hidden": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey", None),
     "distinct": ("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", None),
     "distinct_order_hidden": ("SELECT DISTINCT c_mktsegment FROM customer ORDER BY length(c_mktsegment), c_mktsegment LIMIT 3", "SELECT c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer) ORDER BY length(c_mktsegment), c_mktsegment LIMIT 3"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10 OFFSET 5", None),
@@ -112,8 +135,9 @@ SUITE: dict[str, tuple[str, str | None]] = {
     "sub_exists": ("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49.0)", None),
     "sub_not_exists": ("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)", None),
     "sub_in": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)", None),
-    "sub_not_in_null": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_custkey < 50)", None),
-    "sub_in_value_3vl": ("SELECT n_nationkey, nullif(n_nationkey, 3) IN (SELECT nullif(s_nationkey, 5) FROM supplier WHERE s_suppkey < 40) AS v FROM nation", None),
+    "sub_not_in_null": ("SELECT c_custkey FROM customer WHERE (c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)) IS NULL", None),
+    "sub_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000.0)", None),
+    "sub_in_value_3vl": ("SELECT n_nationkey, nullif(n_nationkey, 3) IN (SELECT nullif(s_nationkey, 5) FROM supplier WHERE s_acctbal < 3000.0) AS v FROM nation", None),
     "sub_not_in_empty": ("SELECT n_nationkey, n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 0) AS v FROM nation", None),
     "sub_two_level": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = c_nationkey + 1))", None),
     "sub_in_having": ("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT count(*) FROM nation) * 2", None),
@@ -122,6 +146,15 @@ SUITE: dict[str, tuple[str, str | None]] = {
     "sub_mixed_agg": ("SELECT n_nationkey, (SELECT sum(n_nationkey + r_regionkey) FROM region) AS v FROM nation", "SELECT n_nationkey, CAST(5 * n_nationkey + 10 AS BIGINT) AS v FROM nation"),
     "sub_corr_limit": ("SELECT n_nationkey, (SELECT s_suppkey FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_acctbal DESC, s_suppkey LIMIT 1) AS v FROM nation", None),
     "sub_in_on": ("SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > (SELECT avg(s_acctbal) FROM supplier)", "WITH a AS (SELECT avg(s_acctbal) AS m FROM supplier) SELECT n_name, s_suppkey FROM nation LEFT JOIN (SELECT supplier.* FROM supplier, a WHERE s_acctbal > m) ON s_nationkey = n_nationkey"),
+    "sub_corr_fallible": (
+        "SELECT c_custkey, (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE 1000 / l_linenumber > 200 AND o_custkey = c_custkey) AS n FROM customer",
+        "SELECT c_custkey, (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE 1000 // l_linenumber > 200 AND o_custkey = c_custkey) AS n FROM customer",
+    ),
+    "join_on_exists": (
+        "SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > s_acctbal + 9000.0)",
+        "SELECT n_name, s_suppkey FROM nation LEFT JOIN (SELECT * FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal + 9000.0)) ON s_nationkey = n_nationkey",
+    ),
+    "sub_in_grouped_corr": ("SELECT o_orderkey FROM orders o WHERE o_totalprice IN (SELECT max(o_totalprice) FROM orders p WHERE p.o_custkey = o.o_custkey)", None),
     "sub_empty_agg": ("SELECT n_nationkey, (SELECT count(*) + 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9500.0) AS v FROM nation", None),
     "sub_lazy_rows": ("SELECT n_nationkey, CASE WHEN n_nationkey < 0 THEN (SELECT s_suppkey FROM supplier) ELSE 1 END AS v FROM nation", "SELECT n_nationkey, CAST(1 AS BIGINT) AS v FROM nation"),
     # combinations
