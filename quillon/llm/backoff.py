@@ -1,31 +1,38 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Method: every text is exploded into pairs (previous word, word).  Pairs are
-partitioned by a hash and joined there with the counts of pairs and of first words,
-which the same partition has; the result is summed per document.  A pair is scored by
-its count outside the document over that of its first word if it occurs outside at
-all, else by ``alpha`` times the share of its second word.  A document's own
-occurrences of a pair are left out of all counts, so that it does not vouch for itself.
-
-    seen elsewhere:  (c(v w) - own) / max(c(v) - own, c(v w) - own)
-    else:            alpha * max(c(w) - own, 1/2) / max(N - own, 1)
-
-The first word of a text has no pair and is scored by its share alone.
+Method: every text is exploded into its words with the two before each (u, v, w).  These
+rows are partitioned by a hash of the middle word v: that partition has every occurrence
+of v, so it counts the n-grams (u v w), (u v), (v w) and v itself and joins its rows with
+these counts; results are summed per document.  A word is scored by the highest order
+that occurs outside the document, and by ``alpha`` less for each order given up.  A
+document's own occurrences are left out of all counts, so that it does not vouch for
+itself.
+
+    seen elsewhere:  (c(u v w) - own) / max(c(u v) - own, c(u v w) - own)
+    else:            alpha   * (c(v w) - own) / max(c(v) - own, c(v w) - own)
+    else:            alpha^2 * max(c(w) - own, 1/2) / max(N - own, 1)
+
+c(u v) and c(v) count what a word follows; own counts the n-gram of the numerator, in the
+last line (v w).  The second word of a text begins at the second line, without alpha; the
+first one at the third, with alpha once.
 
 Scale: all counts are taken over the whole corpus and grow with it.  One pass counts
 words by ``screen`` hash classes, one counts exactly the words in the classes that hold
 1/``hot`` of all words or more; words with such a share (at most ``hot``) are known to all
-tasks, and their pairs are partitioned by both words, others by the first alone.  So no
-partition holds more than its part and 1/``hot`` of all pairs.  Pairs travel packed: for a
-slice of documents and a partition the first words in runs, the second words, and the
-place of the document, some 7 bytes a pair, and are shuffled once.  A slice has at most
-65,536 texts.  Where there are more partitions than a slice has pairs (beyond some TB) a
-row holds few pairs and costs what a plain row does.  All other words are
-counted in a table partitioned by their hash, one row a word; the second words of pairs
-that back off go there, and are joined with their counts.  A partition of that join holds
-its part and less than 1/``hot`` of all words.  Sums come back packed likewise.  What is
-sent to all tasks is bounded by ``screen`` and ``hot``.  Words are counted by their 48-bit
-ids modulo ``classes``: by default by the ids themselves.
+tasks, and rows with one in the middle are partitioned by (v, w), others by v alone.  So
+no partition holds more than its part and 1/``hot`` of all rows.  For a hot v the counts
+c(u v) lie in other partitions; those go as rows of a pair table, partitioned by the
+pair's hash and combined before the shuffle, and are asked for there where (u v w) was
+seen elsewhere.  Counts of all words that aren't hot are a table partitioned by the
+word's hash, combined before the shuffle by task; the words of rows that back off to the
+last line ask there.  Rows travel packed: for a slice of documents and a partition the
+middle words in runs, the others as 16-bit numbers in a list of frequent words (the rest
+as 48-bit ids), and the place of the document, some 8 bytes a word, and are shuffled
+once.  The list is drawn from a sample of each task and only makes rows shorter.  A slice
+has at most 32,768 texts.  Where there are more partitions than a slice has words (beyond
+some TB) a packed row holds few words and costs what a plain row does.  What is sent to
+all tasks is bounded by ``screen``, ``hot`` and 65,535 words.  Words are counted by their
+48-bit ids modulo ``classes``: by default by the ids themselves.
 
 Cases: words are compared in lower case and by 48-bit hashes; a null text or one
 without words has 0 words and a null score; texts of any length are read whole;
@@ -45,11 +52,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_slices
+from quillon.llm.common import checkpoint, text_slices
 from quillon.llm.shingles import mix, word_hashes
 
 _ID = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Slices of a task that its frequent words are drawn from, and rare words that a task counts before it sends them on.
+SAMPLE, HELD = 4, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,19 +67,20 @@ class Settings:
     classes: int = 1 << 48
     screen: int = 1 << 16
     hot: int = 4096
-    pairs_per_partition: int = 2_000_000
+    words_per_partition: int = 2_000_000
     slice_bytes: int = 8 << 20
 
 
 @dataclass(frozen=True)
 class Shares:
-    """What every task knows: words in all, counts of the hot words (sorted) as first words of pairs, counts of the hot keys (sorted)."""
+    """What every task knows: words in all, counts of the hot words (sorted) as first words of pairs, counts of the hot keys (sorted), frequent words (sorted) that rows are shortened by."""
 
     total: int
     hot_words: np.ndarray
     hot_counts: np.ndarray
     hot_keys: np.ndarray
     hot_key_counts: np.ndarray
+    frequent: np.ndarray
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,57 +99,84 @@ def unpack6(b: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def pack_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray) -> bytes:
-    """Runs of equal v (a run of more than 255 is several), then w and doc in that order."""
+def pack_words(x: np.ndarray, frequent: np.ndarray) -> bytes:
+    """Numbers in the list of frequent words, and the ids of the others one after another."""
+    known, at = find(x, frequent)
+    return np.where(known, at, 0xFFFF).astype("<u2").tobytes() + pack6(x[~known])
+
+
+def unpack_words(data: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n words, what comes behind them)."""
+    code = np.frombuffer(data[: 2 * n].tobytes(), "<u2")
+    other = code == 0xFFFF
+    out = frequent[np.where(other, 0, code)]
+    end = 2 * n + 6 * int(other.sum())
+    out[other] = unpack6(data[2 * n : end])
+    return out, data[end:]
+
+
+def pack_rows(u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> bytes:
+    """Runs of equal v (a run of more than 255 is several), then u, w and doc in that order."""
     order = np.argsort(v, kind="stable")
-    v, w, doc = v[order], w[order], doc[order]
+    u, v, w, doc = u[order], v[order], w[order], doc[order]
     place = np.arange(len(v)) - np.repeat(starts := np.flatnonzero(np.diff(v, prepend=v[:1] ^ np.uint64(1))), np.diff(np.append(starts, len(v))))
     begins = np.flatnonzero(place % 255 == 0)
     runs = np.diff(np.append(begins, len(v))).astype(np.uint8)
-    return np.array([len(v), len(begins)], "<u4").tobytes() + pack6(v[begins]) + runs.tobytes() + pack6(w) + doc.astype("<u2").tobytes()
+    return np.array([len(v), len(begins)], "<u4").tobytes() + pack_words(v[begins], frequent) + runs.tobytes() + pack_words(u, frequent) + pack_words(w, frequent) + doc.astype("<u2").tobytes()
 
 
-def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_rows(data: bytes, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, r = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    raw = np.frombuffer(data, np.uint8, offset=8)
-    v = np.repeat(unpack6(raw[: 6 * r]), raw[6 * r : 7 * r])
-    rest = raw[7 * r :]
-    return v, unpack6(rest[: 6 * n]), np.frombuffer(rest[6 * n :].tobytes(), "<u2").astype(np.int64)
+    first, rest = unpack_words(np.frombuffer(data, np.uint8, offset=8), r, frequent)
+    v = np.repeat(first, rest[:r])
+    u, rest = unpack_words(rest[r:], n, frequent)
+    w, rest = unpack_words(rest, n, frequent)
+    return u, v, w, np.frombuffer(rest.tobytes(), "<u2").astype(np.int64)
 
 
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return np.array([len(keys)], "<u4").tobytes() + pack6(keys) + counts.astype("<i8").tobytes()
+    """Keys, counts in a byte each, and those of 255 and more behind."""
+    return np.array([len(keys)], "<u4").tobytes() + pack6(keys) + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    return unpack6(np.frombuffer(data, np.uint8, 6 * n, 4)), np.frombuffer(data[4 + 6 * n :], "<i8", n)
+    counts = np.frombuffer(data, np.uint8, n, 4 + 6 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[4 + 7 * n :], "<i8")
+    return unpack6(np.frombuffer(data, np.uint8, 6 * n, 4)), counts
 
 
-def add_counts(blobs) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, sums of their counts) over packed tables."""
-    found = [unpack_counts(b) for b in blobs]
+def total_counts(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, sums of their counts) over tables."""
     keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(f[0] for f in found)]), return_inverse=True)
     counts = np.zeros(len(keys), np.int64)
     np.add.at(counts, at, np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)]))
     return keys, counts
 
 
-def pack_asked(key: np.ndarray, slices: np.ndarray, doc: np.ndarray, own: np.ndarray) -> bytes:
-    """Runs of equal slices (sorted), then keys and docs, then the few occurrences other than 1."""
+def pack_asked(key: np.ndarray, slices: np.ndarray, doc: np.ndarray, *numbers: np.ndarray) -> bytes:
+    """Runs of equal slices (sorted), then keys and docs, then of each number, mostly 1, the few others."""
     begins = np.flatnonzero(np.diff(slices, prepend=slices[:1] ^ 1))
-    many = np.flatnonzero(own != 1)
-    head = np.array([len(key), len(begins), len(many)], "<u4").tobytes()
-    return head + slices[begins].astype("<i8").tobytes() + np.diff(np.append(begins, len(key))).astype("<u4").tobytes() + pack6(key) + doc.astype("<u2").tobytes() + many.astype("<u4").tobytes() + own[many].astype("<u4").tobytes()
+    out = np.array([len(key), len(begins)], "<u4").tobytes() + slices[begins].astype("<i8").tobytes() + np.diff(np.append(begins, len(key))).astype("<u4").tobytes() + pack6(key) + doc.astype("<u2").tobytes()
+    for x in numbers:
+        many = np.flatnonzero(x != 1)
+        out += np.array([len(many)], "<u4").tobytes() + many.astype("<u4").tobytes() + x[many].astype("<u4").tobytes()
+    return out
 
 
-def unpack_asked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, r, m = (int(x) for x in np.frombuffer(data, "<u4", 3))
-    slices = np.repeat(np.frombuffer(data, "<i8", r, 12), np.frombuffer(data, "<u4", r, 12 + 8 * r))
-    at = 12 + 12 * r
-    own = np.ones(n, np.int64)
-    own[np.frombuffer(data, "<u4", m, at + 8 * n)] = np.frombuffer(data, "<u4", m, at + 8 * n + 4 * m)
-    return unpack6(np.frombuffer(data, np.uint8, 6 * n, at)), slices, np.frombuffer(data, "<u2", n, at + 6 * n).astype(np.int64), own
+def unpack_asked(data: bytes, numbers: int) -> tuple[np.ndarray, ...]:
+    n, r = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    slices = np.repeat(np.frombuffer(data, "<i8", r, 8), np.frombuffer(data, "<u4", r, 8 + 8 * r))
+    at = 8 + 12 * r
+    out = [unpack6(np.frombuffer(data, np.uint8, 6 * n, at)), slices, np.frombuffer(data, "<u2", n, at + 6 * n).astype(np.int64)]
+    at += 8 * n
+    for _ in range(numbers):
+        m = int(np.frombuffer(data, "<u4", 1, at)[0])
+        x = np.ones(n, np.int64)
+        x[np.frombuffer(data, "<u4", m, at + 4)] = np.frombuffer(data, "<u4", m, at + 4 + 4 * m)
+        out.append(x)
+        at += 4 + 8 * m
+    return tuple(out)
 
 
 def pack_sums(slices: np.ndarray, docs: np.ndarray, sums: np.ndarray) -> list[bytes]:
@@ -161,17 +198,24 @@ def shares(texts: DataFrame, settings: Settings) -> Shares:
         return (w % classes % np.uint64(screen)).astype(np.int64)
 
     def by_class(batches):
-        held = np.zeros(screen, np.int64)
+        held, drawn = np.zeros(screen, np.int64), []
         for batch in batches:
             for t in text_slices(batch.column(0)):
-                held += np.bincount(class_of(word_ids(t)[1]), minlength=screen)
+                w = word_ids(t)[1]
+                held += np.bincount(class_of(w), minlength=screen)
+                if len(drawn) < SAMPLE:
+                    drawn.append(w)
         at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["k", "c"])
-
-    sums = texts.mapInArrow(by_class, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most ``screen`` rows
+        words, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *drawn]), return_counts=True)
+        most = np.argsort(-counts, kind="stable")[: 0xFFFF]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at) + len(most)) >= len(at)), pa.array(np.concatenate([at, words[most].astype(np.int64)])), pa.array(np.concatenate([held[at], counts[most]]))], names=["word", "k", "c"])
+
+    sums = checkpoint(texts.mapInArrow(by_class, "word boolean, k long, c long").groupBy("word", "k").agg(F.sum("c").alias("c")))
+    classes_held = sums.filter("NOT word").select("k", "c").toArrow()  # at most ``screen`` rows
+    frequent = sums.filter("word").orderBy(F.desc("c"), "k").limit(0xFFFE).select("k").toArrow()["k"].to_numpy().astype(np.uint64)
+    frequent = np.union1d(frequent, np.zeros(1, np.uint64))  # 0 stands before a text
     table = np.zeros(screen, np.int64)
-    for k, c in sums:
-        table[k] = c
+    table[classes_held["k"].to_numpy()] = classes_held["c"].to_numpy()
     total = int(table.sum())
     least = max(1, total // settings.hot)
     full = spark.sparkContext.broadcast(table >= least)
@@ -192,7 +236,7 @@ def shares(texts: DataFrame, settings: Settings) -> Shares:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(k)) >= len(u)), pa.array(k), pa.array(np.concatenate([first, every]))], names=["key", "k", "c"])
 
     hot = texts.mapInArrow(of_full, "key boolean, k long, c long").groupBy("key", "k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).orderBy("k").collect()  # at most 2 * ``hot`` rows, as all counts add up to the total
-    return Shares(total, *(np.array([r[x] for r in hot if r["key"] == key], kind) for key in (False, True) for x, kind in (("k", np.uint64), ("c", np.int64))))
+    return Shares(total, *(np.array([r[x] for r in hot if r["key"] == key], kind) for key in (False, True) for x, kind in (("k", np.uint64), ("c", np.int64))), frequent)
 
 
 def find(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,29 +247,72 @@ def find(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return among[at] == x, at
 
 
-def score_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray, s: Shares, settings: Settings) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, sums of log scores) of the pairs of one partition, without the counts of (keys, documents, occurrences) still to be asked for."""
+def pair_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """48-bit ids of pairs."""
+    with np.errstate(over="ignore"):
+        return mix(mix(v + np.uint64(11)) + w * _STEP) & _ID
+
+
+@dataclass
+class Scored:
+    """Of one partition: documents (sorted) and their sums so far; what is to be asked for; counts of pairs that others ask for."""
+
+    docs: np.ndarray
+    sums: np.ndarray
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]  # key, document, occurrences
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # id, document, occurrences, occurrences elsewhere
+    counts: tuple[np.ndarray, np.ndarray]  # ids of pairs, and how often they go on
+
+
+def score_rows(u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, last: np.ndarray, s: Shares, settings: Settings) -> Scored:
+    """Scores of the rows of one partition; last: whether a row's word ends its text."""
     docs, doc = np.unique(doc, return_inverse=True)
+    log_alpha = np.log(settings.alpha)
     with np.errstate(over="ignore"):
-        pair_names, pair = np.unique(mix(mix(v) + w * _STEP), return_inverse=True)
-    pair_total = np.bincount(pair, minlength=len(pair_names))
-    firsts, first_of = np.unique(v, return_inverse=True)
-    first_total = np.bincount(first_of, minlength=len(firsts))
-    hot, at = find(firsts, s.hot_words)
-    first_total[hot] = s.hot_counts[at[hot]] if hot.any() else 0
-    _, one, own = np.unique(pair.astype(np.int64) * len(docs) + doc, return_index=True, return_counts=True)
-    other = pair_total[pair[one]] - own
-    other[v[one] == 0] = 0
-    known = first_total[first_of[one]]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        value = np.where(other > 0, np.log(other / np.maximum(known - own, other)), np.log(settings.alpha / np.maximum(s.total - own, 1)))
-    back = np.flatnonzero(other <= 0)
+        pair_name = mix(mix(v) + w * _STEP)
+        _, pair = np.unique(pair_name, return_inverse=True)
+        _, triple = np.unique(mix(pair_name + mix(u + np.uint64(7))), return_inverse=True)
+        _, context = np.unique(mix(mix(v) + mix(u + np.uint64(7))), return_inverse=True)
+    firsts, first = np.unique(v, return_inverse=True)
+    pair_total, triple_total, context_total, first_total = (np.bincount(x) for x in (pair, triple, context, first))
+    hot_first, at = find(firsts, s.hot_words)
+    first_total[hot_first] = s.hot_counts[at[hot_first]] if hot_first.any() else 0
+
+    # (v w) of a document: those that nobody else has fall to the last line
+    _, one, of, own = np.unique(pair.astype(np.int64) * len(docs) + doc, return_index=True, return_inverse=True, return_counts=True)
+    elsewhere = np.where(v[one] == 0, 0, pair_total[pair[one]] - own)
+    steps = np.where(v[one] == 0, own, own + np.bincount(of, weights=u != 0, minlength=len(own)))  # orders given up, over all occurrences
+    back = np.flatnonzero(elsewhere <= 0)
+    value = steps[back] * log_alpha - own[back] * np.log(np.maximum(s.total - own[back], 1))
     key = w[one[back]] % np.uint64(settings.classes)
     hot, at = find(key, s.hot_keys)
     if hot.any():
-        value[back[hot]] += np.log(np.maximum(s.hot_key_counts[at[hot]] - own[back[hot]], 0.5))
+        value[hot] += own[back[hot]] * np.log(np.maximum(s.hot_key_counts[at[hot]] - own[back[hot]], 0.5))
+    sums = np.bincount(doc[one[back]], weights=value, minlength=len(docs)).astype(float)  # of integers over nothing
     ask = back[~hot]
-    return docs, np.bincount(doc[one], weights=own * value, minlength=len(docs)), (key[~hot], docs[doc[one[ask]]], own[ask])
+    words = key[~hot], docs[doc[one[ask]]], own[ask]
+
+    # (u v w) of a document, of the pairs that others have
+    rest = np.flatnonzero(elsewhere[of] > 0)
+    _, three, times = np.unique(triple[rest].astype(np.int64) * len(docs) + doc[rest], return_index=True, return_counts=True)
+    three = rest[three]
+    seen = np.where(u[three] == 0, 0, triple_total[triple[three]] - times)
+    high = seen > 0
+    known = context_total[context[three]]
+    pair_seen, pair_own = elsewhere[of[three]], own[of[three]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        low_value = np.log(pair_seen / np.maximum(first_total[first[three]] - pair_own, pair_seen)) + np.where(u[three] == 0, 0.0, log_alpha)
+        here = np.log(np.maximum(known - times, seen))
+        far = hot_first[first[three]]  # whose (u v) are counted elsewhere
+        value = np.where(high, np.log(np.maximum(seen, 1)) - np.where(far, 0.0, here), low_value)
+    sums += np.bincount(doc[three], weights=times * value, minlength=len(docs))
+    wanted = three[high & far]
+    pairs = pair_ids(u[wanted], v[wanted]), docs[doc[wanted]], times[high & far], seen[high & far]
+
+    # pairs that end in a hot word, as others may ask how often they go on
+    ends = find(w, s.hot_words)[0] & ~last & (v != 0)
+    ids, n = np.unique(pair_ids(v[ends], w[ends]), return_counts=True)
+    return Scored(docs, sums, words, pairs, (ids[n > 1], n[n > 1]))
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +320,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     known = shares(source.select("_text"), settings)
-    parts = max(1, -(-known.total // settings.pairs_per_partition))
+    parts = max(1, -(-known.total // settings.words_per_partition))
     sent = spark.sparkContext.broadcast(known)
 
     def runs(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -251,71 +338,94 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # counts of rare words, not sent yet
+
+        def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slice", "data"])
+
+        def sent_on() -> list[tuple[int, int, bytes]]:
+            keys, counts = total_counts(held)
+            held.clear()
+            return [(-1 - parts - k, number, pack_counts(keys[o], counts[o])) for k, o in dealt(keys)]
+
         for batch in batches:
             done = 0
-            for texts in text_slices(batch.column(1), settings.slice_bytes):
+            for texts in text_slices(batch.column(1), settings.slice_bytes, 1 << 15):
                 ids = batch.column(0).slice(done, len(texts))
                 done += len(texts)
                 n, w = word_ids(texts)
                 doc = np.repeat(np.arange(len(n)), n)
-                v = np.zeros_like(w)
+                begins = np.diff(doc, prepend=-1) != 0
+                last = np.append(begins[1:], True)[: len(w)]
+                v, u = np.zeros_like(w), np.zeros_like(w)
                 v[1:] = w[:-1]
-                v[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
+                v[begins] = 0
+                u[1:] = v[:-1]
+                u[begins] = 0
                 by = v.copy()
                 both = find(v, sent.value.hot_words)[0] | (v == 0)
                 with np.errstate(over="ignore"):
                     by[both] = mix(v[both]) + w[both] * _STEP
                 part = (mix(by + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                rows = [(k, number, pack_pairs(v[o], w[o], doc[o])) for k, o in runs(part, order)]
+                place = doc | (last.astype(np.int64) << 15)
+                rows = [(k, number, pack_rows(u[o], v[o], w[o], place[o], sent.value.frequent)) for k, o in runs(part, np.argsort(part, kind="stable"))]
                 keys, counts = np.unique(w % np.uint64(settings.classes), return_counts=True)
                 rare = ~find(keys, sent.value.hot_keys)[0]
-                keys, counts = keys[rare], counts[rare]
-                rows += [(-1 - parts - k, number, pack_counts(keys[o], counts[o])) for k, o in dealt(keys)]
+                held.append((keys[rare], counts[rare]))
+                if sum(len(k) for k, _ in held) > HELD:
+                    rows += sent_on()
                 null = np.array(ids.is_null())
                 head = np.array([len(n)], "<u4").tobytes() + null.astype(np.uint8).tobytes() + pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + n.astype("<i8").tobytes()
                 rows.append((-1 - int(mix(np.array([number], np.uint64))[0] % np.uint64(parts)), number, head))  # who the documents of this slice are
                 number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slice", "data"])
+                yield batch_of(rows)
+        yield batch_of(sent_on())
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Heads and sums go on to their slice (-1 - slice), counts and what is asked for to a partition of the word table."""
+        """Heads and sums go on to their slice (-1 - slice), counts and what is asked for to a partition of the tables."""
         part = int(pdf["part"].iloc[0])
         if part < -parts:
-            return pd.DataFrame({"to": [-part - 1 - parts], "slice": [0], "kind": ["count"], "data": [pack_counts(*add_counts(pdf["data"]))]})
+            return pd.DataFrame({"to": [-part - 1 - parts], "slice": [0], "kind": ["count"], "data": [pack_counts(*total_counts([unpack_counts(d) for d in pdf["data"]]))]})
         if part < 0:
             return pd.DataFrame({"to": -1 - pdf["slice"], "slice": pdf["slice"], "kind": "head", "data": pdf["data"]})
         slices, rank = np.unique(pdf["slice"].to_numpy(), return_inverse=True)
-        found = [unpack_pairs(d) for d in pdf["data"]]
-        doc = np.concatenate([f[2] + (int(r) << 16) for f, r in zip(found, rank)])
-        v, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        found = [unpack_rows(d, sent.value.frequent) for d in pdf["data"]]
+        u, v, w = (np.concatenate([f[k] for f in found]) for k in range(3))
+        doc = np.concatenate([(f[3] & 0x7FFF) + (int(r) << 16) for f, r in zip(found, rank)])
+        last = np.concatenate([f[3] >> 15 for f in found]).astype(bool)
         del found
-        docs_, sums, (key, asker, own) = score_pairs(v, w, doc, sent.value, settings)
-        out = [(-1 - s, s, "sum", d) for s, d in zip(slices, pack_sums(slices, docs_, sums))]
-        by_doc = np.argsort(asker, kind="stable")
-        key, asker, own = key[by_doc], asker[by_doc], own[by_doc]
-        out += [(k, 0, "ask", pack_asked(key[o], slices[asker[o] >> 16], asker[o] & 0xFFFF, own[o])) for k, o in dealt(key)]
+        got = score_rows(u, v, w, doc, last, sent.value, settings)
+        out = [(-1 - s, s, "sum", d) for s, d in zip(slices, pack_sums(slices, got.docs, got.sums))]
+        for kind, (key, asker, *numbers) in (("ask", got.words), ("pair ask", got.pairs)):
+            by_doc = np.argsort(asker, kind="stable")
+            key, asker, numbers = key[by_doc], asker[by_doc], [x[by_doc] for x in numbers]
+            out += [(k, 0, kind, pack_asked(key[o], slices[asker[o] >> 16], asker[o] & 0xFFFF, *[x[o] for x in numbers])) for k, o in dealt(key)]
+        out += [(k, 0, "pair count", pack_counts(got.counts[0][o], got.counts[1][o])) for k, o in dealt(got.counts[0])]
         return pd.DataFrame(out, columns=["to", "slice", "kind", "data"])
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of a slice the sums so far; of a partition of the word table the terms of the words asked for."""
-        of = {kind: pdf["data"][pdf["kind"] == kind] for kind in ("head", "sum", "count", "ask")}
+        """Of a slice the sums so far; of a partition of the tables the terms of the words and pairs asked for."""
+        of = {kind: pdf["data"][pdf["kind"] == kind] for kind in ("head", "sum", "count", "ask", "pair count", "pair ask")}
         if pdf["to"].iloc[0] < 0:
             total = np.zeros(int(np.frombuffer(of["head"].iloc[0], "<u4", 1)[0]))
             for data in of["sum"]:
                 add_sums(total, data)
             number = pdf["slice"].iloc[0]
             return pd.DataFrame({"slice": number, "head": [True, False], "data": [of["head"].iloc[0], pack_sums(np.array([number]), np.arange(len(total)), total)[0]]})
-        if not len(of["ask"]):
-            return pd.DataFrame({"slice": [], "head": [], "data": []})
-        keys, counts = add_counts(of["count"])
-        found = [unpack_asked(d) for d in of["ask"]]
-        key, asker, doc, own = (np.concatenate([f[k] for f in found]) for k in range(4))
-        del found
-        value = own * np.log(np.maximum(counts[np.searchsorted(keys, key)] - own, 0.5))
-        slices, rank = np.unique(asker, return_inverse=True)
-        docs_, at = np.unique((rank.astype(np.int64) << 16) + doc, return_inverse=True)
-        return pd.DataFrame({"slice": slices, "head": False, "data": pack_sums(slices, docs_, np.bincount(at, weights=value, minlength=len(docs_)))})
+        out = []
+        for kind in ("", "pair "):
+            if not len(of[kind + "ask"]):
+                continue
+            keys, counts = total_counts([unpack_counts(d) for d in of[kind + "count"]])
+            found = [unpack_asked(d, 2 if kind else 1) for d in of[kind + "ask"]]
+            key, asker, doc, own, *seen = (np.concatenate([f[k] for f in found]) for k in range(len(found[0])))
+            del found
+            count = counts[np.searchsorted(keys, key)] - own
+            value = -own * np.log(np.maximum(count, seen[0])) if kind else own * np.log(np.maximum(count, 0.5))
+            slices, rank = np.unique(asker, return_inverse=True)
+            docs_, at = np.unique((rank.astype(np.int64) << 16) + doc, return_inverse=True)
+            out += zip(slices, pack_sums(slices, docs_, np.bincount(at, weights=value, minlength=len(docs_))))
+        return pd.DataFrame({"slice": [s for s, _ in out], "head": False, "data": [d for _, d in out]})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf["data"][pdf["head"]].iloc[0]

@@ -112,16 +112,24 @@ ORACLE_SQL: dict[str, str] = {
         FROM u""",
     "op7_lm_scoring": r"""
         WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        tok AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
-        p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM tok),
-        own AS (SELECT r, v, w, count(*) AS n FROM p GROUP BY ALL),
-        c2 AS (SELECT v, w, sum(n) AS c FROM own WHERE v IS NOT NULL GROUP BY ALL),
-        first AS (SELECT v, sum(n) AS c FROM own WHERE v IS NOT NULL GROUP BY v),
-        c1 AS (SELECT w, sum(n) AS c FROM own GROUP BY w),
-        every AS (SELECT sum(n) AS c FROM own),
+        tok AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM t),
+        p AS (SELECT r, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM tok WINDOW d AS (PARTITION BY r ORDER BY i)),
+        own3 AS (SELECT r, u, v, w, count(*) AS n FROM p GROUP BY ALL),
+        own2 AS (SELECT r, v, w, count(*) AS n FROM p GROUP BY ALL),
+        c3 AS (SELECT u, v, w, sum(n) AS c FROM own3 WHERE u IS NOT NULL GROUP BY ALL),
+        f2 AS (SELECT u, v, sum(n) AS c FROM own3 WHERE u IS NOT NULL GROUP BY ALL),
+        c2 AS (SELECT v, w, sum(n) AS c FROM own2 WHERE v IS NOT NULL GROUP BY ALL),
+        f1 AS (SELECT v, sum(n) AS c FROM own2 WHERE v IS NOT NULL GROUP BY v),
+        c1 AS (SELECT w, sum(n) AS c FROM own2 GROUP BY w),
+        every AS (SELECT sum(n) AS c FROM own2),
         terms AS (
-            SELECT r, n, CASE WHEN c2.c > n THEN ln((c2.c - n) / greatest(first.c - n, c2.c - n)) ELSE ln(0.4 * greatest(c1.c - n, 0.5) / greatest(every.c - n, 1)) END AS x
-            FROM own JOIN c1 USING (w) CROSS JOIN every LEFT JOIN c2 ON c2.v = own.v AND c2.w = own.w LEFT JOIN first ON first.v = own.v),
+            SELECT o.r, o.n, CASE
+                WHEN c3.c > o.n THEN ln((c3.c - o.n) / greatest(f2.c - o.n, c3.c - o.n))
+                WHEN c2.c > q.n THEN CASE WHEN o.u IS NULL THEN 0 ELSE ln(0.4) END + ln((c2.c - q.n) / greatest(f1.c - q.n, c2.c - q.n))
+                ELSE CASE WHEN o.u IS NULL THEN 1 ELSE 2 END * ln(0.4) + ln(greatest(c1.c - q.n, 0.5) / greatest(every.c - q.n, 1)) END AS x
+            FROM own3 o JOIN own2 q ON q.r = o.r AND q.w = o.w AND q.v IS NOT DISTINCT FROM o.v JOIN c1 ON c1.w = o.w CROSS JOIN every
+            LEFT JOIN c3 ON c3.u = o.u AND c3.v = o.v AND c3.w = o.w LEFT JOIN f2 ON f2.u = o.u AND f2.v = o.v
+            LEFT JOIN c2 ON c2.v = o.v AND c2.w = o.w LEFT JOIN f1 ON f1.v = o.v),
         s AS (SELECT r, sum(n * x) AS x FROM terms GROUP BY r)
         SELECT doc_id, len(ws)::BIGINT AS n_words, s.x AS log_score, s.x / len(ws) AS mean_log_score FROM t LEFT JOIN s USING (r)""",
     "op8_embedding_near_dedup": """

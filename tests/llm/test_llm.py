@@ -463,7 +463,7 @@ def test_huge_trusted_text_leaves_the_others(spark):
     assert not [r for r in kneser_ney.classify(d, ids, settings).collect() if r.doc_id == 1000][0].kept
 
 
-@pytest.mark.parametrize("settings", [backoff.Settings(classes=8, hot=4, pairs_per_partition=500, slice_bytes=300), backoff.Settings()])
+@pytest.mark.parametrize("settings", [backoff.Settings(classes=8, hot=4, words_per_partition=500, slice_bytes=300), backoff.Settings(hot=30, words_per_partition=200), backoff.Settings()])
 def test_backoff(docs, none, settings):
     rows = [(r.doc_id, r.text, words((r.text or "").lower())) for r in docs.collect()]
     ids = {w: int(backoff.word_ids(pa.array([w]))[1][0]) for *_, ws in rows for w in ws}
@@ -472,21 +472,46 @@ def test_backoff(docs, none, settings):
     for w, n in c1.items():
         classes[ids[w] % settings.classes] += n
     c2 = collections.Counter(p for *_, ws in rows for p in zip(ws, ws[1:]))
-    first = collections.Counter(v for *_, ws in rows for v in ws[:-1])
-    total = sum(c1.values())
+    c3 = collections.Counter(p for *_, ws in rows for p in zip(ws, ws[1:], ws[2:]))
+    f1 = collections.Counter(v for *_, ws in rows for v in ws[:-1])
+    f2 = collections.Counter(p for *_, ws in rows for p in zip(ws[:-1], ws[1:-1]))
+    total, alpha = sum(c1.values()), math.log(0.4)
     want = []
     for i, t, ws in rows:
         s = 0.0
-        for (v, w), n in collections.Counter(zip([None, *ws], ws)).items():
-            o = 0 if v is None else c2[(v, w)] - n
-            cv = first[v]
-            s += n * (math.log(o / max(cv - n, o)) if o > 0 else math.log(0.4 * max(classes[ids[w] % settings.classes] - n, 0.5) / max(total - n, 1)))
+        own2 = collections.Counter(zip([None, *ws], ws))
+        for (u, v, w), n in collections.Counter(zip([None, None, *ws], [None, *ws], ws)).items():
+            m = own2[v, w]
+            o3 = c3[u, v, w] - n if u is not None else 0
+            o2 = c2[v, w] - m if v is not None else 0
+            if o3 > 0:
+                s += n * math.log(o3 / max(f2[u, v] - n, o3))
+            elif o2 > 0:
+                s += n * ((alpha if u is not None else 0) + math.log(o2 / max(f1[v] - m, o2)))
+            else:
+                s += n * ((2 if u is not None else 1) * alpha + math.log(max(classes[ids[w] % settings.classes] - m, 0.5) / max(total - m, 1)))
         want.append((i, len(ws), f"{s:.6f}" if ws else None))
     got = [(r.doc_id, r.n_words, None if r.log_score is None else f"{r.log_score:.6f}") for r in backoff.score(docs.repartition(3), settings).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert backoff.score(none).count() == 0
 
 
+def test_backoff_packs_any_words():
+    rng = np.random.default_rng(3)
+    frequent = np.union1d(rng.integers(1, 1 << 48, 300, dtype=np.uint64), np.zeros(1, np.uint64))
+    for n in (1, 2, 1000):
+        u, v, w = (np.where(rng.random(n) < 0.5, rng.choice(frequent, n), rng.integers(1, 1 << 48, n, dtype=np.uint64)) for _ in range(3))
+        v[: n // 2] = v[0]  # a run of more than 255
+        doc = rng.integers(0, 1 << 16, n)
+        got = backoff.unpack_rows(backoff.pack_rows(u, v, w, doc, frequent), frequent)
+        assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(zip(u.tolist(), v.tolist(), w.tolist(), doc.tolist()))
+        counts = rng.integers(1, 600, n)
+        assert all((a == b).all() for a, b in zip(backoff.unpack_counts(backoff.pack_counts(u, counts)), (u, counts)))
+        slices = np.sort(rng.integers(0, 5, n))
+        asked = backoff.unpack_asked(backoff.pack_asked(u, slices, doc, counts % 3, counts), 2)
+        assert all((a == b).all() for a, b in zip(asked, (u, slices, doc, counts % 3, counts)))
+
+
 def test_backoff_counts_each_word(spark):
     """Words that agree in the low bits of their ids have counts of their own, in the table of hot words and in that of others."""
     forms = [f"w{k}" for k in range(1500)]
