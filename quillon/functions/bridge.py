@@ -440,33 +440,45 @@ def spark_type(kind: str) -> str | None:
 
 # sums of doubles
 
-#: Fixed-point digits of a sum: |x| below 2^96 is cut into digits of 24 bits, down to 2^-72.
-_DIGITS = [k for k in range(-72, 96, 24)]
-_TOP = 2.0**96
+#: A number below 2^62 is a whole number and a fraction of 63 bits; digits of 21 bits of both are summed.
+_DIGIT, _FRACTION = 21, 63
+_INSIDE = 2.0**62
 
 
-def digit_sums(x: Column) -> list[Column]:
+def whole_part(x: Column) -> Column:
+    """The whole number in a double below 2^62 in magnitude; null for others."""
+    return F.when(F.abs(x) < _INSIDE, x).cast("bigint")  # NaN is greater
+
+
+def fraction(x: Column, whole: Column) -> Column:
+    """The rest of it, in units of 2^-63."""
+    return ((x - whole.cast("double")) * 2.0**_FRACTION).cast("bigint")
+
+
+def digit_sums(x: Column, whole: Column, part: Column) -> list[Column]:
     """Aggregates that together hold the exact sum of doubles: they merge in any order, so a sum
     has one value however rows are dealt, and partial aggregation works.
 
-    Each finite |x| below 2^96 is cut into whole numbers of 24 bits at fixed powers of two,
-    whose sums are exact for up to 2^39 rows a group (beyond, an overflow error).  What
-    lies below 2^-72 and numbers from 2^96 on are added up as doubles, the last beside
+    Sums of digits are exact for up to 2^42 rows a group (beyond, an overflow error).  What
+    lies below 2^-63, and numbers from 2^62 on, are added up as doubles, the last beside
     their greatest magnitude, which tells an overflow.
     """
-    inside = F.abs(x) < _TOP  # NaN is greater
-    digits = [F.sum(F.when(inside, ((x % 2.0 ** (k + 24)) * 2.0**-k).cast("bigint"))) for k in _DIGITS]
-    outside = F.when(~inside, x)
-    return [*digits, F.sum(F.when(inside, x % 2.0 ** _DIGITS[0])), F.sum(outside), F.max(F.abs(outside))]
+    mask = F.lit(2**_DIGIT - 1)
+    digits = [d for n in (whole, part) for d in (F.shiftright(n, 2 * _DIGIT), F.shiftright(n, _DIGIT).bitwiseAND(mask), n.bitwiseAND(mask))]
+    below = (x - whole.cast("double")) - part.cast("double") * 2.0**-_FRACTION
+    outside = F.when(whole.isNull(), x)
+    return [*[F.sum(d) for d in digits], F.sum(below), F.sum(outside), F.max(F.abs(outside))]
 
 
 def digit_total(parts: list[Column], pos) -> Column:
     """The sum that digit_sums hold, rounded once; null over nothing."""
-    *digits, rest, outside, greatest = parts
+    *digits, below, outside, greatest = parts
     terms = [outside]
-    for k, d in reversed(list(zip(_DIGITS, digits))):  # halves of 31 bits are exact as doubles
-        terms += [(F.shiftright(d, 31).cast("double") * 2.0 ** (k + 31)), (d.bitwiseAND(F.lit(2**31 - 1)).cast("double") * 2.0**k)]
-    terms = [F.coalesce(t, F.lit(0.0)) for t in [*terms, rest]]
+    for k, d in enumerate(digits):
+        unit = 2.0 ** ((2 - k % 3) * _DIGIT - (_FRACTION if k >= 3 else 0))
+        # halves of 32 and 31 bits are exact as doubles
+        terms += [F.shiftright(d, 31).cast("double") * (unit * 2.0**31), d.bitwiseAND(F.lit(2**31 - 1)).cast("double") * unit]
+    terms = [F.coalesce(t, F.lit(0.0)) for t in [*terms, below]]
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
 
     def add(a: Column, t: Column) -> Column:  # Neumaier's sum
@@ -475,5 +487,5 @@ def digit_total(parts: list[Column], pos) -> Column:
         return F.struct(s.alias("s"), (a["c"] + lost).alias("c"))
 
     total = F.aggregate(F.array(*terms), zero, add, lambda a: F.when(finite(a["s"]), a["s"] + a["c"]).otherwise(a["s"]))
-    any_ = digits[0].isNotNull() | greatest.isNotNull()
-    return F.when(any_, bound(total, lambda t: F.when(~finite(t) & finite(F.coalesce(greatest, F.lit(0.0))), fail(pos, "REAL overflow", "REAL")).otherwise(t)))
+    some = digits[0].isNotNull() | greatest.isNotNull()
+    return F.when(some, bound(total, lambda t: F.when(~finite(t) & finite(F.coalesce(greatest, F.lit(0.0))), fail(pos, "REAL overflow", "REAL")).otherwise(t)))

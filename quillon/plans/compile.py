@@ -154,6 +154,14 @@ class Ctx:
     only_true: bool = False
 
 
+@dataclass
+class _Derived:
+    """Columns made of the arguments of aggregates: the first of equal values in a group, and the parts of doubles that are summed."""
+
+    firsts: dict[str, str]
+    parts: dict[str, tuple[str, str]]
+
+
 @dataclass
 class Out:
     df: DataFrame
@@ -486,16 +494,19 @@ class Compiler:
         for e in exprs + ([q.having] if q.having is not None else []):
             for x in _aggregates(e):
                 calls.setdefault(self.canon(x, scope), x)
-        aggs, args, aggmap, once = [], [], {}, []
+        aggs, args, aggmap, more = [], {}, {}, _Derived({}, {})
         for text, call in calls.items():
-            arg, out = self.aggregate(call, replace(pre, clause="an aggregate"), args, once)
+            arg, out = self.aggregate(call, replace(pre, clause="an aggregate"), args, more)
             i = self.fresh()
             aggs.append((arg, i, call.name == "count"))
             aggmap[text] = Typed(F.col(i), out)
-        df = rel.df.select(*[F.col(d) for d in rel.domain], *[k.alias(i) for k, i in key_cols], *[a.alias(i) for a, i in args])
-        for value, first in once:  # marks one row of each value in a group
+        df = rel.df.select(*[F.col(d) for d in rel.domain], *[k.alias(i) for k, i in key_cols], *[a.alias(i) for a, i in args.values()])
+        for value, first in more.firsts.items():  # one row of each value in a group
             same = Window.partitionBy(*rel.domain, *[i for _, i in key_cols], value).orderBy(F.lit(0))
             df = df.withColumn(first, F.when(F.row_number().over(same) == 1, F.col(value)))
+        if more.parts:
+            df = df.withColumns({whole: B.whole_part(F.col(x)) for x, (whole, _) in more.parts.items()})
+            df = df.withColumns({part: B.fraction(F.col(x), F.col(whole)) for x, (whole, part) in more.parts.items()})
         computed = [a.alias(i) for a, i, _ in aggs] or [F.count(F.lit(1)).alias(self.fresh())]
         by = [F.col(d) for d in rel.domain] + [F.col(i) for _, i in key_cols]
         out = df.groupBy(*by).agg(*computed) if by else df.agg(*computed)
@@ -515,7 +526,7 @@ class Compiler:
         ctx = Ctx(rel, after, keymap, aggmap, "SELECT")
         return ctx
 
-    def aggregate(self, c: ast.Call, ctx: Ctx, args: list, once: list) -> tuple[Column, str | None]:
+    def aggregate(self, c: ast.Call, ctx: Ctx, args: dict[str, tuple[Column, str]], more: _Derived) -> tuple[Column, str | None]:
         if c.star:
             if c.name != "count" or c.distinct:
                 raise SqlError(*c.pos, f"{c.name}(*) is not allowed")
@@ -528,8 +539,7 @@ class Compiler:
         t = self.expr(c.args[0], ctx)
         if c.name in ("sum", "avg") and t.type not in ("INTEGER", "REAL", None):
             raise SqlError(*c.pos, f"{c.name} needs a number, not {t.type}")
-        i = self.fresh()
-        args.append((t.col if t.type else t.col.cast("bigint"), i))
+        _, i = args.setdefault(self.canon(c.args[0], ctx.scope), (t.col if t.type else t.col.cast("bigint"), self.fresh()))
         x = F.col(i)
         kind = t.type or "INTEGER"
         if c.name == "count":
@@ -545,9 +555,10 @@ class Compiler:
             total, n = (F.sum_distinct(d), F.count_distinct(x)) if c.distinct else (F.sum(d), F.count(x))
             return total.cast("double") / F.when(n != 0, n), "REAL"
         if c.distinct:
-            once.append((i, first := self.fresh()))
-            x = F.col(first)
-        n, total = F.count(x), B.digit_total(B.digit_sums(x), c.pos)
+            i = more.firsts.setdefault(i, self.fresh())
+            x = F.col(i)
+        whole, part = more.parts.setdefault(i, (self.fresh(), self.fresh()))
+        n, total = F.count(x), B.digit_total(B.digit_sums(x, F.col(whole), F.col(part)), c.pos)
         return (total if c.name == "sum" else total / F.when(n != 0, n)), "REAL"
 
     # subqueries
@@ -600,6 +611,9 @@ class Compiler:
     def scalar(self, e: ast.Scalar, ctx: Ctx) -> Typed:
         if not e.query.sources and len(e.query.items) == 1 and e.query.items[0].expr is not None and not (e.query.where or e.query.having or e.query.group or e.query.limit or _has_aggregate(e.query.items[0].expr)):
             return self.expr(e.query.items[0].expr, ctx)  # (SELECT x) is x
+        found = self.by_key(e.query, ctx)
+        if found is not None:
+            return found
         out, pairs = self.subquery(e.query, ctx)
         if len(out.cols) != 1:
             raise SqlError(*e.pos, f"subquery has {len(out.cols)} columns, not 1")
@@ -613,6 +627,48 @@ class Compiler:
         self.attach(ctx, sub, pairs)
         return Typed(F.when(F.col(n) > 1, B.fail(e.pos, "subquery has more than one row", c.type)).otherwise(F.col(v)), c.type, can_fail=True)
 
+    def by_key(self, q: ast.Select, ctx: Ctx) -> Typed | None:
+        """An aggregate over rows that equal outer columns, as one grouping by what equals them and a left join.
+
+        None where the subquery is another kind of one.  A row without a partner, and one
+        with a NULL, gets the aggregates over nothing.
+        """
+        exprs = ast.select_exprs(q)
+        if not q.sources or q.group or q.having or q.order or q.limit or q.offset or q.distinct or q.where is None or len(q.items) != 1 or not _has_aggregate(q.items[0].expr) or any(_has_query(x) for x in exprs):
+            return None
+        tables: list[Table] = []
+        for s in q.sources:
+            tables.append(self.table(s, tables)[0])
+        own = Scope(tables)
+        names = lambda x: [n for n in ast.walk(x) if isinstance(n, ast.Name)]
+        local = lambda x: all(own.own(n) is not None for n in names(x))
+        inner, pairs = [], []
+        for c in _conjuncts(q.where):
+            if local(c):
+                inner.append(c)
+                continue
+            sides = [(c.left, c.right), (c.right, c.left)] if isinstance(c, ast.Binary) and c.op == "=" else []
+            pair = next(((a, b) for a, b in sides if names(a) and local(a) and isinstance(b, ast.Name) and own.own(b) is None), None)
+            if pair is None:
+                return None
+            pairs.append(pair)
+        if not pairs or not all(local(x) for x in [q.items[0].expr, *(s.on for s in q.sources if s.on is not None)]):
+            return None
+        right = self.from_(ast.Select(q.pos, sources=q.sources), None, None)
+        before = Ctx(right, right.scope, clause="WHERE")
+        typed = [(self.expr(a, before), self.expr(b, ctx)) for a, b in pairs]
+        if any(a.type is None or a.type != b.type or a.type == "REAL" or a.can_fail for a, b in typed):
+            return None
+        for c in inner:
+            self.filter(c, before)
+        grouped = ast.Select(q.pos, items=q.items, sources=q.sources, group=[a for a, _ in pairs])
+        after = self.group(grouped, right, None, [q.items[0].expr])
+        keys = [after.keymap[self.canon(a, right.scope)].id for a, _ in pairs]
+        ctx.rel.df = ctx.rel.df.join(right.df, _all([b.col == F.col(k) for (_, b), k in zip(typed, keys)]), "left").drop(*keys)
+        counts = {self.canon(x, right.scope) for x in _aggregates(q.items[0].expr) if x.name == "count"}
+        aggs = {k: t.but(col=F.coalesce(t.col, F.lit(0).cast("bigint"))) if k in counts else t for k, t in after.aggmap.items()}
+        return self.expr(q.items[0].expr, replace(after, rel=ctx.rel, keymap={}, aggmap=aggs, scope=replace(after.scope, remap={})))
+
     def exists(self, e: ast.Exists, ctx: Ctx) -> Typed:
         """As a flag joined to the rows; at the top of WHERE see semi."""
         out, pairs = self.subquery(e.query, ctx)
