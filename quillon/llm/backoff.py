@@ -23,16 +23,17 @@ tasks, and rows with one in the middle are partitioned by (v, w), others by v al
 no partition holds more than its part and 1/``hot`` of all rows.  For a hot v the counts
 c(u v) lie in other partitions; those go as rows of a pair table, partitioned by the
 pair's hash and combined before the shuffle, and are asked for there where (u v w) was
-seen elsewhere.  Counts of all words that aren't hot are a table partitioned by the
+seen elsewhere.  Counts of all words that aren't frequent are a table partitioned by the
 word's hash, combined before the shuffle by task; the words of rows that back off to the
 last line ask there.  Rows travel packed: for a slice of documents and a partition the
 middle words in runs, the others as 16-bit numbers in a list of frequent words (the rest
 as 48-bit ids), and the place of the document, some 8 bytes a word, and are shuffled
-once.  The list is drawn from a sample of each task and only makes rows shorter.  A slice
+once.  The list is drawn from a sample of each task and changes no score; its words'
+counts are exact and known to all tasks.  A slice
 has at most 32,768 texts.  Where there are more partitions than a slice has words (beyond
 some TB) a packed row holds few words and costs what a plain row does.  What is sent to
-all tasks is bounded by ``screen``, ``hot`` and 65,535 words.  Words are counted by their
-48-bit ids modulo ``classes``: by default by the ids themselves.
+all tasks is bounded by ``screen``, ``hot`` and ``frequent``, the last two less than 65,535
+together.
 
 Cases: words are compared in lower case and by 48-bit hashes; a null text or one
 without words has 0 words and a null score; texts of any length are read whole;
@@ -59,28 +60,29 @@ _ID = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Slices of a task that its frequent words are drawn from, and rare words that a task counts before it sends them on.
 SAMPLE, HELD = 4, 1 << 20
+#: A partition's rows are scored in so many parts, one after another.
+CHUNKS = 4
 
 
 @dataclass(frozen=True)
 class Settings:
     alpha: float = 0.4
-    classes: int = 1 << 48
     screen: int = 1 << 16
     hot: int = 4096
+    frequent: int = 61_000
     words_per_partition: int = 2_000_000
     slice_bytes: int = 8 << 20
 
 
 @dataclass(frozen=True)
 class Shares:
-    """What every task knows: words in all, counts of the hot words (sorted) as first words of pairs, counts of the hot keys (sorted), frequent words (sorted) that rows are shortened by."""
+    """What every task knows: words in all; the hot words (sorted) and how often a word follows them; the frequent words (sorted), the hot among them, and their counts."""
 
     total: int
-    hot_words: np.ndarray
-    hot_counts: np.ndarray
-    hot_keys: np.ndarray
-    hot_key_counts: np.ndarray
+    hot: np.ndarray
+    hot_firsts: np.ndarray
     frequent: np.ndarray
+    counts: np.ndarray
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,16 +124,18 @@ def pack_rows(u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, freq
     place = np.arange(len(v)) - np.repeat(starts := np.flatnonzero(np.diff(v, prepend=v[:1] ^ np.uint64(1))), np.diff(np.append(starts, len(v))))
     begins = np.flatnonzero(place % 255 == 0)
     runs = np.diff(np.append(begins, len(v))).astype(np.uint8)
-    return np.array([len(v), len(begins)], "<u4").tobytes() + pack_words(v[begins], frequent) + runs.tobytes() + pack_words(u, frequent) + pack_words(w, frequent) + doc.astype("<u2").tobytes()
+    flat = pack_words(v[begins], frequent) + runs.tobytes() + pack_words(u, frequent) + pack_words(w, frequent) + doc.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return np.array([len(v), len(begins), len(flat)], "<u4").tobytes() + pa.Codec("zstd", compression_level=1).compress(flat, asbytes=True)
 
 
 def unpack_rows(data: bytes, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, r = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    first, rest = unpack_words(np.frombuffer(data, np.uint8, offset=8), r, frequent)
+    n, r, size = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    flat = pa.Codec("zstd").decompress(memoryview(data)[12:], size, asbytes=True)
+    first, rest = unpack_words(np.frombuffer(flat, np.uint8), r, frequent)
     v = np.repeat(first, rest[:r])
     u, rest = unpack_words(rest[r:], n, frequent)
     w, rest = unpack_words(rest, n, frequent)
-    return u, v, w, np.frombuffer(rest.tobytes(), "<u2").astype(np.int64)
+    return u, v, w, np.frombuffer(rest.reshape(2, -1).T.tobytes(), "<u2").astype(np.int64)
 
 
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -191,11 +195,11 @@ def add_sums(total: np.ndarray, data: bytes) -> None:
 
 
 def shares(texts: DataFrame, settings: Settings) -> Shares:
-    """Two passes: counts by screen class; then exact counts of the words of the fullest classes."""
-    spark, screen, classes = texts.sparkSession, settings.screen, np.uint64(settings.classes)
+    """Two passes: counts by screen class, and frequent words of a sample; then exact counts of those and of the words of the fullest classes."""
+    spark, screen = texts.sparkSession, settings.screen
 
     def class_of(w: np.ndarray) -> np.ndarray:
-        return (w % classes % np.uint64(screen)).astype(np.int64)
+        return (w % np.uint64(screen)).astype(np.int64)
 
     def by_class(batches):
         held, drawn = np.zeros(screen, np.int64), []
@@ -211,32 +215,41 @@ def shares(texts: DataFrame, settings: Settings) -> Shares:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at) + len(most)) >= len(at)), pa.array(np.concatenate([at, words[most].astype(np.int64)])), pa.array(np.concatenate([held[at], counts[most]]))], names=["word", "k", "c"])
 
     sums = checkpoint(texts.mapInArrow(by_class, "word boolean, k long, c long").groupBy("word", "k").agg(F.sum("c").alias("c")))
-    classes_held = sums.filter("NOT word").select("k", "c").toArrow()  # at most ``screen`` rows
-    frequent = sums.filter("word").orderBy(F.desc("c"), "k").limit(0xFFFE).select("k").toArrow()["k"].to_numpy().astype(np.uint64)
-    frequent = np.union1d(frequent, np.zeros(1, np.uint64))  # 0 stands before a text
+    by_screen = sums.filter("NOT word").select("k", "c").toArrow()  # at most ``screen`` rows
+    drawn = sums.filter("word").agg(F.sum("c")).first()[0] or 0
+    often = sums.filter(F.col("word") & (F.col("c") * (1 << 20) >= drawn)).select("k", "c").toArrow()  # at most 2^20 rows, as all counts add up to ``drawn``
+    most = np.lexsort((often["k"].to_numpy(), -often["c"].to_numpy()))[: settings.frequent]
     table = np.zeros(screen, np.int64)
-    table[classes_held["k"].to_numpy()] = classes_held["c"].to_numpy()
+    table[by_screen["k"].to_numpy()] = by_screen["c"].to_numpy()
     total = int(table.sum())
     least = max(1, total // settings.hot)
-    full = spark.sparkContext.broadcast(table >= least)
+    sent = spark.sparkContext.broadcast((table >= least, np.sort(often["k"].to_numpy()[most]).astype(np.uint64)))
+
+    def exactly(batches):
+        full, frequent = sent.value
+        every = np.zeros(len(frequent), np.int64)
+
+        def rows(hot: bool, k: np.ndarray, firsts: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), hot)), *[pa.array(x.astype(np.int64)) for x in (k, firsts, c)]], names=["hot", "k", "firsts", "c"])
 
-    def of_full(batches):
         for batch in batches:
             for t in text_slices(batch.column(0), settings.slice_bytes):
                 n, w = word_ids(t)
                 last = np.zeros(len(w), bool)
-                last[(np.cumsum(n) - 1)[n > 0]] = True  # the last word of a text is no first word of a pair
-                into = full.value[class_of(w)]
-                u, at = np.unique(w[into], return_inverse=True)
-                first = np.bincount(at[~last[into]], minlength=len(u))
-                keys, of = np.unique(u % classes, return_inverse=True)
-                every = np.zeros(len(keys), np.int64)
-                np.add.at(every, of, np.bincount(at, minlength=len(u)))
-                k = np.concatenate([u, keys]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(k)) >= len(u)), pa.array(k), pa.array(np.concatenate([first, every]))], names=["key", "k", "c"])
-
-    hot = texts.mapInArrow(of_full, "key boolean, k long, c long").groupBy("key", "k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).orderBy("k").collect()  # at most 2 * ``hot`` rows, as all counts add up to the total
-    return Shares(total, *(np.array([r[x] for r in hot if r["key"] == key], kind) for key in (False, True) for x, kind in (("k", np.uint64), ("c", np.int64))), frequent)
+                last[(np.cumsum(n) - 1)[n > 0]] = True  # nothing follows the last word of a text
+                known, at = find(w, frequent)
+                every += np.bincount(at[known], minlength=len(frequent))
+                into = full[class_of(w)]
+                u, at, c = np.unique(w[into], return_inverse=True, return_counts=True)
+                yield rows(True, u, np.bincount(at[~last[into]], minlength=len(u)), c)
+        yield rows(False, frequent, np.zeros(len(frequent)), every)
+
+    counted = checkpoint(texts.mapInArrow(exactly, "hot boolean, k long, firsts long, c long").groupBy("hot", "k").agg(F.sum("firsts").alias("firsts"), F.sum("c").alias("c")))
+    hot = counted.filter(F.col("hot") & (F.col("c") >= least)).orderBy("k").toArrow()  # at most ``hot`` rows, as all counts add up to the total
+    rest = counted.filter("NOT hot").toArrow()
+    k, c = (np.concatenate([[0], hot[x].to_numpy(), rest[x].to_numpy()]) for x in ("k", "c"))  # 0 stands before a text
+    frequent, at = np.unique(k.astype(np.uint64), return_index=True)
+    return Shares(total, hot["k"].to_numpy().astype(np.uint64), hot["firsts"].to_numpy(), frequent, c[at])
 
 
 def find(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,64 +268,61 @@ def pair_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Scored:
-    """Of one partition: documents (sorted) and their sums so far; what is to be asked for; counts of pairs that others ask for."""
+    """Of rows of one partition: what documents have so far; what is to be asked for; counts of pairs that others ask for."""
 
-    docs: np.ndarray
     sums: np.ndarray
     words: tuple[np.ndarray, np.ndarray, np.ndarray]  # key, document, occurrences
     pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # id, document, occurrences, occurrences elsewhere
     counts: tuple[np.ndarray, np.ndarray]  # ids of pairs, and how often they go on
 
 
-def score_rows(u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, last: np.ndarray, s: Shares, settings: Settings) -> Scored:
-    """Scores of the rows of one partition; last: whether a row's word ends its text."""
-    docs, doc = np.unique(doc, return_inverse=True)
+def score_rows(u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, n_docs: int, last: np.ndarray, s: Shares, settings: Settings) -> Scored:
+    """Scores of all rows of some middle words; doc: which of n_docs documents, last: whether a row's word ends its text."""
     log_alpha = np.log(settings.alpha)
     with np.errstate(over="ignore"):
         pair_name = mix(mix(v) + w * _STEP)
-        _, pair = np.unique(pair_name, return_inverse=True)
-        _, triple = np.unique(mix(pair_name + mix(u + np.uint64(7))), return_inverse=True)
-        _, context = np.unique(mix(mix(v) + mix(u + np.uint64(7))), return_inverse=True)
+        before = mix(u + np.uint64(7))
+        pair, triple, context = (np.unique(x, return_inverse=True)[1].astype(np.int32) for x in (pair_name, mix(pair_name + before), mix(mix(v) + before)))
+        del pair_name, before
     firsts, first = np.unique(v, return_inverse=True)
     pair_total, triple_total, context_total, first_total = (np.bincount(x) for x in (pair, triple, context, first))
-    hot_first, at = find(firsts, s.hot_words)
-    first_total[hot_first] = s.hot_counts[at[hot_first]] if hot_first.any() else 0
+    hot_first, at = find(firsts, s.hot)
+    first_total[hot_first] = s.hot_firsts[at[hot_first]] if hot_first.any() else 0
 
     # (v w) of a document: those that nobody else has fall to the last line
-    _, one, of, own = np.unique(pair.astype(np.int64) * len(docs) + doc, return_index=True, return_inverse=True, return_counts=True)
+    _, one, of, own = np.unique(pair.astype(np.int64) * n_docs + doc, return_index=True, return_inverse=True, return_counts=True)
     elsewhere = np.where(v[one] == 0, 0, pair_total[pair[one]] - own)
     steps = np.where(v[one] == 0, own, own + np.bincount(of, weights=u != 0, minlength=len(own)))  # orders given up, over all occurrences
     back = np.flatnonzero(elsewhere <= 0)
     value = steps[back] * log_alpha - own[back] * np.log(np.maximum(s.total - own[back], 1))
-    key = w[one[back]] % np.uint64(settings.classes)
-    hot, at = find(key, s.hot_keys)
-    if hot.any():
-        value[hot] += own[back[hot]] * np.log(np.maximum(s.hot_key_counts[at[hot]] - own[back[hot]], 0.5))
-    sums = np.bincount(doc[one[back]], weights=value, minlength=len(docs)).astype(float)  # of integers over nothing
-    ask = back[~hot]
-    words = key[~hot], docs[doc[one[ask]]], own[ask]
+    key = w[one[back]]
+    known, at = find(key, s.frequent)
+    value[known] += own[back[known]] * np.log(np.maximum(s.counts[at[known]] - own[back[known]], 0.5))
+    sums = np.bincount(doc[one[back]], weights=value, minlength=n_docs).astype(float)  # of integers over nothing
+    ask = back[~known]
+    words = key[~known], doc[one[ask]], own[ask]
 
     # (u v w) of a document, of the pairs that others have
     rest = np.flatnonzero(elsewhere[of] > 0)
-    _, three, times = np.unique(triple[rest].astype(np.int64) * len(docs) + doc[rest], return_index=True, return_counts=True)
+    _, three, times = np.unique(triple[rest].astype(np.int64) * n_docs + doc[rest], return_index=True, return_counts=True)
     three = rest[three]
     seen = np.where(u[three] == 0, 0, triple_total[triple[three]] - times)
     high = seen > 0
-    known = context_total[context[three]]
+    follows = context_total[context[three]]
     pair_seen, pair_own = elsewhere[of[three]], own[of[three]]
     with np.errstate(divide="ignore", invalid="ignore"):
         low_value = np.log(pair_seen / np.maximum(first_total[first[three]] - pair_own, pair_seen)) + np.where(u[three] == 0, 0.0, log_alpha)
-        here = np.log(np.maximum(known - times, seen))
+        here = np.log(np.maximum(follows - times, seen))
         far = hot_first[first[three]]  # whose (u v) are counted elsewhere
         value = np.where(high, np.log(np.maximum(seen, 1)) - np.where(far, 0.0, here), low_value)
-    sums += np.bincount(doc[three], weights=times * value, minlength=len(docs))
+    sums += np.bincount(doc[three], weights=times * value, minlength=n_docs)
     wanted = three[high & far]
-    pairs = pair_ids(u[wanted], v[wanted]), docs[doc[wanted]], times[high & far], seen[high & far]
+    pairs = pair_ids(u[wanted], v[wanted]), doc[wanted], times[high & far], seen[high & far]
 
     # pairs that end in a hot word, as others may ask how often they go on
-    ends = find(w, s.hot_words)[0] & ~last & (v != 0)
+    ends = find(w, s.hot)[0] & ~last & (v != 0)
     ids, n = np.unique(pair_ids(v[ends], w[ends]), return_counts=True)
-    return Scored(docs, sums, words, pairs, (ids[n > 1], n[n > 1]))
+    return Scored(sums, words, pairs, (ids[n > 1], n[n > 1]))
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,6 +344,14 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         part = (mix(key + np.uint64(5)) % np.uint64(parts)).astype(np.int64)
         return runs(part, np.argsort(part, kind="stable"))
 
+    def middle(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What rows are dealt by: the middle word; with the last one where that is hot."""
+        by = v.copy()
+        both = find(v, sent.value.hot)[0] | (v == 0)
+        with np.errstate(over="ignore"):
+            by[both] = mix(v[both]) + w[both] * _STEP
+        return by
+
     def explode(batches):
         from pyspark import TaskContext
 
@@ -362,15 +380,11 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                 v[begins] = 0
                 u[1:] = v[:-1]
                 u[begins] = 0
-                by = v.copy()
-                both = find(v, sent.value.hot_words)[0] | (v == 0)
-                with np.errstate(over="ignore"):
-                    by[both] = mix(v[both]) + w[both] * _STEP
-                part = (mix(by + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+                part = (mix(middle(v, w) + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
                 place = doc | (last.astype(np.int64) << 15)
                 rows = [(k, number, pack_rows(u[o], v[o], w[o], place[o], sent.value.frequent)) for k, o in runs(part, np.argsort(part, kind="stable"))]
-                keys, counts = np.unique(w % np.uint64(settings.classes), return_counts=True)
-                rare = ~find(keys, sent.value.hot_keys)[0]
+                keys, counts = np.unique(w, return_counts=True)
+                rare = ~find(keys, sent.value.frequent)[0]
                 held.append((keys[rare], counts[rare]))
                 if sum(len(k) for k, _ in held) > HELD:
                     rows += sent_on()
@@ -394,11 +408,17 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         doc = np.concatenate([(f[3] & 0x7FFF) + (int(r) << 16) for f, r in zip(found, rank)])
         last = np.concatenate([f[3] >> 15 for f in found]).astype(bool)
         del found
-        got = score_rows(u, v, w, doc, last, sent.value, settings)
-        out = [(-1 - s, s, "sum", d) for s, d in zip(slices, pack_sums(slices, got.docs, got.sums))]
+        docs_, doc = np.unique(doc, return_inverse=True)
+        # a part of the middle words at a time, for small temporaries
+        chunk = (mix(middle(v, w) + np.uint64(13)) % np.uint64(CHUNKS)).astype(np.int8)
+        scored = [score_rows(u[o], v[o], w[o], doc[o], len(docs_), last[o], sent.value, settings) for o in (np.flatnonzero(chunk == k) for k in range(CHUNKS)) if len(o)]
+        del u, v, w, doc, last, chunk
+        got = Scored(sum(x.sums for x in scored), *(tuple(np.concatenate(y) for y in zip(*(getattr(x, name) for x in scored))) for name in ("words", "pairs", "counts")))
+        del scored
+        out = [(-1 - s, s, "sum", d) for s, d in zip(slices, pack_sums(slices, docs_, got.sums))]
         for kind, (key, asker, *numbers) in (("ask", got.words), ("pair ask", got.pairs)):
             by_doc = np.argsort(asker, kind="stable")
-            key, asker, numbers = key[by_doc], asker[by_doc], [x[by_doc] for x in numbers]
+            key, asker, numbers = key[by_doc], docs_[asker[by_doc]], [x[by_doc] for x in numbers]
             out += [(k, 0, kind, pack_asked(key[o], slices[asker[o] >> 16], asker[o] & 0xFFFF, *[x[o] for x in numbers])) for k, o in dealt(key)]
         out += [(k, 0, "pair count", pack_counts(got.counts[0][o], got.counts[1][o])) for k, o in dealt(got.counts[0])]
         return pd.DataFrame(out, columns=["to", "slice", "kind", "data"])

@@ -463,14 +463,10 @@ def test_huge_trusted_text_leaves_the_others(spark):
     assert not [r for r in kneser_ney.classify(d, ids, settings).collect() if r.doc_id == 1000][0].kept
 
 
-@pytest.mark.parametrize("settings", [backoff.Settings(classes=8, hot=4, words_per_partition=500, slice_bytes=300), backoff.Settings(hot=30, words_per_partition=200), backoff.Settings()])
+@pytest.mark.parametrize("settings", [backoff.Settings(hot=4, frequent=3, words_per_partition=500, slice_bytes=300), backoff.Settings(hot=30, frequent=0, words_per_partition=200), backoff.Settings(hot=2, frequent=200), backoff.Settings()])
 def test_backoff(docs, none, settings):
     rows = [(r.doc_id, r.text, words((r.text or "").lower())) for r in docs.collect()]
-    ids = {w: int(backoff.word_ids(pa.array([w]))[1][0]) for *_, ws in rows for w in ws}
     c1 = collections.Counter(w for *_, ws in rows for w in ws)
-    classes = collections.Counter()
-    for w, n in c1.items():
-        classes[ids[w] % settings.classes] += n
     c2 = collections.Counter(p for *_, ws in rows for p in zip(ws, ws[1:]))
     c3 = collections.Counter(p for *_, ws in rows for p in zip(ws, ws[1:], ws[2:]))
     f1 = collections.Counter(v for *_, ws in rows for v in ws[:-1])
@@ -489,7 +485,7 @@ def test_backoff(docs, none, settings):
             elif o2 > 0:
                 s += n * ((alpha if u is not None else 0) + math.log(o2 / max(f1[v] - m, o2)))
             else:
-                s += n * ((2 if u is not None else 1) * alpha + math.log(max(classes[ids[w] % settings.classes] - m, 0.5) / max(total - m, 1)))
+                s += n * ((2 if u is not None else 1) * alpha + math.log(max(c1[w] - m, 0.5) / max(total - m, 1)))
         want.append((i, len(ws), f"{s:.6f}" if ws else None))
     got = [(r.doc_id, r.n_words, None if r.log_score is None else f"{r.log_score:.6f}") for r in backoff.score(docs.repartition(3), settings).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
@@ -520,8 +516,8 @@ def test_backoff_counts_each_word(spark):
     common, rare = next((held[i], w) for w, i in zip(forms, ids.tolist()) if i in held or held.update({i: w}))
     rows = [(k, f"{common} f{k}") for k in range(50)] + [(50, rare), (51, "only here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (2, 4096):
-        got = {r.doc_id: r.log_score for r in backoff.score(docs.repartition(3), backoff.Settings(hot=hot)).collect()}
+    for hot, frequent in ((2, 0), (2, 5), (4096, 61_000)):
+        got = {r.doc_id: r.log_score for r in backoff.score(docs.repartition(3), backoff.Settings(hot=hot, frequent=frequent)).collect()}
         total = sum(len(t.split()) for _, t in rows)
         assert got[50] == pytest.approx(math.log(0.4 * 0.5 / (total - 1)))
         assert got[51] == pytest.approx(2 * math.log(0.4 * 0.5 / (total - 1)))
