@@ -37,15 +37,17 @@ WINDOW = 5
 _SYMBOLS = r"[^#*$%&|<>]+"
 
 
-def repeated_words(w: Column, window: int = WINDOW) -> Column:
-    """Words of an array that lie in a window of ``window`` words found twice or more.
+def _grams(h: Column, n: int, body) -> Column:
+    """body(hash) of each run of n elements of an array of hashes; h must be a lambda variable of n elements or more."""
+    return F.transform(F.slice(h, 1, F.size(h) - (n - 1)), lambda x, i: body(F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)])))
 
-    Windows are compared by a 64-bit hash of their words.  ``w`` is read once for each
-    element: it must be a lambda variable, see ``let``.
-    """
-    keyed = F.transform(w, lambda x, i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(window)]).alias("h"), i.alias("i")))
-    keyed = F.slice(keyed, 1, F.greatest(F.size(w) - (window - 1), F.lit(0)))
 
+def repeated_words(h: Column, window: int = WINDOW) -> Column:
+    """Words that lie in a window of ``window`` words found twice or more, of an array of words' hashes.
+
+    Windows are compared by a 64-bit hash of those; most texts repeat none, which one
+    look at the different ones tells.  ``h`` must be a lambda variable, see ``let``.
+    """
     def starts(s: Column) -> Column:
         # sorted by hash: a window is repeated if a neighbour has the same hash
         same = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
@@ -58,18 +60,22 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
             lambda a, x: a + x,
         )
 
-    return let(let(F.sort_array(keyed), starts), covered)
+    def count(a: Column) -> Column:
+        keyed = F.transform(a, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(a)) == F.size(a), F.lit(0).cast("long")).otherwise(let(let(F.sort_array(keyed), starts), covered))
+
+    return F.when(F.size(h) < window, F.lit(0).cast("long")).otherwise(let(_grams(h, window, lambda x: x), count))
 
 
 def ngram_buckets(w: Column, buckets: int) -> Column:
-    """Buckets of all words and all pairs of adjacent words of an array."""
+    """Buckets of all words and all pairs of adjacent words of an array, in lower case."""
 
-    def hashed(v: Column) -> Column:
-        one = F.transform(v, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-        two = F.transform(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(x, F.get(v, i + 1)), F.lit(buckets)).cast("int"))
-        return F.concat(one, two)
+    def hashed(h: Column) -> Column:
+        one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+        two = _grams(h, 2, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+        return F.when(F.size(h) > 1, F.concat(one, two)).otherwise(one)
 
-    return let(F.transform(w, lambda x: F.lower(x)), hashed)
+    return let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), hashed)
 
 
 def measures(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
@@ -82,7 +88,7 @@ def measures(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
+            let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_words(h)).alias("n_repeat_words"),
             F.aggregate(ngram_buckets(w, buckets), F.lit(0.0), lambda a, b: a + F.get(ratios, b)).alias("total"),
         )
 

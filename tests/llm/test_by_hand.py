@@ -15,10 +15,11 @@ from quillon.llm import backoff, bpe, embedding_dedup, jaccard, kneser_ney, mixi
 from tests.llm.test_llm import LONG, TEXTS, filled, groups, measured, prose, shingled, toxic_rows, words
 
 
-def spark_hash(*parts: str) -> int:
+def spark_hash(*parts: str | int) -> int:
+    """xxhash64 of texts or longs."""
     seed = 42
     for p in parts:
-        seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), seed)
     return seed - (1 << 64) if seed >> 63 else seed
 
 
@@ -26,8 +27,8 @@ def ratio_scores(rows, trusted, buckets):
     """id -> length-normalised log-likelihood ratio of words and pairs of (id, text) rows."""
 
     def grams(t):
-        w = [x.lower() for x in words(t)]
-        return [spark_hash(x) % buckets for x in w] + [spark_hash(a, b) % buckets for a, b in zip(w, w[1:])]
+        h = [spark_hash(x.lower()) for x in words(t)]
+        return [x % buckets for x in h] + [spark_hash(a, b) % buckets for a, b in zip(h, h[1:])]
 
     raw, good = collections.Counter(), collections.Counter()
     for i, t in rows:
