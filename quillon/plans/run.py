@@ -38,15 +38,22 @@ class Result:
         self.df, self.columns, self.types, self._pos, self._memory = df, columns, types, pos, memory
 
     def __iter__(self) -> Iterator[tuple]:
-        used = 0
+        """The rows as they come; under a memory bound all of them or, past it, an error and none."""
+        if self._memory is None:
+            yield from self._read()
+            return
+        held, used = [], 0
+        for values in self._read():
+            used += 24 * len(values) + sum(len(v) for v in values if isinstance(v, str | bytes))
+            if used > self._memory:
+                raise QueryMemory(f"the rows take more than {self._memory} bytes")
+            held.append(values)
+        yield from held
+
+    def _read(self) -> Iterator[tuple]:
         try:
             for row in self.df.toLocalIterator(prefetchPartitions=True):
-                values = tuple(bytes(v) if isinstance(v, bytearray) else v for v in row)
-                if self._memory is not None:
-                    used += 24 * len(values) + sum(len(v) for v in values if isinstance(v, str | bytes))
-                    if used > self._memory:
-                        raise QueryMemory(f"the rows take more than {self._memory} bytes")
-                yield values
+                yield tuple(bytes(v) if isinstance(v, bytearray) else v for v in row)
         except Exception as e:
             raised = translate(e, self._pos)
             if raised is e:

@@ -9,7 +9,7 @@ from quillon import database, dbapi
 from quillon.__main__ import main
 from quillon.database import ScanOptions
 from quillon.sources.files import Files
-from quillon.errors import CheckFailed, Corrupt, DuplicateKey, Exists, Locked, NotFound, NotNull, ReadOnly, SessionError, SqlError
+from quillon.errors import CheckFailed, Corrupt, DuplicateKey, Exists, Locked, NotFound, NotNull, QueryMemory, ReadOnly, SessionError, SqlError
 
 
 @pytest.fixture
@@ -156,6 +156,16 @@ def test_views_and_results_outlive_a_checkpoint(db):
     assert db.checkpoint(keep_seconds=3600) == 0
 
 
+def test_nothing_is_returned_past_the_memory_bound(db):
+    db.execute("CREATE TABLE t (a TEXT); INSERT INTO t VALUES " + ", ".join(["('0123456789')"] * 40))
+    db.query_memory = 700
+    seen = []
+    with pytest.raises(QueryMemory):
+        for row in db.query("SELECT a FROM t"):
+            seen.append(row)
+    assert not seen and len(rows(db, "SELECT a FROM t LIMIT 20")) == 20
+
+
 def test_a_writer_waits_for_another_thread(db):
     db.execute("CREATE TABLE t (a INTEGER)")
     first, seen = db.begin(), []
