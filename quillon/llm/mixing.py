@@ -131,17 +131,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = docs.columns
     sized = sizes(docs, id_col, text_col, source_col)
     laid = lay_out(checkpoint(sized), **how)
-    copies = (
-        laid.withColumn("taken", taken())
-        .filter("taken > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_h", "taken", "source_size", "target", "slope", "start")
-        .withColumn("_row", F.row_number().over(Window.partitionBy("_h", "_id", "_size", "_source").orderBy("start")))
-    )
-    rows = docs.select(F.struct(*[F.col(c) for c in own]).alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    # rows alike in id, source and size are told apart by their number among them
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(F.xxhash64("_id", "_size"), "_id", "_size", "_source").orderBy(F.col(f"_doc.{text_col}"))))
-    keys = ("_id", "_source", "_size", "_row")
-    joined = rows.join(copies.select(*[F.col(k).alias(f"c{k}") for k in keys], "taken", "source_size", "target", "slope", "start"), [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in keys[:2]] + [F.col(k) == F.col(f"c{k}") for k in keys[2:]])
+    plan = F.struct("taken", "source_size", "target", "slope", "start")
+    copies = laid.withColumn("taken", taken()).filter("taken > 0").select(F.struct("doc_id", "source", "size").alias("_key"), plan.alias("_plan"))
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).alias("_key"), F.struct(*[F.col(c) for c in own]).alias("_doc"))
+    # one shuffle of the texts: rows and plans meet by key, and rows alike in id, source and size by their number among them
+    both = rows.withColumn("_is_row", F.lit(True)).unionByName(copies.withColumn("_is_row", F.lit(False)), allowMissingColumns=True).repartition("_key")
+    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_is_row").orderBy("_plan.start", F.col(f"_doc.{text_col}"))))
+    both = both.withColumn("_plan", F.first("_plan", ignorenulls=True).over(Window.partitionBy("_key", "_n").orderBy("_is_row")))
+    joined = both.filter("_is_row AND _plan IS NOT NULL").select("_doc", F.col("_key.doc_id").alias("_id"), F.col("_key.size").alias("_size"), "_plan.*")
     each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("_size")).cast("int") - 1)))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_copy") * F.col("_size"))
     each = each.withColumn("_words", words).withColumn("_at", position(F.col("start") + F.col("_copy") * F.col("source_size")))
