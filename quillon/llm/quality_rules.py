@@ -1,17 +1,17 @@
 """Rule filter and hashed n-gram likelihood ratio, in DataFrame functions only.
 
 Method: words (lower case) and pairs of adjacent words are hashed into ``buckets``.
-Two multinomials over the buckets are counted: one from trusted documents (a bounded
-sample, at most ``trusted_documents`` labelled good, in hash order of their ids), one
-from all documents.  A document's score is the sum over its n-grams of
+Two multinomials over the buckets are counted: one from all trusted documents (labelled
+good), one from all documents.  A document's score is the sum over its n-grams of
 log(p_trusted / p_raw), divided by their number; p_trusted is smoothed with ``PRIOR``
 pseudo-counts a bucket, shared out as in p_raw, so small samples give ratios near 0; every document is kept or not by
 comparing that score with a fixed threshold, so reruns decide alike.  Rules on counts
 of words, symbols and repetitions come first.
 
-Scale: two passes over the texts and no shuffle of them (to count all trusted documents
-would take one beyond what can be broadcast).  Counting shuffles at most two rows per
-bucket and task; the ratios are an array of ``buckets`` doubles that
+Scale: two passes over the texts.  The ids of trusted documents are joined with the texts
+as Spark sees fit: sent to all tasks while they are few (spark.sql.autoBroadcastJoinThreshold),
+else texts are shuffled once by id, whole and not yet split.  Counting shuffles at most one row
+per bucket and task; the ratios are an array of ``buckets`` doubles that
 reaches the executors as a scalar subquery.  All work on a text is linear or n log n
 in its length (repeated windows are found by sorting their hashes), inside one row.
 
@@ -32,7 +32,6 @@ from quillon.llm.common import let, words
 BUCKETS = 10_000
 THRESHOLD = -0.08
 PRIOR = 5
-TRUSTED = 50_000
 WINDOW = 5
 _SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -95,16 +94,15 @@ def measures(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
     return let(words(text), of_words)
 
 
-def trusted_ids(labels: DataFrame, most: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """At most ``most`` ids of documents labelled good, by the order of a hash."""
-    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_trusted")).filter("_trusted IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The ids of all documents labelled good."""
+    return labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_trusted")).filter("_trusted IS NOT NULL").distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, one array: log(p_trusted / p_raw) of each bucket, smoothed."""
-    marked = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col).cast("string")).alias("_w")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")  # bounded by trusted_documents
-    grams = marked.select(F.col("_trusted").isNotNull().cast("int").alias("_t"), F.explode(ngram_buckets(F.col("_w"), buckets)).alias("b"))
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(trusted, F.col("_id") == F.col("_trusted"), "left")
+    grams = marked.select(F.col("_trusted").isNotNull().cast("int").alias("_t"), F.explode(ngram_buckets(words(F.col("_text")), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     one = every.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
@@ -117,9 +115,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_c
     return one.select(F.transform("c", ratio).alias("ratios"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_documents: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the counts, base_failed, kept and score of every document, and the columns named in ``keep``."""
-    ratios = log_ratios(docs, trusted_ids(labels, trusted_documents, id_col), buckets, id_col, text_col).scalar()
+    ratios = log_ratios(docs, trusted_ids(labels, id_col), buckets, id_col, text_col).scalar()
     text = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep).withColumn("_ratios", ratios)

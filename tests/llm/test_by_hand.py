@@ -69,6 +69,22 @@ def test_likelihood_ratio(spark, buckets):
         assert collections.Counter(r.doc_id for r in quality_rules.filter_documents(docs, labels).collect()) == kept
 
 
+def test_ratios_count_every_trusted_document(spark):
+    """Of 60,000 documents labelled good, those that come last in any order by hash are counted like the first."""
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
+    late = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id").desc()).limit(30).collect()]
+    rows = [(i, prose(40, i)) for i in late] + [(100_000 + k, " ".join(f"w{j}" for j in range(k, k + 40))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_rules.judge(docs, labels, buckets=64).collect()}
+    assert got == pytest.approx(dict(ratio_scores(rows, set(late), 64)), rel=1e-9, abs=1e-12)
+    whole = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the join that shuffles texts
+    try:
+        assert got == pytest.approx({r.doc_id: r.score for r in quality_rules.judge(docs, labels, buckets=64).collect()}, rel=1e-9, abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", whole)
+
+
 def test_toxicity_score_by_hand():
     train = toxic_rows(120, 4)
     model = toxicity.fit([t for _, t, _ in train], np.array([y for *_, y in train]))
