@@ -13,7 +13,9 @@ length are rejected: a language's trusted documents are cut by length into up to
 ``lengths`` classes of equal size, ``least`` documents at least, as the mean over few words
 varies more than that over many.
 
-Scale: the model is fitted on at most ``per_language`` labelled documents of each of
+Scale: ``classify`` without settings, as the query calls it, fits on all trusted documents
+but the held fifth and looks up in partitioned tables (``kneser_ney_whole``).  A model to be
+kept as arrays, or settings that are given, is fitted on at most ``per_language`` labelled documents of each of
 at most ``languages`` languages (those with most trusted documents) and ``train_words``
 words in all, of which each language has its own share: bounded by these parameters,
 and so are its tables (at most ``order`` rows a word), whose shards go to all executors,
@@ -42,6 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import kneser_ney_whole
 from quillon.llm.common import checkpoint, give_back, text_slices
 from quillon.llm.shingles import mix, word_hashes
 
@@ -282,10 +285,11 @@ def scored(docs: DataFrame, tables: list[Table], unknown: float, id_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "doc_id long, _lang string, _value double, _words long")
 
 
-def limits_of(scores: DataFrame, labels: DataFrame, fitted: DataFrame, settings: Settings, id_col: str = "doc_id") -> dict:
-    """The quantiles of each language, and of all, by classes of length, over all trusted documents not fitted on."""
-    own = scores.join(good_ids(labels, id_col).select(F.col("_id").alias("doc_id")), "doc_id").filter(~F.isnan("_value"))
-    own = checkpoint(own.join(F.broadcast(fitted.select(F.col("_id").alias("doc_id")).distinct()), "doc_id", "left_anti").select("_lang", "_value", "_words"))
+def limits_of(scores: DataFrame, labels: DataFrame, fitted: DataFrame | None, settings: Settings, id_col: str = "doc_id") -> dict:
+    """The quantiles of each language, and of all, by classes of length, over all trusted documents not fitted on (fitted; None: all but the held ones)."""
+    own = scores.join(good_ids(labels, id_col).select(F.col("_id").alias("doc_id"), "_held"), "doc_id").filter(~F.isnan("_value"))
+    own = own.filter("_held") if fitted is None else own.join(F.broadcast(fitted.select(F.col("_id").alias("doc_id")).distinct()), "doc_id", "left_anti")
+    own = checkpoint(own.select("_lang", "_value", "_words"))
     limits: dict = {}
     cuts = [k / settings.lengths for k in range(1, settings.lengths)]
     for rows, key in ((own.withColumn("_k", F.lit("all")), lambda k: None), (own.withColumn("_k", F.concat(F.lit("="), F.coalesce("_lang", F.lit("")), F.col("_lang").isNull().cast("string"))), lambda k: k)):
@@ -341,7 +345,14 @@ def judge(docs: DataFrame, model: Model, **columns) -> DataFrame:
     return decide(scored(docs, model.tables, model.unknown, **columns), model)
 
 
-def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), **columns) -> DataFrame:
-    """Train and judge the same documents, each scored once."""
-    model, scores = _train(docs, labels, settings, columns)
-    return decide(scores, model)
+def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, **columns) -> DataFrame:
+    """Train and judge the same documents, each scored once; without settings, by a model of all trusted documents but the held fifth."""
+    if settings is not None:
+        model, scores = _train(docs, labels, settings, columns)
+        return decide(scores, model)
+    id_col, text_col, lang_col = (columns.get(c, name) for c, name in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang")))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    fitted = good_ids(labels, id_col).filter("NOT _held").select(F.col("_id").cast("long").alias("_good"))
+    marked = source.join(fitted, F.col("doc_id") == F.col("_good"), "left").select("doc_id", "_lang", "_text", F.col("_good").isNotNull().alias("_fit"))
+    scores = checkpoint(kneser_ney_whole.score(source.select("_text"), marked, discounts).hint("rebalance"))
+    return decide(scores, Model([], 1.0, limits_of(scores, labels, None, Settings(), id_col)))

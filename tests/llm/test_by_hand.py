@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import backoff, bpe, embedding_dedup, jaccard, kneser_ney, mixing, packing, quality_rules, queries, sharding, token_counts, toxicity
-from tests.llm.test_llm import LONG, TEXTS, filled, groups, measured, prose, shingled, toxic_rows, words
+from quillon.llm import backoff, bpe, embedding_dedup, jaccard, kneser_ney, kneser_ney_whole, mixing, packing, quality_rules, queries, sharding, token_counts, toxicity
+from tests.llm.test_llm import LONG, TEXTS, filled, groups, kneser_ney_by_hand, measured, prose, shingled, toxic_rows, words
 
 
 def spark_hash(*parts: str | int) -> int:
@@ -271,3 +271,28 @@ def test_components_do_not_keep_rounds(spark):
 def test_sharding_query_keeps_all_rows(spark):
     assert queries.op2_sharding(spark, "/root/testdata/sf0.001").count() == 200
     assert issubclass(sharding.ConflictError, RuntimeError)
+
+
+def test_quality_model_of_every_trusted_document(spark):
+    """1,500 trusted documents of one language, more than a sample of 1,000: perplexities are those of a model of all that aren't held."""
+    rows = [(k, " ".join(np.random.default_rng(k).choice([f"w{j}" for j in range(40)], 12))) for k in range(1500)]
+    rows += [(5000 + k, t) for k, t in enumerate(["w1 w2 never seen", "one", "", None, rows[7][1], rows[8][1][:20]])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.range(1500).selectExpr("id AS doc_id", "1 AS quality")
+    held = {r["_id"] for r in kneser_ney.good_ids(labels).collect() if r["_held"]}
+    score = kneser_ney_by_hand([t for i, t in rows if i < 1500 and i not in held])
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
+    assert len(got) == len(rows) and got[5002].perplexity is None and got[5003].perplexity is None
+    for i, t in rows[::100] + rows[1500:]:
+        if t:
+            assert math.log(got[i].perplexity) == pytest.approx(score(t), rel=1e-9)
+
+
+def test_quality_model_in_many_partitions(spark):
+    """The same with hot words whose contexts lie apart, several partitions and slices."""
+    rows = [(k, prose(30, k) + " the of the " * (k % 3)) for k in range(40)]
+    marked = spark.createDataFrame([(i, "en", t, i % 2 == 0) for i, t in rows], "doc_id long, _lang string, _text string, _fit boolean")
+    settings = backoff.Settings(hot=30, frequent=5, words_per_partition=200, slice_bytes=500)
+    score = kneser_ney_by_hand([t for i, t in rows if i % 2 == 0])
+    got = {r.doc_id: r["_value"] for r in kneser_ney_whole.score(marked.select("_text"), marked, kneser_ney.discounts, settings).collect()}
+    assert got == pytest.approx({i: score(t) for i, t in rows}, rel=1e-9)
