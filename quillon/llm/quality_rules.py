@@ -8,9 +8,8 @@ pseudo-counts a bucket, shared out as in p_raw, so small samples give ratios nea
 comparing that score with a fixed threshold, so reruns decide alike.  Rules on counts
 of words, symbols and repetitions come first.
 
-Scale: two passes over the texts.  The ids of trusted documents are joined with the texts
-as Spark sees fit: sent to all tasks while they are few (spark.sql.autoBroadcastJoinThreshold),
-else texts are shuffled once by id, whole and not yet split.  Counting shuffles at most one row
+Scale: three passes over the texts.  Those of trusted documents are told by ``membership``, which
+shuffles ids, and texts only where hashes of ids leave it open.  Counting shuffles at most one row
 per bucket and task; the ratios are an array of ``buckets`` doubles that
 reaches the executors as a scalar subquery.  All work on a text is linear or n log n
 in its length (repeated windows are found by sorting their hashes), inside one row.
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import let, words
+from quillon.llm.membership import marked
 
 BUCKETS = 10_000
 THRESHOLD = -0.08
@@ -101,8 +101,8 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, one array: log(p_trusted / p_raw) of each bucket, smoothed."""
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(trusted, F.col("_id") == F.col("_trusted"), "left")
-    grams = marked.select(F.col("_trusted").isNotNull().cast("int").alias("_t"), F.explode(ngram_buckets(words(F.col("_text")), buckets)).alias("b"))
+    texts = marked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), trusted)
+    grams = texts.select(F.col("_in").cast("int").alias("_t"), F.explode(ngram_buckets(words(F.col("_text")), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     one = every.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import backoff, bpe, embedding_dedup, jaccard, kneser_ney, kneser_ney_whole, mixing, packing, quality_rules, queries, sharding, token_counts, toxicity
+from quillon.llm import backoff, bpe, embedding_dedup, jaccard, kneser_ney, kneser_ney_whole, membership, mixing, packing, quality_rules, queries, sharding, token_counts, toxicity
 from tests.llm.test_llm import LONG, TEXTS, filled, groups, kneser_ney_by_hand, measured, prose, shingled, toxic_rows, words
 
 
@@ -85,6 +85,47 @@ def test_ratios_count_every_trusted_document(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", whole)
 
 
+@pytest.mark.parametrize("words_", [1, 64, membership.WORDS])
+@pytest.mark.parametrize("of, told", [("long", "long"), ("string", "string"), ("int", "long"), ("string", "long")])
+def test_membership(spark, words_, of, told):
+    """However many places there are, and whatever the types, marks are those of a join by id."""
+    rows = spark.createDataFrame([(k % 900 if k else None, str(k)) for k in range(1000)], "k long, _text string").select(F.col("k").cast(of).alias("_id"), "_text")
+    ids = spark.range(0, 1200, 3).select(F.col("id").cast(told))
+    got = membership.marked(rows, ids, words_)
+    assert got.columns == ["_id", "_text", "_in"]
+    assert sorted((int(r._text), r._in) for r in got.collect()) == [(k, k > 0 and k % 900 % 3 == 0) for k in range(1000)]
+    assert not membership.marked(rows, ids.limit(0), words_).filter("_in").count()
+
+
+def shuffled(spark, run):
+    """Bytes that run() writes to shuffles."""
+
+    context = spark.sparkContext
+    none, no_numbers = context._jvm.java.util.ArrayList(), context._gateway.new_array(context._jvm.double, 0)
+
+    def written():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(none, False, False, no_numbers, none)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_ratios_shuffle_no_texts(spark):
+    """However many documents are trusted, ids are shuffled, not texts."""
+    rows = [(i, prose(2000, i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(200).selectExpr("id AS doc_id", "1 AS quality")
+    whole = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert shuffled(spark, lambda: quality_rules.judge(docs, labels, buckets=64).collect()) < 0.1 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", whole)
+
+
 def test_toxicity_score_by_hand():
     train = toxic_rows(120, 4)
     model = toxicity.fit([t for _, t, _ in train], np.array([y for *_, y in train]))
