@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kneser_ney_whole
 from quillon.llm.common import checkpoint, give_back, text_slices
+from quillon.llm.membership import marked
 from quillon.llm.shingles import mix, word_hashes
 
 _START = np.uint64(0x5354415254)
@@ -353,6 +354,6 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     id_col, text_col, lang_col = (columns.get(c, name) for c, name in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang")))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     fitted = good_ids(labels, id_col).filter("NOT _held").select(F.col("_id").cast("long").alias("_good"))
-    marked = source.join(fitted, F.col("doc_id") == F.col("_good"), "left").select("doc_id", "_lang", "_text", F.col("_good").isNotNull().alias("_fit"))
-    scores = checkpoint(kneser_ney_whole.score(source.select("_text"), marked, discounts).hint("rebalance"))
+    trust = marked(source.withColumnRenamed("doc_id", "_id"), fitted.distinct()).select(F.col("_id").alias("doc_id"), "_lang", "_text", F.col("_in").alias("_fit"))
+    scores = checkpoint(kneser_ney_whole.score(source.select("_text"), trust, discounts).hint("rebalance"))
     return decide(scores, Model([], 1.0, limits_of(scores, labels, None, Settings(), id_col)))

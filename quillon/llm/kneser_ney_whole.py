@@ -10,13 +10,18 @@ counts of counts go to the driver: at most ``hot`` + 1 and 12 rows of numbers.
 all that the probabilities of its rows are made of; their logarithms are summed by document.
 
 Scale: all tables grow with the texts and are partitioned by hash; partitions have some ``words_per_partition`` rows.
-Rows are shuffled twice, to be counted and to be scored, packed to some 8 bytes a word.
+Rows are shuffled twice, to be counted and to be scored, packed to some 8 bytes a word; of the partitions, one in
+``rounds`` at a time, for which texts are split again, so that no more than that share of the rows lies on disk.  What
+a round leaves are tables: counts and what is asked for, then a sum for each document.
 
 Cases: as in ``kneser_ney``; words are compared by 48-bit hashes; without texts to fit on every probability is 1.
+As a later round may read documents in another order, their sums meet by id, language, number of words and a 64-bit hash
+of the row; rows that are equal have one sum, and are as many as they were.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Callable
 
@@ -24,19 +29,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillon.llm import backoff
 from quillon.llm.backoff import find
-from quillon.llm.common import checkpoint, text_slices
+from quillon.llm.common import delete, text_slices, written
 from quillon.llm.shingles import mix
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+ROUNDS = 4
 
 
 def pack(*arrays) -> bytes:
     return pickle.dumps(arrays, 5)
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
+
+
 def pair_names(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(mix(v) + w * _STEP)
@@ -114,21 +126,24 @@ def log_probabilities(u, v, w, counts: Counts, hot: np.ndarray, contexts, firsts
     return np.log(p)
 
 
-def score(source: DataFrame, marked: DataFrame, discounts: Callable[[list[int]], list[float]], settings: backoff.Settings = backoff.Settings()) -> DataFrame:
+def score(source: DataFrame, marked: DataFrame, discounts: Callable[[list[int]], list[float]], settings: backoff.Settings = backoff.Settings(), rounds: int = ROUNDS) -> DataFrame:
     """doc_id, _lang, _value (log perplexity, NaN without words), _words of ``marked`` (doc_id, _lang, _text, _fit); source: its texts alone."""
+    spark = source.sparkSession
     known = backoff.shares(source, settings)
     parts = max(1, -(-known.total // settings.words_per_partition))
+    rounds = min(rounds, parts)
     hot = np.union1d(known.hot, np.zeros(1, np.uint64))  # 0 stands before a text
-    sent = source.sparkSession.sparkContext.broadcast((known.frequent, hot))  # bounded by Settings
+    sent = spark.sparkContext.broadcast((known.frequent, hot))  # bounded by Settings
 
-    def dealt(keys: np.ndarray, salt: int):
-        """(partition, rows) of each partition that has some."""
+    def dealt(keys: np.ndarray, salt: int, turn: int | None = None):
+        """(partition, rows) of each partition that has some; of a round's partitions where that is given."""
         part = (mix(keys + np.uint64(salt)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        own = np.arange(len(part)) if turn is None else np.flatnonzero(part % rounds == turn)
+        order = own[np.argsort(part[own], kind="stable")]
         starts = np.flatnonzero(np.diff(part[order], prepend=-1))
         return [(int(part[order[a]]), order[a:b]) for a, b in zip(starts, np.append(starts[1:], len(order)))]
 
-    def explode(batches):
+    def explode(batches, turn: int, heads: bool):
         from pyspark import TaskContext
 
         frequent, hot = sent.value
@@ -136,7 +151,7 @@ def score(source: DataFrame, marked: DataFrame, discounts: Callable[[list[int]],
         for batch in batches:
             done = 0
             for texts in text_slices(batch.column(2), settings.slice_bytes, 1 << 15):
-                ids, lang, fit = (batch.column(k).slice(done, len(texts)) for k in (0, 1, 3))
+                ids, lang, fit, names = (batch.column(k).slice(done, len(texts)) for k in (0, 1, 3, 4))
                 done += len(texts)
                 n, w = backoff.word_ids(texts)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -147,35 +162,35 @@ def score(source: DataFrame, marked: DataFrame, discounts: Callable[[list[int]],
                 u[1:] = v[:-1]
                 u[begins] = 0
                 place = doc | (np.repeat(fit.to_numpy(zero_copy_only=False).astype(np.int64), n) << 15)
-                rows = [(k, number, backoff.pack_rows(u[o], v[o], w[o], place[o], frequent)) for k, o in dealt(middle(v, w, hot), 3)]
-                rows.append((-1 - number % parts, number, pack(n.astype(np.int64), ids.to_pylist(), lang.to_pylist())))
+                rows = [(k, number, backoff.pack_rows(u[o], v[o], w[o], place[o], frequent)) for k, o in dealt(middle(v, w, hot), 3, turn)]
+                if heads:
+                    rows.append((-1 - number % parts, number, pack(n.astype(np.int64), ids.to_pylist(), lang.to_pylist(), names.to_numpy())))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["part", "slice", "data"])
 
     def rows_of(pdf: pd.DataFrame):
-        """(slices, u, v, w, document as (rank of its slice << 16) + place, fitted on) of a partition, a part of the middle words at a time."""
+        """(slices, document as (rank of its slice << 16) + place, parts) of a partition; of a part of the middle words at a time u, v, w, which rows, fitted on."""
         pdf = pdf.sort_values("slice")
         found = [backoff.unpack_rows(d, sent.value[0]) for d in pdf["data"]]
         u, v, w = (np.concatenate([f[k] for f in found]) for k in range(3))
         doc = np.concatenate([(f[3] & 0x7FFF) + (r << 16) for r, f in enumerate(found)])
         fit = np.concatenate([f[3] >> 15 for f in found]).astype(bool)
+        del found
         chunk = (mix(middle(v, w, sent.value[1]) + np.uint64(13)) % np.uint64(backoff.CHUNKS)).astype(np.int8)
-        return pdf["slice"].to_numpy(), [(u[o], v[o], w[o], doc[o], fit[o]) for o in (np.flatnonzero(chunk == k) for k in range(backoff.CHUNKS))]
+        return pdf["slice"].to_numpy(), doc, ((u[o], v[o], w[o], o, fit[o]) for o in (np.flatnonzero(chunk == k) for k in range(backoff.CHUNKS)))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         """Counts that tables are made of, and what the partition asks them for."""
         part = int(pdf["part"].iloc[0])
-        if part < 0:
-            return pd.DataFrame({"to": [], "part": [], "kind": [], "data": []})
         hot, out, low, asked = sent.value[1], [], np.zeros((2, 4), np.int64), []
-        for u, v, w, _, fit in rows_of(pdf)[1]:
+        for u, v, w, _, fit in rows_of(pdf)[2]:
             c = Counts(u[fit], v[fit], w[fit])
             low += np.stack([few(c.c2), few(c.c3)])
             far = find(c.context_v, hot)[0]
             first = find(c.first, hot)[0]
             last = totals(c.last, np.ones(len(c.last), np.int64))
             for kind, (keys, x) in (("word", last), ("context", totals(c.contexts[far], c.c3[far])), ("first", totals(c.first[first], c.c2[first]))):
-                out += [(k, part, kind, pack(keys[o], x[o])) for k, o in dealt(keys, 5)]
+                out += [(k, part, kind, pack(keys[o], small(x[o]))) for k, o in dealt(keys, 5)]
             far = find(v, hot)[0]
             asked.append((np.unique(w), np.unique(context_names(u[far], v[far]))))
         for kind, keys in zip(("word", "context"), (np.unique(np.concatenate(x)) for x in zip(*asked))):
@@ -195,19 +210,31 @@ def score(source: DataFrame, marked: DataFrame, discounts: Callable[[list[int]],
         for kind, table in (("word", (words[0], c1)), ("context", contexts)):
             mine = pdf[pdf["kind"] == kind + " ask"]
             for part, (keys,) in zip(mine["part"], map(pickle.loads, mine["data"])):
-                out.append((part, kind, pack(keys, looked_up(keys, *table))))
+                out.append((part, kind, pack(keys, small(looked_up(keys, *table)))))
         out.append((-1, "driver", pack(low, more, *firsts)))
         return pd.DataFrame(out, columns=["part", "kind", "data"])
 
-    packed = marked.mapInArrow(explode, "part long, slice long, data binary")
-    counted = packed.filter("part >= 0").groupBy("part").applyInPandas(count, "to long, part long, kind string, data binary")
-    answers = checkpoint(counted.groupBy("to").applyInPandas(answer, "part long, kind string, data binary"))
+    named = marked.select("doc_id", "_lang", "_text", "_fit", F.xxhash64("doc_id", "_lang", "_text", *[F.col(c).isNull() for c in ("doc_id", "_lang", "_text")]).alias("_name"))
+
+    def packed(turn: int, heads: bool) -> DataFrame:
+        return named.mapInArrow(functools.partial(explode, turn=turn, heads=heads), "part long, slice long, data binary")
+
+    def kept(rows: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+        """The rows as a table; the JVM removes the shuffles that made it when it finds that nothing refers to them, no variable here either."""
+        table = written(rows(), name)
+        spark.sparkContext._jvm.System.gc()
+        return table
+
+    counted = [kept(lambda k=k: packed(k, False).groupBy("part").applyInPandas(count, "to long, part long, kind string, data binary"), "counts") for k in range(rounds)]
+    answers, answers_at = kept(lambda: functools.reduce(DataFrame.unionAll, [t for t, _ in counted]).groupBy("to").applyInPandas(answer, "part long, kind string, data binary"), "answers")
+    for _, at in counted:
+        delete(spark, at)
     got = [pickle.loads(r["data"]) for r in answers.filter("part = -1").collect()]  # a few numbers a partition, and hot words once
     low, more = sum((g[0] for g in got), np.zeros((3, 4), np.int64)), sum((g[1] for g in got), np.zeros(3, np.int64))
     d = [discounts([int(x) for x in few_]) for few_ in low]
     mass = d[0][0] * low[0, 0] + d[0][1] * low[0, 1] + d[0][2] * more[2]
     total = int(more[0])
-    sent_model = source.sparkSession.sparkContext.broadcast(((d, total, mass / total / (int(more[1]) + 1) if total else 1.0), summed([(g[2], g[3]) for g in got])))
+    sent_model = spark.sparkContext.broadcast(((d, total, mass / total / (int(more[1]) + 1) if total else 1.0), summed([(g[2], g[3]) for g in got])))
 
     def evaluate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Sums of log probabilities by slice and document; who the documents are passes."""
@@ -225,21 +252,33 @@ def score(source: DataFrame, marked: DataFrame, discounts: Callable[[list[int]],
             return keys[order], values[order]
 
         words, contexts = table("word", ()), table("context", (4,))
-        slices, chunks = rows_of(left)
-        docs, at = np.unique(np.concatenate([c[3] for c in chunks]), return_inverse=True)
-        value = np.concatenate([log_probabilities(u, v, w, Counts(u[fit], v[fit], w[fit]), sent.value[1], contexts, firsts, words, model) for u, v, w, _, fit in chunks])
-        sums = np.bincount(at, weights=value, minlength=len(docs))
+        slices, doc, chunks = rows_of(left)
+        docs, at = np.unique(doc, return_inverse=True)
+        sums = np.zeros(len(docs))
+        for u, v, w, o, fit in chunks:
+            sums += np.bincount(at[o], weights=log_probabilities(u, v, w, Counts(u[fit], v[fit], w[fit]), sent.value[1], contexts, firsts, words, model), minlength=len(docs))
         return pd.DataFrame({"slice": slices, "part": part, "data": backoff.pack_sums(slices, docs, sums)})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")  # in the same order each time: the head first
-        n, ids, lang = pickle.loads(pdf["data"].iloc[0])
+        n, ids, lang, names = pickle.loads(pdf["data"].iloc[0])
         total = np.zeros(len(n))
         for data in pdf["data"].iloc[1:]:
             backoff.add_sums(total, data)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "_lang": lang, "_value": -total / n, "_words": n, "_none": n == 0})
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "_lang": lang, "_words": n, "_name": names, "_sum": total})
+
+    def scored(turn: int) -> DataFrame:
+        """Sums over the partitions of a round."""
+        asked = answers.filter(f"part >= 0 AND part % {rounds} = {turn}")
+
+        def sums() -> DataFrame:
+            own = packed(turn, True).groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(evaluate, "slice long, part long, data binary")
+            return own.groupBy("slice").applyInPandas(gather, "doc_id long, _lang string, _words long, _name long, _sum double")
+
+        return kept(sums, "sums")[0]
 
-    sums = packed.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part")).applyInPandas(evaluate, "slice long, part long, data binary")
-    out = sums.groupBy("slice").applyInPandas(gather, "doc_id long, _lang string, _value double, _words long, _none boolean")
-    return out.selectExpr("doc_id", "_lang", "CASE WHEN _none THEN double('NaN') ELSE _value END AS _value", "_words")
+    sums = functools.reduce(DataFrame.unionAll, [scored(k).withColumn("_turn", F.lit(k)) for k in range(rounds)])
+    delete(spark, answers_at)
+    per = sums.groupBy("doc_id", "_lang", "_words", "_name").agg(F.sum((F.col("_turn") == 0).cast("int")).cast("int").alias("_times"), *[F.max(F.when(F.col("_turn") == k, F.col("_sum"))).alias(f"_sum{k}") for k in range(rounds)])
+    total = " + ".join(f"_sum{k}" for k in range(rounds))
+    return per.select("doc_id", "_lang", F.expr(f"CASE WHEN _words = 0 THEN double('NaN') ELSE -({total}) / _words END").alias("_value"), "_words", F.expr("explode(array_repeat(0, _times))")).drop("col")

@@ -329,6 +329,32 @@ def test_quality_model_of_every_trusted_document(spark):
             assert math.log(got[i].perplexity) == pytest.approx(score(t), rel=1e-9)
 
 
+def test_quality_model_shuffles_no_texts(spark, monkeypatch):
+    """Rows with equal ids, equal rows and nulls keep their scores over the rounds; what one shuffle holds is a share of the rows, and no texts are dealt by id."""
+    rows = [(k % 50, prose(30, k)) for k in range(60)] + [(7, "a b a b"), (7, "a b a b"), (None, "a b"), (None, "a b"), (8, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, "en", t, i is not None and i % 2 == 0) for i, t in rows], "doc_id long, _lang string, _text string, _fit boolean")
+    settings = backoff.Settings(hot=30, frequent=5, words_per_partition=200, slice_bytes=500)
+    one, three = (sorted((str(r.doc_id), str(r["_words"]), f"{r['_value']:.9f}") for r in kneser_ney_whole.score(docs.select("_text"), docs, kneser_ney.discounts, settings, k).collect()) for k in (1, 3))
+    by_hand = kneser_ney_by_hand([t for i, t in rows if i is not None and i % 2 == 0 and t])
+    assert one == three == sorted((str(i), str(len(words(t or ""))), f"{by_hand(t) if t else math.nan:.9f}") for i, t in rows)
+    seen = []
+
+    def score(source, trust, *_):
+        seen.append(trust)
+        return trust.selectExpr("doc_id", "_lang", "1D AS _value", "1L AS _words")
+
+    monkeypatch.setattr(kneser_ney_whole, "score", score)
+    texts = [(i, prose(2000, i), "en") for i in range(400)]
+    labels = spark.range(200).selectExpr("id AS doc_id", "1 AS quality")
+    whole = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kneser_ney.classify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), labels)
+        assert shuffled(spark, lambda: seen[0].agg(F.sum(F.length("_text"))).collect()) < 0.1 * sum(len(t) for _, t, _ in texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", whole)
+
+
 def test_quality_model_in_many_partitions(spark):
     """The same with hot words whose contexts lie apart, several partitions and slices."""
     rows = [(k, prose(30, k) + " the of the " * (k % 3)) for k in range(40)]
