@@ -43,7 +43,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,19 +194,16 @@ def add_sums(total: np.ndarray, data: bytes) -> None:
     total[np.frombuffer(data, "<u2", k, 4)] += np.frombuffer(data, "<f8", k, 4 + 2 * k)
 
 
-def shares(texts: DataFrame, settings: Settings) -> Shares:
-    """Two passes: counts by screen class, and frequent words of a sample; then exact counts of those and of the words of the fullest classes."""
-    spark, screen = texts.sparkSession, settings.screen
-
-    def class_of(w: np.ndarray) -> np.ndarray:
-        return (w % np.uint64(screen)).astype(np.int64)
+def screened(texts: DataFrame, settings: Settings, word_ids: Callable = word_ids) -> tuple[np.ndarray, np.ndarray]:
+    """One pass: (words in each screen class, frequent words of a sample, sorted)."""
+    screen = settings.screen
 
     def by_class(batches):
         held, drawn = np.zeros(screen, np.int64), []
         for batch in batches:
             for t in text_slices(batch.column(0)):
                 w = word_ids(t)[1]
-                held += np.bincount(class_of(w), minlength=screen)
+                held += np.bincount((w % np.uint64(screen)).astype(np.int64), minlength=screen)
                 if len(drawn) < SAMPLE:
                     drawn.append(w)
         at = np.flatnonzero(held)
@@ -221,9 +218,20 @@ def shares(texts: DataFrame, settings: Settings) -> Shares:
     most = np.lexsort((often["k"].to_numpy(), -often["c"].to_numpy()))[: settings.frequent]
     table = np.zeros(screen, np.int64)
     table[by_screen["k"].to_numpy()] = by_screen["c"].to_numpy()
+    return table, np.sort(often["k"].to_numpy()[most]).astype(np.uint64)
+
+
+def shares(texts: DataFrame, settings: Settings) -> Shares:
+    """Two passes: counts by screen class, and frequent words of a sample; then exact counts of those and of the words of the fullest classes."""
+    spark, screen = texts.sparkSession, settings.screen
+
+    def class_of(w: np.ndarray) -> np.ndarray:
+        return (w % np.uint64(screen)).astype(np.int64)
+
+    table, often = screened(texts, settings)
     total = int(table.sum())
     least = max(1, total // settings.hot)
-    sent = spark.sparkContext.broadcast((table >= least, np.sort(often["k"].to_numpy()[most]).astype(np.uint64)))
+    sent = spark.sparkContext.broadcast((table >= least, often))
 
     def exactly(batches):
         full, frequent = sent.value

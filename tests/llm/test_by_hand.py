@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -363,3 +364,39 @@ def test_quality_model_in_many_partitions(spark):
     score = kneser_ney_by_hand([t for i, t in rows if i % 2 == 0])
     got = {r.doc_id: r["_value"] for r in kneser_ney_whole.score(marked.select("_text"), marked, kneser_ney.discounts, settings).collect()}
     assert got == pytest.approx({i: score(t) for i, t in rows}, rel=1e-9)
+
+
+def test_quality_model_shuffles_rows_to_fit_on_and_rows_to_score(spark):
+    """With few trusted documents few rows are counted; what a round shuffled is gone when it has ended."""
+    rows = [(k, "en", prose(300, k), k % 10 == 0) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, _lang string, _text string, _fit boolean")
+    settings = backoff.Settings(hot=30, frequent=100, words_per_partition=4000, slice_bytes=20_000)
+
+    def on_disk():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = (files.apply(k) for k in range(files.size()))
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    def run(some):
+        return shuffled(spark, lambda: kneser_ney_whole.score(docs.select("_text"), some, kneser_ney.discounts, settings, 3))
+
+    before = on_disk()
+    few = run(docs)
+    for _ in range(100):  # files go a little later
+        left = sum(n for name, n in on_disk().items() if name not in before)
+        if left < 0.2 * few:
+            break
+        time.sleep(0.1)
+    assert left < 0.2 * few
+    assert few < 0.75 * run(docs.withColumn("_fit", F.lit(True)))
+
+
+def test_words_eight_bytes_at_a_time():
+    """As many words as a plain split finds, and two have the same id if and only if they are the same in lower case."""
+    texts = [None, "", " ", "a", " A", "a ", "a b\x0bc\x1cd\te", "\x00", "a\x00", "12345678", "123456789", "12345678\x00", "0" * 16, "0" * 17, LONG[:1000], "Ärger ÄRGER", "b", "", *(prose(50, k) for k in range(20))]
+    for some in (pa.array(texts), pa.array(texts).slice(5, 12), pa.array(texts, pa.large_string()).slice(2), pa.array([None, ""]), pa.array([], pa.string())):
+        n, ids = kneser_ney_whole.word_ids(some)
+        plain = [[x.lower() for x in words(t or "")] for t in some.to_pylist()]
+        assert n.tolist() == [len(x) for x in plain]
+        flat = [x for t in plain for x in t]
+        assert len(set(zip(flat, ids.tolist()))) == len(set(flat)) == len(set(ids.tolist()))
