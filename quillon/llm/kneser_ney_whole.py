@@ -15,9 +15,9 @@ partitions at a time: a round's rows are shuffled once and read twice, to ask an
 Scale: all tables grow with the texts and are partitioned by hash; partitions have some ``words_per_partition`` rows.
 Words are counted in ``screen`` classes by their hash; those of a class that holds 1/``hot`` of all words (at most
 ``hot`` classes do) are dealt as many, so no partition holds more than its part and 1/``hot`` of all rows.
-Packed rows take some 8 bytes a word; as only a round's partitions are made at a time, for which texts are split
-again, and the shuffles of a step are removed when its table is written, no more than that share of the rows lies on
-disk.  What a round leaves is a sum for each document.
+Packed rows take some 8 bytes a word.  Rows to fit on are shuffled all at once, so where most texts are these, that
+shuffle is the largest; of the rows to score only a round's, for which texts are split again.  The shuffles of a step
+are removed when its table is written.  What a round leaves is a sum for each document.
 
 Cases: as in ``kneser_ney``; words are compared by 48-bit hashes; without texts to fit on every probability is 1.
 As a later round may read documents in another order, their sums meet by id, language, number of words and a 64-bit hash
