@@ -7,7 +7,9 @@ expressions that aren't constants; the result is a lazy DataFrame.
 Subqueries of any depth are made flat: the distinct values of the outer columns that a
 subquery reads (its domain) are joined into its FROM, carried through its grouping and
 limits, reduced to a row each, and joined back null-safely.  EXISTS, NOT EXISTS and IN
-at the top of WHERE become semi and anti joins where the subquery is a plain one.
+at the top of WHERE become semi and anti joins where the subquery is a plain one.  An
+EXISTS with equalities and one other comparison asks for the greatest or least value of
+each group, so rows are never paired.
 """
 
 from __future__ import annotations
@@ -162,6 +164,17 @@ class _Derived:
     parts: dict[str, tuple[str, str]]
 
 
+@dataclass
+class _Extreme:
+    """An EXISTS whose conjuncts are local ones, equalities of local and outer expressions, and one comparison op of the two."""
+
+    inner: list[ast.Expr]
+    pairs: list[tuple[ast.Expr, ast.Expr]]  # (local, outer)
+    op: str
+    local: ast.Expr
+    outer: ast.Expr
+
+
 @dataclass
 class Out:
     df: DataFrame
@@ -452,6 +465,11 @@ class Compiler:
         conds = [self.boolean(p, inner, "WHERE") for p in parts if not local(p)]
         if any(t.can_fail for t in conds):
             return False
+        found = self.extreme(q, ctx) if x is None else None
+        if found is not None and (grouped := self.by_extreme(found, right, ctx)) is not None:
+            df, on, t = grouped
+            ctx.rel.df = ctx.rel.df.join(df, _all(on) & t.col, "left_anti" if neg else "left_semi")
+            return True
         cond = _all([t.col for t in conds])
         if x is not None:
             a, b = self.expr(x, ctx), self.expr(q.items[0].expr, inner)
@@ -669,8 +687,82 @@ class Compiler:
         aggs = {k: t.but(col=F.coalesce(t.col, F.lit(0).cast("bigint"))) if k in counts else t for k, t in after.aggmap.items()}
         return self.expr(q.items[0].expr, replace(after, rel=ctx.rel, keymap={}, aggmap=aggs, scope=replace(after.scope, remap={})))
 
+    def extreme(self, q: ast.Select, ctx: Ctx) -> _Extreme | None:
+        """The parts of an EXISTS that the greatest or least value of a group decides; None where it is another kind of one."""
+        exprs = ast.select_exprs(q)
+        if not q.sources or q.where is None or q.group or q.having or q.order or q.limit or q.offset or any(_has_query(x) or _has_aggregate(x) for x in exprs):
+            return None
+        tables: list[Table] = []
+        for s in q.sources:
+            tables.append(self.table(s, tables)[0])
+        own = Scope(tables)
+        names = lambda x: [n for n in ast.walk(x) if isinstance(n, ast.Name)]
+        local = lambda x: all(own.own(n) is not None for n in names(x))
+        if not all(local(s.on) for s in q.sources if s.on is not None):
+            return None
+        inner, pairs, compared = [], [], []
+        for c in _conjuncts(q.where):
+            if local(c):
+                inner.append(c)
+                continue
+            sides = [(c.op, c.left, c.right), (B._FLIP[c.op], c.right, c.left)] if isinstance(c, ast.Binary) and c.op in B._FLIP else []
+            side = next((t for t in sides if names(t[1]) and local(t[1]) and all(own.own(n) is None for n in names(t[2]))), None)
+            if side is None:
+                return None
+            if side[0] == "=":
+                pairs.append(side[1:])
+            else:
+                compared.append(side)
+        return _Extreme(inner, pairs, *compared[0]) if len(compared) == 1 else None
+
+    def by_extreme(self, x: _Extreme, right: Rel, ctx: Ctx) -> tuple[DataFrame, list[Column], Typed] | None:
+        """right, with the local conjuncts applied, as a row per group; its equalities with ctx.rel; and the test of a group that is there."""
+        at = Ctx(right, right.scope, clause="WHERE")
+        pairs = [(self.expr(a, at), self.expr(b, ctx)) for a, b in x.pairs]
+        value, outer = self.expr(x.local, at), self.expr(x.outer, ctx)
+        if value.type is None or outer.type is None or value.can_fail or any(a.type is None or a.type != b.type or a.type == "REAL" or a.can_fail or b.can_fail for a, b in pairs):
+            return None
+        keys, v = [self.fresh() for _ in pairs], self.fresh()
+        y = F.when(~F.isnan(F.col(v)), F.col(v)) if value.type == "REAL" else F.col(v)  # NaN compares as unknown
+        ends = {e: self.fresh() for e in ({"<": [F.min], "<=": [F.min], ">": [F.max], ">=": [F.max]}.get(x.op) or [F.min, F.max])}
+        df = right.df.select(*[a.col.alias(k) for (a, _), k in zip(pairs, keys)], value.col.alias(v))
+        aggs = [f(y).alias(i) for f, i in ends.items()]
+        df = df.groupBy(*keys).agg(*aggs) if keys else F.broadcast(df.groupBy(F.lit("")).agg(*aggs).select(*ends.values()))  # one row, or none
+        tests = [B.compare(x.op, (F.col(i), 1), value.type, outer.weighed, outer.type, b_value=outer.value) for i in ends.values()]
+        return df, [b.col == F.col(k) for (_, b), k in zip(pairs, keys)], Typed(reduce(lambda a, b: a | b, tests), "BOOLEAN", can_fail=outer.can_fail)
+
+    def exists_by_extreme(self, e: ast.Exists, ctx: Ctx) -> Typed | None:
+        """EXISTS as a flag, by one grouping of its rows and a left join; None where that doesn't do."""
+        q = e.query
+        found = self.extreme(q, ctx) if ctx.clause not in ("LIMIT", "OFFSET") else None
+        if found is None:
+            return None
+        right = self.from_(ast.Select(q.pos, sources=q.sources), None, None)
+        before = Ctx(right, right.scope, clause="WHERE", only_true=True)
+        if any(self.boolean(c, before, "WHERE").can_fail for c in found.inner):  # it may not be run for rows without a partner
+            return None
+        both = Ctx(Rel(right.df, right.scope, [], []), Scope(right.scope.tables, ctx.scope), clause="WHERE")
+        for c in _conjuncts(q.where):
+            self.boolean(c, both, "WHERE")
+        for z, _, c in self.items(q, right.scope):  # checked, not read
+            if c is None:
+                self.expr(z, replace(both, clause="SELECT"))
+        for c in found.inner:
+            self.filter(c, before)
+        grouped = self.by_extreme(found, right, ctx)
+        if grouped is None:
+            return None
+        df, on, t = grouped
+        there = self.fresh()
+        df = df.withColumn(there, F.lit(True)) if on else F.broadcast(df.withColumn(there, F.lit(True)))
+        ctx.rel.df = ctx.rel.df.join(df, _all(on), "left")
+        return Typed(F.coalesce(F.when(F.col(there), t.col), F.lit(False)), "BOOLEAN", can_fail=t.can_fail)
+
     def exists(self, e: ast.Exists, ctx: Ctx) -> Typed:
         """As a flag joined to the rows; at the top of WHERE see semi."""
+        found = self.exists_by_extreme(e, ctx)
+        if found is not None:
+            return found
         out, pairs = self.subquery(e.query, ctx)
         n = self.fresh()
         sub = out.df.select(*out.domain).distinct().withColumn(n, F.lit(1)) if pairs else out.df.limit(1).agg(F.count(F.lit(1)).alias(n))

@@ -316,6 +316,45 @@ def test_plans(spark, files):
         assert "NestedLoop" not in physical and "Cartesian" not in physical, physical
 
 
+def test_exists_with_one_comparison(spark):
+    """The greatest or least value of a group decides; no rows are paired."""
+    rows = {
+        "p": [(1, 1, 4.0), (2, 1, 9.0), (3, 2, NAN), (4, 3, 0.0), (5, None, 1.0), (6, 4, None), (7, 5, INF), (8, 1, -INF), (9, 1, NAN)],
+        "q": [(1, 1, 5.0), (2, 1, NAN), (3, 2, 5.0), (4, 3, -0.0), (5, None, 8.0), (6, 4, 7.0), (7, 5, INF), (8, 1, None), (9, 6, NAN)],
+    }
+    t = {n: relation(spark.createDataFrame(r, "id bigint, g int, x double")) for n, r in rows.items()}
+    holds = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "!=": lambda a, b: a != b}
+
+    def hits(op, keyed, low=0):
+        known = lambda v: v is not None and v == v
+        return [i for i, g, x in rows["p"] if any((not keyed or g is not None and g == h) and known(x) and known(y) and j > low and holds[op](y, x) for j, h, y in rows["q"])]
+
+    ask = lambda text: [r[0] for r in query(spark, text, t).rows()]
+    for op, keyed, more, low in ((">", True, "", 0), ("<=", True, " AND q.id > 2", 2), ("!=", True, "", 0), ("<", False, "", 0), (">=", False, " AND q.id > 99", 99)):
+        e = f"EXISTS (SELECT q.id FROM q WHERE {'q.g = p.g AND ' if keyed else ''}q.x {op} p.x{more})"
+        want = hits(op, keyed, low)
+        assert ask(f"SELECT id FROM p WHERE {e} ORDER BY id") == want, e
+        assert ask(f"SELECT id FROM p WHERE NOT {e} ORDER BY id") == [i for i, *_ in rows["p"] if i not in want], e
+        assert query(spark, f"SELECT p.id, o.id FROM p LEFT JOIN p o ON o.id = p.id AND {e} ORDER BY p.id", t).rows() == [(i, i if i in want else None) for i, *_ in rows["p"]], e
+    # an outer side that can fail does so only where a group is there
+    assert ask("SELECT id FROM p WHERE EXISTS (SELECT 1 FROM q WHERE q.g = p.g AND q.x > 60 / (p.id - 5)) ORDER BY id") == [1, 2, 3, 4, 7]
+    with pytest.raises(SqlError, match="division by zero"):
+        ask("SELECT id FROM p WHERE EXISTS (SELECT 1 FROM q WHERE q.g = p.g AND q.x > 6 / (p.id - 4))")
+    for text, message in (("q.g = p.g AND q.x > 'a'", "do not compare"), ("q.g = p.h AND q.x > p.x", "no such column")):
+        with pytest.raises(SqlError, match=message):
+            ask(f"SELECT EXISTS (SELECT 1 FROM q WHERE {text}) FROM p")
+
+
+def test_exists_pairs_no_rows(spark, files):
+    for text in (
+        "SELECT p.id FROM p LEFT JOIN q ON q.g = p.g AND EXISTS (SELECT 1 FROM q r WHERE r.g = p.g AND r.x > q.x + 400.0)",
+        "SELECT id FROM p WHERE EXISTS (SELECT 1 FROM q WHERE q.g = p.g AND q.x > p.x)",
+        "SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.x > p.x + 400.0)",
+    ):
+        physical = query(spark, text, files).df._jdf.queryExecution().executedPlan().toString()
+        assert "max(" in physical and "Cartesian" not in physical, physical
+
+
 @pytest.mark.parametrize("n", [5, 12, 16, 17, 64, 65, 1000])
 def test_long_sums(spark, n):
     t = {"t": relation(spark.createDataFrame([(1, 0.1, 3), (2, None, None), (3, INF, 1)], "id bigint, x double, k bigint"))}
