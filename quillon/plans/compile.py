@@ -9,7 +9,8 @@ subquery reads (its domain) are joined into its FROM, carried through its groupi
 limits, reduced to a row each, and joined back null-safely.  EXISTS, NOT EXISTS and IN
 at the top of WHERE become semi and anti joins where the subquery is a plain one.  An
 EXISTS with equalities and one other comparison asks for the greatest or least value of
-each group, so rows are never paired.
+each group, so rows are never paired.  A join whose ON has no equality but a point of one
+side between two bounds of the other is a join by equality, too (see ranges).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import SessionError, SqlError
 from quillon.functions import bridge as B
-from quillon.plans import ast, printer
+from quillon.plans import ast, printer, ranges
 from quillon.plans.parser import deep
 
 #: Chains of arithmetic with more terms than CHAIN are checked at their end, with DEEP and more they are folds over arrays, which keeps trees flat.
@@ -228,9 +229,85 @@ class Compiler:
                 self.join_on_query(rel, right, s)
             else:
                 cond = self.boolean(on, Ctx(rel, scope, clause="ON", only_true=True), "ON")
-                rel.df = rel.df.join(right, cond.col, "left" if s.join == "LEFT" else "inner")
+                if s.join == "INNER":
+                    rel.df = self.matched(rel, right, _conjuncts(on), cond.col)
+                elif self.band(rel, right, _conjuncts(on)) is not None:
+                    self.join_on_query(rel, right, s)
+                else:
+                    rel.df = rel.df.join(right, cond.col, "left")
         return rel
 
+    def matched(self, rel: Rel, right: DataFrame, parts: list[ast.Expr], cond: Column | None) -> DataFrame:
+        """The inner join under cond (all pairs where it is None) of rows that may make all of parts true."""
+        found = self.band(rel, right, parts)
+        if found is None:
+            return rel.df.join(right, cond, "inner") if cond is not None else rel.df.crossJoin(right)
+        low, high, at, on_right = found
+        a, b = (rel.df, right) if on_right else (right, rel.df)
+        df = ranges.join(a, low, high, b, at, cond if cond is not None else F.lit(True), [self.fresh() for _ in range(6)])
+        return df.select(*rel.df.columns, *right.columns)
+
+    def band(self, rel: Rel, right: DataFrame, parts: list[ast.Expr]) -> tuple[Column, Column, Column, bool] | None:
+        """Places of two bounds on one side and of a point between them on the other, and whether the point is on the right.
+
+        None where no conjuncts are such, or an equality joins the sides anyway.
+        """
+        ctx, sides = Ctx(rel, rel.scope, clause="ON"), {**dict.fromkeys(rel.df.columns, False), **dict.fromkeys(right.columns, True)}
+
+        def side(e: ast.Expr) -> bool | None:
+            if _has_query(e):
+                return None
+            on = {sides.get(rel.scope.resolve(n).id) for n in ast.walk(e) if isinstance(n, ast.Name)}
+            return on.pop() if len(on) == 1 else None
+
+        bounds: dict[tuple[bool, str], dict[str, tuple[ast.Expr, ast.Expr, int]]] = {}
+        for p in parts:
+            compared = [(p.op, p.left, p.right)] if isinstance(p, ast.Binary) and p.op in B._FLIP else [(">=", p.x, p.lo), ("<=", p.x, p.hi)] if isinstance(p, ast.Between) and not p.neg else []
+            for op, a, b in compared:
+                if None in (side(a), side(b)) or side(a) == side(b) or op == "!=":
+                    continue
+                types = {self.expr(e, ctx).type for e in (a, b)}
+                if op == "=":
+                    if len(types) == 1:
+                        return None
+                    continue
+                for o, x, y in ((op, a, b), (B._FLIP[op], b, a)):
+                    (x, c), (y, d) = (_shifted(x), _shifted(y)) if types == {"INTEGER"} else ((x, 0), (y, 0))
+                    step = (types == {"INTEGER"}) * {">": 1, "<": -1}.get(o, 0)  # so that bounds belong to their interval
+                    bounds.setdefault((side(x), self.canon(x, rel.scope)), {}).setdefault(o[0], (x, y, d - c + step))
+        for (on_right, _), of in bounds.items():
+            if len(of) == 2:
+                (x, low, up), (_, high, down) = of[">"], of["<"]
+                kinds = {self.expr(e, ctx).type for e in (x, low, high)}
+                kind = "REAL" if kinds == {"INTEGER", "REAL"} else kinds.pop() if len(kinds) == 1 else None
+                point, ends = self.soft(x, ctx), [self.soft(e, ctx) for e in (low, high)]
+                if kind not in ("INTEGER", "REAL", "TIMESTAMP") or point is None or None in ends or not point[1] or max(abs(up), abs(down)) >= 2**62:
+                    continue
+                at = point[0].cast("double") if kind == "REAL" else point[0]
+                at = ranges.place(F.when(~F.isnan(at), at) if kind == "REAL" else at, kind)
+                first, last = (ranges.bound(v, leaf, leaves, kind, k, top) for (v, leaf, leaves), k, top in zip(ends, (up, down), (False, True)))
+                return first, last, at, on_right
+        return None
+
+    def soft(self, e: ast.Expr, ctx: Ctx) -> tuple[Column, bool, list[Column]] | None:
+        """A value without errors: NULL where an INTEGER step overflows, not finite where a REAL one does; whether it has no steps; what its steps read.
+
+        None where it may fail otherwise.
+        """
+        t = self.expr(e, ctx)
+        if isinstance(e, ast.Unary) and e.op == "-":
+            e = ast.Binary(e.pos, "-", ast.Lit(e.pos, 0.0 if t.type == "REAL" else 0, t.type), e.x)
+        if isinstance(e, ast.Binary) and e.op in ("+", "-", "*") and t.type in ("INTEGER", "REAL"):
+            a, b = self.soft(e.left, ctx), self.soft(e.right, ctx)
+            if a is None or b is None:
+                return None
+            if t.type == "REAL":
+                return B.unchecked(e.op, a[0].cast("double"), b[0].cast("double")), False, a[2] + b[2]
+            return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e.op](a[0], b[0]), False, a[2] + b[2]
+        if t.type is None or t.can_fail or any(isinstance(x, ast.Unary) and x.op != "NOT" or isinstance(x, ast.Binary) and x.op in ("+", "-", "*") for x in ast.walk(e)):
+            return None
+        return _wide(t), True, [_wide(t)]
+
     def join_on_query(self, rel: Rel, right: DataFrame, s: ast.Source) -> None:
         """A join with a subquery in ON: plain conjuncts join, the others filter what they let through.
 
@@ -250,9 +327,9 @@ class Compiler:
         both = Rel(left, scope, [i for i in rel.domain if s.join != "LEFT"], [], True)
         conds = [self.boolean(p, Ctx(both, scope, clause="ON", only_true=True), "ON") for p in plain]
         early = _all([t.col for t in conds if not t.can_fail])
-        both.df = left.join(right, early, "inner") if any(not t.can_fail for t in conds) else left.crossJoin(right)
+        both.df = self.matched(both, right, plain, early if any(not t.can_fail for t in conds) else None)
         late = [t.col for t in conds if t.can_fail] + [self.boolean(p, Ctx(both, scope, clause="ON"), "ON").col for p in asked]
-        both.df = both.df.filter(_in_turn(late))
+        both.df = both.df.filter(_in_turn(late)) if late else both.df
         if s.join == "INNER":
             rel.df = both.df.select(*rel.df.columns, *right.columns)
         else:
@@ -1218,6 +1295,15 @@ def _real(t: Typed) -> Real:
     return Real([(t.col.cast("double") if t.type != "REAL" else t.col, t.size, sure)], lambda v: v[0], lambda v: (v[0], 1), (1, 1), 0)
 
 
+def _shifted(e: ast.Expr) -> tuple[ast.Expr, int]:
+    """An INTEGER expression without the literals that it ends on, and their sum."""
+    total = 0
+    while isinstance(e, ast.Binary) and e.op in ("+", "-") and isinstance(e.right, ast.Lit) and type(e.right.value) is int:
+        total += e.right.value if e.op == "+" else -e.right.value
+        e = e.left
+    return e, total
+
+
 def ctx_true(ctx: Ctx) -> Ctx:
     return replace(ctx, only_true=True)
 

@@ -1,5 +1,6 @@
 """Values, errors, joins, groups and subqueries over a small fleet: depots, vans and trips, with NULLs and ties."""
 
+import datetime
 import decimal
 import math
 
@@ -10,6 +11,7 @@ from quillon.plans.run import query
 from quillon.sources.parquet import relation
 
 INF, NAN = float("inf"), float("nan")
+EPOCH = datetime.datetime(1970, 1, 1)
 
 VALUES = {
     # integers
@@ -355,6 +357,51 @@ def test_exists_pairs_no_rows(spark, files):
         assert "max(" in physical and "Cartesian" not in physical, physical
 
 
+def test_points_in_intervals(spark):
+    """Joins of a point and two bounds, against all pairs looked at one by one."""
+    whole = [None, -(2**63), -(2**63) + 1, -(2**61) - 1, -(2**61), -70, -3, -2, -1, 0, 1, 2, 3, 4, 7, 8, 8, 64, 1000, 2**40, 2**61 - 1, 2**61, 2**63 - 2, 2**63 - 1]
+    real = [None, NAN, -INF, INF, -1e300, -1.5, -0.0, 0.0, 1e-9, 1.5, 1.5 + 2**-52, 2.0, 3.25, 3.75, 1e9, 1e9 + 0.5, 1e308, 5e-324]
+    at = lambda k: None if k is None else EPOCH + datetime.timedelta(seconds=k, milliseconds=250 * (k % 4))
+    when = [None, -90000, -1, 0, 1, 2, 59, 86400, 86400 * 365]
+    a = [(k, n, m, real[k % len(real)], real[(k * 5 + 2) % len(real)], at(when[k % 9]), at(when[(k * 2 + 1) % 9])) for k, (n, m) in enumerate(zip(whole, whole[2:] + [9, None]))]
+    b = [(k, n, real[k % len(real)], at(when[k % 9])) for k, n in enumerate(whole)]
+    t = {"a": relation(spark.createDataFrame(a, "id int, n bigint, m bigint, x double, y double, s timestamp_ntz, e timestamp_ntz")), "b": relation(spark.createDataFrame(b, "id int, n bigint, x double, s timestamp_ntz"))}
+    ok = lambda *v: all(w is not None and w == w for w in v)
+    cases = {  # of rows of a and of b
+        "b.n >= a.n AND b.n < a.m": lambda a, b: ok(b[1], a[1], a[2]) and a[1] <= b[1] < a[2],
+        "a.m >= b.n AND a.n < b.n AND b.id <> a.id": lambda a, b: ok(b[1], a[1], a[2]) and a[1] < b[1] <= a[2] and a[0] != b[0],
+        "a.n BETWEEN b.n AND b.n + 0": lambda a, b: ok(b[1], a[1]) and a[1] == b[1],
+        "b.id + 2 >= a.id AND b.id - 3 < a.id - 1": lambda a, b: a[0] <= b[0] + 2 and b[0] - 3 < a[0] - 1,
+        "b.id >= a.id * 2 AND b.id <= a.id * 3": lambda a, b: 2 * a[0] <= b[0] <= 3 * a[0],
+        "b.x >= a.x AND b.x <= a.y": lambda a, b: ok(b[2], a[3], a[4]) and a[3] <= b[2] <= a[4],
+        "b.x > a.id - 1.5 AND b.x < a.id * 0.25 + 2": lambda a, b: ok(b[2]) and a[0] - 1.5 < b[2] < a[0] * 0.25 + 2,
+        "b.n >= a.x AND b.n < a.m": lambda a, b: ok(b[1], a[3], a[2]) and a[3] <= b[1] < a[2],
+        "b.s >= a.s AND b.s < a.e": lambda a, b: ok(b[3], a[5], a[6]) and a[5] <= b[3] < a[6],
+    }
+    for on, holds in cases.items():
+        want = sorted((p[0], q[0]) for p in a for q in b if holds(p, q))
+        assert query(spark, f"SELECT a.id, b.id FROM a JOIN b ON {on} ORDER BY 1, 2", t).rows() == want, on
+        if "id" not in on or "*" in on:
+            alone = [(p[0], None) for p in a if p[0] not in {i for i, _ in want}]
+            assert query(spark, f"SELECT a.id, b.id FROM a LEFT JOIN b ON {on} ORDER BY 1, 2", t).rows() == sorted(want + alone), on
+    # a bound that overflows fails where it is compared, as before
+    with pytest.raises(SqlError, match="integer overflow"):
+        query(spark, "SELECT a.id FROM a JOIN b ON b.n >= a.n AND b.n < a.n + 3", t).rows()
+    with pytest.raises(SqlError, match="REAL overflow"):
+        query(spark, "SELECT a.id FROM a JOIN b ON b.x >= a.x AND b.x < a.x * 1e9", t).rows()
+
+
+def test_intervals_are_joined_by_equality(spark, files):
+    for text in (
+        "SELECT p.id FROM p JOIN q ON q.id >= p.id AND q.id < p.id + 3",
+        "SELECT p.id FROM p LEFT JOIN q ON q.x BETWEEN p.x - 0.5 AND p.x + 0.5",
+        "SELECT p.id FROM p JOIN q ON p.g <= q.id AND p.id > q.id AND EXISTS (SELECT 1 FROM q r WHERE r.g = q.g)",
+        "SELECT id, (SELECT count(*) FROM q JOIN q r ON r.id >= q.id AND r.id < q.id + p.g WHERE q.g = p.g) FROM p",
+    ):
+        logical = plan_of(spark, text, files)
+        assert "explode" in logical and "Cartesian" not in query(spark, text, files).df._jdf.queryExecution().executedPlan().toString(), logical
+
+
 @pytest.mark.parametrize("n", [5, 12, 16, 17, 64, 65, 1000])
 def test_long_sums(spark, n):
     t = {"t": relation(spark.createDataFrame([(1, 0.1, 3), (2, None, None), (3, INF, 1)], "id bigint, x double, k bigint"))}
